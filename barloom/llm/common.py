@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Splits a normalised word from the next one: the six ASCII white-space characters.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -50,3 +52,19 @@ def slim(docs: DataFrame, key: str, text: str) -> DataFrame:
 def normal(text):
     """Every run of ASCII white space as one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " ")
+
+
+def numbered(rows: DataFrame, group: str, order: Sequence[str], slot: str = "slot") -> DataFrame:
+    """``rows`` with a gapless number from 0 within each group, in ``order``.
+
+    No task holds a group: rows are dealt out by ranges of (group, order, row), each range is
+    counted, and a row's number is its place in its range plus what lies in earlier ranges. The
+    row itself is the last key, so that one key with very many rows spreads over ranges too.
+    """
+    keys = [F.col(group), *(F.col(c) for c in order)]
+    spread = rows.withColumn("_row", F.monotonically_increasing_id())
+    dealt = written(spread.repartitionByRange(*keys, F.col("_row")).withColumn("_range", F.spark_partition_id()).drop("_row"), "numbered")
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(group, "_range").agg(F.count("*").alias("_n")).select(group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(group, "_range").orderBy(*(F.col(c) for c in order))
+    return dealt.withColumn("_place", F.row_number().over(within) - 1).join(counts, [group, "_range"]).withColumn(slot, (F.col("_before") + F.col("_place")).cast("long")).drop("_range", "_place", "_before")

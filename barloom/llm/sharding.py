@@ -11,9 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from barloom.llm.common import table, written
+from barloom.llm.common import numbered, table
 
 SHARDS = 16
 BITS = 52
@@ -34,22 +33,6 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (-best["shard"]).cast("int")
 
 
-def numbered(rows: DataFrame, shard: str, order: Sequence[str], slot: str = "slot") -> DataFrame:
-    """``rows`` with a gapless number from 0 within each shard, in ``order``.
-
-    No task holds a shard: rows are dealt out by ranges of (shard, order, row), each range is
-    counted, and a row's number is its place in its range plus what lies in earlier ranges. The
-    row itself is the last key, so that one key with very many rows spreads over ranges too.
-    """
-    keys = [F.col(shard), *(F.col(c) for c in order)]
-    spread = rows.withColumn("_row", F.monotonically_increasing_id())
-    dealt = written(spread.repartitionByRange(*keys, F.col("_row")).withColumn("_range", F.spark_partition_id()).drop("_row"), "shard-ranges")
-    before = Window.partitionBy(shard).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy(shard, "_range").agg(F.count("*").alias("_n")).select(shard, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy(shard, "_range").orderBy(*(F.col(c) for c in order))
-    return dealt.withColumn("_place", F.row_number().over(within) - 1).join(counts, [shard, "_range"]).withColumn(slot, (F.col("_before") + F.col("_place")).cast("long")).drop("_range", "_place", "_before")
-
-
 def assign(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, key: str = "doc_id", text: str = "text", new_weight: float = 1.0) -> DataFrame:
     """Shard, slot and the shard after one more has been added, for each row of ``docs``.
 
