@@ -228,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
             numbers, intercept = fit(pdf["_text"].tolist(), y, s)
         return pd.DataFrame({"numbers": [numbers.tobytes()], "intercept": [intercept]})
 
-    return written(rows.groupBy(F.lit(0)).applyInPandas(run, "numbers binary, intercept double"), "toxicity-model")
+    return written(rows.groupBy().applyInPandas(run, "numbers binary, intercept double"), "toxicity-model")
 
 
 def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
