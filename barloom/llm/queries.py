@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, exact_dedup, packing, sharding, toxicity, warc
+from barloom.llm import bpe, exact_dedup, near_dedup, packing, sharding, toxicity, warc
 
 QUERIES = {
     "op1_dominance_best_fit_packing": packing.op1_dominance_best_fit_packing,
     "op2_warc_archive": warc.op2_warc_archive,
     "op3_subword_bag_toxicity": toxicity.op3_subword_bag_toxicity,
+    "op4_hyperminhash_near_dedup": near_dedup.op4_hyperminhash_near_dedup,
     "op5_distinct_word_bpe": bpe.op5_distinct_word_bpe,
     "op7_rendezvous_sharding": sharding.op7_rendezvous_sharding,
     "op8_streaming_exact_dedup": exact_dedup.op8_streaming_exact_dedup,
