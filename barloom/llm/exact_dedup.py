@@ -119,9 +119,9 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha2
 
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = assign(docs, key, text, **options).filter("kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    located = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return located.join(kept, ["_file", "_row"], "left_semi").select(*(located[c] for c in docs.columns))
+    kept = assign(docs, key, text, **options).filter("kept").select(F.col("file").alias("_b_file"), F.col("row").alias("_b_row"))
+    located = docs.select("*", F.col("_metadata.file_path").alias("_b_file"), F.col("_metadata.row_index").alias("_b_row"))
+    return located.join(kept, ["_b_file", "_b_row"], "left_semi").select(docs.columns)
 
 
 def op8_streaming_exact_dedup(spark, sf_dir) -> DataFrame:

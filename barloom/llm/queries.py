@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, exact_dedup, near_dedup, packing, sharding, toxicity, warc
+from barloom.llm import bpe, exact_dedup, near_dedup, packing, sharding, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_dominance_best_fit_packing": packing.op1_dominance_best_fit_packing,
+    "op10_suffix_merge_dedup": suffix_dedup.op10_suffix_merge_dedup,
     "op2_warc_archive": warc.op2_warc_archive,
     "op3_subword_bag_toxicity": toxicity.op3_subword_bag_toxicity,
     "op4_hyperminhash_near_dedup": near_dedup.op4_hyperminhash_near_dedup,
