@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, exact_dedup, near_dedup, packing, sharding, suffix_dedup, toxicity, warc
+from barloom.llm import bpe, exact_dedup, media, near_dedup, packing, sharding, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_dominance_best_fit_packing": packing.op1_dominance_best_fit_packing,
@@ -11,8 +11,10 @@ QUERIES = {
     "op3_subword_bag_toxicity": toxicity.op3_subword_bag_toxicity,
     "op4_hyperminhash_near_dedup": near_dedup.op4_hyperminhash_near_dedup,
     "op5_distinct_word_bpe": bpe.op5_distinct_word_bpe,
+    "op6_signature_sniffed_media": media.op6_signature_sniffed_media,
     "op7_rendezvous_sharding": sharding.op7_rendezvous_sharding,
     "op8_streaming_exact_dedup": exact_dedup.op8_streaming_exact_dedup,
+    "op9_viterbi_token_counts": token_counts.op9_viterbi_token_counts,
 }
 ORACLE_SQL = {
     "op2_warc_archive": warc.ORACLE_SQL,

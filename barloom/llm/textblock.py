@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text makes a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: An odd multiplier and its inverse modulo 2**64, for hashes of byte ranges.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -61,7 +61,7 @@ def _byte_values() -> np.ndarray:
 def range_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASES[0]) -> np.ndarray:
     """64-bit hashes of ``body[start:end]``; equal ranges have equal hashes in any block."""
     with np.errstate(over="ignore"):
-        log_n = max(21, int(len(body)).bit_length())
+        log_n = max(20, int(len(body)).bit_length())
         up, down = _powers(base, log_n)
         total = np.empty(len(body) + 1, np.uint64)
         total[0] = 0
@@ -96,14 +96,14 @@ def gather(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 class WordPool:
     """Numbers for distinct words, each computed once and kept while there is room."""
 
-    def __init__(self, encode: Callable[[list[bytes]], Sequence[Sequence[int]]], most: int = 600_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[bytes]], Sequence[Sequence[int]]], most: int = 400_000, dtype=np.uint32):
+        self.encode, self.most, self.dtype = encode, most, dtype
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.parts: list[np.ndarray] = []
-        self.values = np.empty(0, np.uint32)
+        self.values = np.empty(0, self.dtype)
         self.start = np.empty(0, np.int64)
         self.length = np.empty(0, np.int64)
 
@@ -115,7 +115,7 @@ class WordPool:
         if new:
             got = self.encode(new)
             length = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((x for g in got for x in g), np.uint32, int(length.sum()))
+            flat = np.fromiter((x for g in got for x in g), self.dtype, int(length.sum()))
             start = len(self.values) + np.cumsum(length) - length
             at = len(self.known)
             self.known.update(zip(new, range(at, at + len(new)), strict=True))
