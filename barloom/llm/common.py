@@ -44,8 +44,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What a Python worker is sent at once: some MB of text, however long the texts are (one text at least).
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def slim(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Only the key and the text (null: empty), whatever other columns a table has."""
+    """Only the key and the text (null: empty), whatever other columns a table has; sent to Python workers in small batches."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
 
 

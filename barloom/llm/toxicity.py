@@ -25,11 +25,13 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barloom.llm import pretoken
-from barloom.llm.common import slim, table, written
+from barloom.llm.common import slim, small_batches, table, written
 from barloom.llm.textblock import blocks, gather, mixed, text_bytes
 
 
@@ -231,26 +233,32 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     return written(rows.groupBy().applyInPandas(run, "numbers binary, intercept double"), "toxicity-model")
 
 
-def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
-    """``doc_id, score`` of every row of ``docs``. The model is of a fixed size."""
+def score(docs: DataFrame, model: DataFrame, text: str = "text", name: str = "score", s: Settings = Settings()) -> DataFrame:
+    """``docs`` with all its columns and the score of each row's text. The model is of a fixed size."""
     row = model.first()
     numbers, intercept = (row["numbers"], row["intercept"]) if row else (np.zeros(1 << s.buckets_log2, np.float32).tobytes(), -500.0)
     shared = docs.sparkSession.sparkContext.broadcast((numbers, intercept))
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, intercept = shared.value
         table_of = np.frombuffer(raw, np.float32)
         for batch in batches:
-            body, at = text_bytes(batch.column(1))
+            body, at = text_bytes(pc.fill_null(batch.column(batch.schema.get_field_index(text)), ""))
             got = [scores(body[at[i] : at[j]], at[i : j + 1] - at[i], table_of, intercept, s) for i, j in blocks(at)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got) if got else np.empty(0))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else np.empty(0))], names=[*batch.schema.names, name])
 
-    return slim(docs, key, text).withColumn(key, F.col(key).cast("long")).mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, s: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below ``threshold``."""
+    return score(docs, train(docs, labels, s=s), name="_b_score", s=s).filter(F.col("_b_score") < threshold).drop("_b_score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    got = score(docs, train(docs, labels, s=s), s=s)
-    return got.select("doc_id", fifth(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    got = score(docs.select("doc_id", "text"), train(docs, labels, s=s), s=s)
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), fifth(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_subword_bag_toxicity(spark, sf_dir) -> DataFrame:
