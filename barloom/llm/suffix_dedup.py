@@ -45,7 +45,7 @@ GRAM = 32
 PLACES = LENGTH - GRAM + 1
 #: The key of a suffix: LENGTH bytes from the anchor on, then those before it, backwards; what windows can't reach is 0.
 KEY = LENGTH + PLACES - 1
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 CHUNK = 1 << 20
 LAST = np.iinfo(np.int64).max
 ROWS = "part string, bucket int, body binary"
@@ -87,7 +87,6 @@ def _batch(*rows: tuple) -> pa.RecordBatch:
 def anchors(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of the windows of some texts, each with the first and last window that it serves. All are places in ``body``."""
     found = []
-    end_of = np.repeat(at[1:], np.diff(at))
     for c in range(0, len(body), CHUNK):
         own = body[c : c + CHUNK + LENGTH - 1]
         n = len(own) - GRAM + 1
@@ -100,15 +99,22 @@ def anchors(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
             step = min(have, PLACES - have)
             key = np.minimum(key[:-step], key[step:])
             have += step
-        window = np.arange(len(key)) + c
-        inside = window + LENGTH <= end_of[c : c + len(key)]
-        window, anchor = window[inside], (key[inside] & np.uint64((1 << 24) - 1)).astype(np.int64) + c
-        found.append((window, anchor))
+        window = start[: len(key)] + c
+        inside = window + LENGTH <= at[np.searchsorted(at, window, "right")]
+        found.append(_runs_of(window[inside], (key[inside] & np.uint64((1 << 24) - 1)).astype(np.int64) + c))
     if not found:
         return (np.empty(0, np.int64),) * 3
-    window, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
-    new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1))) if len(window) else np.empty(0, np.int64)
-    return anchor[new], window[new], window[np.append(new[1:], len(window)) - 1] if len(window) else window
+    place, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+    new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (low[1:] != high[:-1] + 1))[: len(place)])
+    return place[new], low[new], high[np.append(new[1:], len(high)) - 1] if len(high) else high
+
+
+def _runs_of(window: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring windows of one anchor as one run: anchor, first and last window."""
+    if not len(window):
+        return anchor, window, window
+    new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)))
+    return anchor[new], window[new], window[np.append(new[1:], len(window)) - 1]
 
 
 def parts(docs: DataFrame, key: str, text: str, part_bytes: int) -> DataFrame:
