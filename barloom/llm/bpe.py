@@ -15,7 +15,6 @@ empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import base64
-import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -78,32 +77,43 @@ PARTS_ARROW = pa.schema([("part", pa.string()), ("bucket", pa.int32()), ("ids",
 
 
 def parts(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """Rows of each part: one with bucket -1 (identifiers, words of each text, numbers by position), one for each bucket (its words' bytes)."""
+    """Rows of each part: bucket -1 (identifiers, words of each text, numbers by position), -2 (the numbers in the order of the buckets' words), one for each bucket (its words' bytes)."""
+
+    def flush(ids: list, known: dict[bytes, int], numbers: list[np.ndarray], sizes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        words, part, by_place = list(known), uuid.uuid4().hex, np.concatenate(numbers)
+        # frequent words get small numbers, which compress
+        often = np.argsort(-np.bincount(by_place, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[often] = np.arange(len(words))
+        own: list[list[int]] = [[] for _ in range(buckets)]
+        for k in sorted(range(len(words)), key=words.__getitem__):
+            own[zlib.crc32(words[k]) % buckets].append(k)
+        dealt = np.array([k for some in own for k in some], np.int64)
+        yield _row(PARTS_ARROW, part, -1, ids, shrunk(np.concatenate(sizes)), shrunk(rank[by_place]))
+        yield _row(PARTS_ARROW, part, -2, None, shrunk(rank[dealt]), b"")
+        for k, some in enumerate(own):
+            if some:
+                mine = [words[x] for x in some]
+                yield _row(PARTS_ARROW, part, k, None, shrunk(np.fromiter(map(len, mine), np.int64, len(mine))), zstandard.compress(b"".join(mine), 3))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, known, numbers, sizes, held = [], {}, [], [], 0
         for batch in batches:
             body, at = text_bytes(batch.column(1))
-            for i, j in blocks(at, part_bytes):
-                known: dict[bytes, int] = {}
-                numbers, sizes = [], []
-                for a, b in blocks(at[i : j + 1]):
-                    own, edge = body[at[i + a] : at[i + b]], at[i + a : i + b + 1] - at[i + a]
-                    start = pretoken.words(own, edge, "tiktoken")
-                    words, number = distinct_words(own, start)
-                    here = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-                    numbers.append(here[number] if len(words) else number)
-                    sizes.append(np.diff(np.searchsorted(start, edge)))
-                words, part = list(known), uuid.uuid4().hex
-                to = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
-                order = np.argsort(to, kind="stable")
-                place = np.empty(len(words), np.int64)
-                place[order] = np.arange(len(words))
-                ids = batch.column(0)[i:j].to_pylist()
-                yield _row(PARTS_ARROW, part, -1, ids, shrunk(np.concatenate(sizes)), shrunk(place[np.concatenate(numbers)]))
-                edges = np.searchsorted(to[order], np.arange(buckets + 1))
-                for k in np.flatnonzero(np.diff(edges)).tolist():
-                    mine = [words[x] for x in order[edges[k] : edges[k + 1]].tolist()]
-                    yield _row(PARTS_ARROW, part, k, None, shrunk(np.fromiter(map(len, mine), np.int64, len(mine))), zstandard.compress(b"".join(mine), 3))
+            for i, j in blocks(at):
+                if held and held + at[j] - at[i] > part_bytes:
+                    yield from flush(ids, known, numbers, sizes)
+                    ids, known, numbers, sizes, held = [], {}, [], [], 0
+                held += int(at[j] - at[i])
+                own, edge = body[at[i] : at[j]], at[i : j + 1] - at[i]
+                start = pretoken.words(own, edge, "tiktoken")
+                words, number = distinct_words(own, start)
+                here = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words))
+                numbers.append(here[number] if len(words) else number.astype(np.int32))
+                sizes.append(np.diff(np.searchsorted(start, edge)))
+                ids += batch.column(0)[i:j].to_pylist()
+        if ids:
+            yield from flush(ids, known, numbers, sizes)
 
     return slim(docs, key, text).mapInArrow(cut, PARTS)
 
@@ -131,12 +141,13 @@ def encoded(words: DataFrame, path: str) -> DataFrame:
 
 
 def put_together(rows: DataFrame, path: str) -> DataFrame:
-    """Documents from the rows of each part, which lie together with the numbers first: ids (decimal, joined by commas) and the bytes that they decode to."""
+    """Documents from the rows of each part, which lie together in the order of the buckets: ids (decimal, joined by commas) and the bytes that they decode to."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
-    def documents(ids, sizes, body, length, values) -> Iterator[pa.RecordBatch]:
-        numbers, words = grown(body), grown(sizes)
-        begin, pool, first, count = np.cumsum(length) - length, *token_bytes(path)
+    def documents(ids, sizes, body, dealt, lengths, values) -> Iterator[pa.RecordBatch]:
+        numbers, words, length, begin = grown(body), grown(sizes), np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+        length[dealt], begin[dealt] = lengths, np.cumsum(lengths) - lengths
+        pool, first, count = token_bytes(path)
         decimal = [str(i) for i in range(len(count))]
         edge, out, held = np.append(0, np.cumsum(words)), [], 0
         for k, doc in enumerate(ids):
@@ -150,19 +161,21 @@ def put_together(rows: DataFrame, path: str) -> DataFrame:
                 out, held = [], 0
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, head, lengths, values = None, None, [], []
+        part, head, dealt, lengths, values = None, None, None, [], []
 
         def done() -> Iterator[pa.RecordBatch]:
             if head is not None:
                 none = np.empty(0, np.int64)
-                yield from documents(*head, np.concatenate(lengths or [none]), np.concatenate(values or [none]))
+                yield from documents(*head, dealt, np.concatenate(lengths or [none]), np.concatenate(values or [none]))
 
         for batch in batches:
             for name, k, ids, sizes, body in zip(*(batch.column(c).to_pylist() for c in PARTS_ARROW.names), strict=True):
                 if name != part:
                     yield from done()
-                    part, head, lengths, values = name, None, [], []
-                if k < 0:
+                    part, head, dealt, lengths, values = name, None, None, [], []
+                if k == -2:
+                    dealt = grown(sizes)
+                elif k < 0:
                     head = (ids, sizes, body)
                 else:
                     lengths.append(grown(sizes))

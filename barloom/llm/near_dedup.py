@@ -2,7 +2,7 @@
 
 A document is its set of ``width``-word shingles. Its sketch has ``REGISTERS`` buckets; a bucket
 keeps, of the smallest hash that falls into it, the count of leading zeros and ``MANTISSA`` bits
-after them, in 32 bits. ``BANDS`` bands of registers propose candidates: at a Jaccard similarity of
+after them, in 32 bits; buckets that stay empty borrow a value for banding. ``BANDS`` bands of registers propose candidates: at a Jaccard similarity of
 0.75, 5 pairs in a million share no band. A candidate pair whose estimate from the registers, with
 chance collisions taken out, lies ``SLACK`` below the threshold is dropped (less than one pair in a
 million at the threshold); all others are confirmed on the full sets.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ REGISTERS = 1 << REGISTERS_LOG2
 BANDS = 32
 ROWS = REGISTERS // BANDS
 ZEROS, MANTISSA = 6, 26
+PROBES = 64
 #: Five standard deviations of the estimate at 0.75.
 SLACK = 0.2
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -94,14 +96,35 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def _probes() -> np.ndarray:
+    """For each register, where to look for a value if it is empty: PROBES places drawn by a hash, then its right neighbours."""
+    drawn = mixed(np.arange(1, REGISTERS * PROBES + 1, dtype=np.uint64)).reshape(REGISTERS, PROBES) % np.uint64(REGISTERS)
+    return np.concatenate([drawn.astype(np.int64), (np.arange(REGISTERS)[:, None] + np.arange(1, REGISTERS)) % REGISTERS], axis=1)
+
+
+def filled(values: np.ndarray) -> np.ndarray:
+    """Registers without empty ones: an empty one borrows the first value that its probes meet.
+
+    So a register of two sets agrees about as often as they are similar, however small they are,
+    and a band takes all its registers to agree. An empty set stays empty.
+    """
+    none = np.flatnonzero(values == 0)
+    if not len(none) or len(none) == REGISTERS:
+        return values
+    met, out = values[_probes()[none]], values.copy()
+    out[none] = met[np.arange(len(none)), (met != 0).argmax(axis=1)]
+    return out
+
+
 def bands(values: np.ndarray) -> np.ndarray:
-    """A key for each band that isn't empty."""
-    rows = values.reshape(BANDS, ROWS).astype(np.uint64)
+    """The keys of the bands; none for an empty set."""
+    rows = filled(values).reshape(BANDS, ROWS).astype(np.uint64)
     with np.errstate(over="ignore"):
         key = np.arange(1, BANDS + 1, dtype=np.uint64)
         for k in range(ROWS):
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
-    return key[rows.any(axis=1)].view(np.int64)
+    return key.view(np.int64) if rows.any() else key[:0].view(np.int64)
 
 
 def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -13,10 +13,12 @@ identifiers are documents like any other; an empty table gives no rows; other co
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +31,29 @@ from barloom.llm.textblock import WordPool, blocks, distinct_words, gather, text
 
 CAPACITY = 1024
 END = 2
+#: Words in a call of the tokenizer.
+WORDS = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def tokenizer_words(path: str):
-    """Encodes words by the tokenizers library, one call for many."""
+    """Encodes words by the tokenizers library, some thousands in a call, in the task's own thread."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True
-    return lambda words: [e.ids for e in own.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def encode(words: list[bytes]) -> list[list[int]]:
+        return [e.ids for k in range(0, len(words), WORDS) for e in own.encode_batch_fast([w.decode() for w in words[k : k + WORDS]], add_special_tokens=False)]
+
+    return encode
+
+
+@lru_cache(maxsize=1)
+def tokenizer_pool(path: str) -> WordPool:
+    """One pool for all tasks of a Python worker."""
+    return WordPool(tokenizer_words(path))
 
 
 def block_ids(pool: WordPool, body: np.ndarray, at: np.ndarray, library: str = "tiktoken") -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +72,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc
     """The pieces of every document, with a checksum of their ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = WordPool(tokenizer_words(path))
+        pool = tokenizer_pool(path)
         for batch in batches:
             body, at = text_bytes(batch.column(1))
             for i, j in blocks(at):
