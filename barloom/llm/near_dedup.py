@@ -60,7 +60,7 @@ def shingles(body: np.ndarray, at: np.ndarray, width: int = WIDTH) -> list[np.nd
     n = len(hashes)
     with np.errstate(over="ignore"):
         joined = np.zeros(n, np.uint64)
-        for k in range(width):
+        for k in range(min(width, n)):
             joined[: n - k] = joined[: n - k] * np.uint64(0x9E3779B97F4A7C15) + hashes[k:]
         joined = mixed(joined)
         out = []

@@ -134,7 +134,7 @@ def reduce(plan: Plan) -> None:
 
     For a longest piece j with room r: it stands alone if nothing fits beside it; it is fixed with
     the longest piece k that fits if k fills r, or if no two other pieces that fit r together are
-    longer than k in sum and no three fit. Any packing can be changed to hold such a set without
+    longer than k in sum and no three fit; that stays true while pieces become fewer. Any packing can be changed to hold such a set without
     more sequences, since k can be swapped for what stood beside j.
     """
     lengths = sorted(plan.left, reverse=True)
@@ -156,7 +156,7 @@ def reduce(plan: Plan) -> None:
                 break
             if _longest_pair(plan, fits, j, room) > k:
                 break
-            plan.fix((j, k), 1 if j == k else min(many, max(1, many - 2)))
+            plan.fix((j, k), many)
 
 
 def _longest_pair(plan: Plan, fits: list[int], j: int, room: int) -> int:
