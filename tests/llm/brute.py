@@ -57,7 +57,7 @@ def without_repeats(docs: list[tuple[int, str | None]], length: int = 100) -> di
                 gone[k : k + length] = b"\1" * length
             seen.add(window)
         kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
-        out[i] = (len(raw), sum(gone), len(re.findall(rb"\1+", bytes(gone))), kept)
+        out[i] = (len(raw), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), kept)
     return out
 
 
