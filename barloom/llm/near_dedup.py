@@ -10,7 +10,9 @@ million at the threshold); all others are confirmed on the full sets.
 Documents with equal sets are one class and go on as one. Within a band, documents that are linked
 already need no further look at each other, so links are sought in turns: first every document
 with the one, among the bands' smallest members, with which it shares most bands; then with a
-random member of each band; then all pairs that are left in a band between different components.
+random member of each band; then all pairs between different components that are left: within a
+band of up to ``DIRECT`` members directly, and among the members of larger bands where they share
+one of their rarest shingles, which no pair at the threshold lacks.
 
 Null or empty texts, and such without words, have no shingles and no links; null identifiers can't
 name a component: such rows have a null component and stay; rows that repeat an identifier are one
@@ -40,6 +42,8 @@ BANDS = 32
 ROWS = REGISTERS // BANDS
 ZEROS, MANTISSA = 6, 26
 PROBES = 64
+#: Members of a band up to which all its pairs are looked at.
+DIRECT = 16
 #: Five standard deviations of the estimate at 0.75.
 SLACK = 0.2
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -181,15 +185,46 @@ def estimate(one: Column, other: Column, n: Column, m: Column) -> Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of ``pairs`` (``a, b``) whose full sets are similar enough."""
-    one = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"), F.col("registers").alias("rb"))
-    two = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"), F.col("registers").alias("ra"))
-    both = pairs.join(one, "b").join(two, "a")
-    # sizes too different, or an estimate far below, need no look at the sets
+    """Those of ``pairs`` (``a, b``) whose full sets are similar enough. Only pairs that sizes and registers leave open fetch their sets."""
+
+    def beside(df: DataFrame, *columns: str) -> DataFrame:
+        for end in ("b", "a"):
+            df = df.join(sets.select(F.col("id").alias(end), *(F.col(c).alias(c[0] + end) for c in columns)), end)
+        return df
+
+    sized = beside(pairs, "n", "registers")
     near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (estimate(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb")) >= percent / 100 - SLACK)
+    left = written(sized.filter(near).select("a", "b", "na", "nb"), "estimated")
     common = F.size(F.array_intersect("ha", "hb"))
-    linked = F.when(near, common * 100 >= (F.col("na") + F.col("nb") - common) * percent).otherwise(False)
-    return both.filter(linked).select("a", "b")
+    return beside(left, "hashes").filter(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select("a", "b")
+
+
+def rare_first(sets: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``id, root, n, token, at, index`` for ``members`` (``id, root``): the rarest shingles of each set, as many as a similar set can't all lack.
+
+    Shingles are ordered by how many members have them. Two sets that are similar enough share one
+    within the first ``n - ceil(t n) + 1`` of the larger and (``index``) the first
+    ``n - ceil(2 t n / (1 + t)) + 1`` of the smaller, so what is common to very many documents is
+    looked at only in sets that hold little else. Shingles of one member only are counted, not sent.
+    """
+    flat = written(sets.join(members, "id").select("id", "root", "n", F.explode("hashes").alias("token")), "shingles")
+    often = flat.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    by_set = flat.join(often, "token").groupBy("id", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
+    alone = F.col("n") - F.size("s")
+    probe = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    some = by_set.select("id", "root", "n", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), F.greatest(F.lit(0), probe - alone).cast("int"))).alias("k", "x"))
+    at = F.col("alone") + F.col("k")
+    return some.select("id", "root", "n", F.col("x.token").alias("token"), at.alias("at"), (at < F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1).alias("index"))
+
+
+def rare_pairs(prefixes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``a, b``: pairs of different components that share a rare shingle and have enough shingles left after it to be similar."""
+    x = prefixes.filter("index").select("token", *(F.col(c).alias(f"{c}_x") for c in ("id", "root", "n", "at")))
+    y = prefixes.select("token", *(F.col(c).alias(f"{c}_y") for c in ("id", "root", "n", "at")))
+    most = 1 + F.least(F.expr("n_x - at_x - 1"), F.expr("n_y - at_y - 1"))
+    smaller = F.expr("n_x < n_y OR n_x = n_y AND id_x < id_y") & (F.col("n_x") * 100 >= F.col("n_y") * percent)
+    enough = most * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
+    return x.join(y, "token").filter((F.col("root_x") != F.col("root_y")) & smaller & enough).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
 
 
 def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -210,13 +245,16 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
 
     for turn in ("random", "all"):
         here = shared.select("band", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-        mixed_bands = here.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("other"), F.min_by("root", F.xxhash64("id", F.lit(turn))).alias("other_root")).filter("low <> high")
+        mixed_bands = here.groupBy("band").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("other"), F.min_by("root", F.xxhash64("id", F.lit(turn))).alias("other_root")).filter("low <> high")
         left = here.join(mixed_bands, "band")
         if turn == "random":
             pairs = left.filter("root <> other_root").select(F.col("other").alias("a"), F.col("id").alias("b"))
         else:
-            left = written(left.select("band", "id", "root"), "mixed-bands")
-            pairs = left.select("band", F.col("id").alias("a"), F.col("root").alias("ra")).join(left.select("band", F.col("id").alias("b"), F.col("root").alias("rb")), "band").filter("ra < rb").select("a", "b")
+            left = written(left.select("band", "id", "root", "members"), "mixed-bands")
+            few, many = left.filter(F.col("members") <= DIRECT), left.filter(F.col("members") > DIRECT)
+            direct = few.select("band", F.col("id").alias("a"), F.col("root").alias("ra")).join(few.select("band", F.col("id").alias("b"), F.col("root").alias("rb")), "band").filter("ra < rb").select("a", "b")
+            prefixes = written(rare_first(sets, many.select("id", "root").distinct(), percent), "rare-shingles")
+            pairs = direct.unionByName(rare_pairs(prefixes, percent))
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         links = links.unionByName(written(confirmed(pairs, sets, percent), "links"))
         roots = written(components(links), "roots")
