@@ -456,3 +456,16 @@ def test_suffix_dedup_query(spark, sf, documents):
     rows = queries.QUERIES["op10_suffix_merge_dedup"](spark, sf).collect()
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows}
     assert got == {i: (*w[:3], sha256(w[3])) for i, w in without_repeats(list(documents.items())).items()}
+
+
+def test_near_dedup_with_a_passage_that_many_share(table_of):
+    """Large bands of documents that are mostly not linked, at all shares of a common passage."""
+    rng = np.random.default_rng(12)
+    passage = [f"p{k}" for k in range(40)]
+    rows = []
+    for i in range(240):
+        own = [f"u{x}" for x in rng.integers(0, 10**6, rng.integers(1, 24))]
+        if i % 3 == 0 and rows:
+            own = own[: len(own) // 3]
+        rows.append((i, " ".join(passage[: int(rng.integers(30, 41))] + own)))
+    assert {r["id"]: (r["n"], r["component"]) for r in near_dedup.assign(table_of(rows)).collect()} == near(dict(rows))
