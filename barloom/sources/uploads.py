@@ -14,6 +14,14 @@ from barloom.functions.columns import date_of_text, number_of_text
 #: The share of values that must parse.
 SHARE = 0.8
 SNIFFED_ROWS = 50
+DELIMITERS = ",;\t|"
+
+
+def sniffed(head: list[str]) -> str:
+    """The delimiter that the header has and with which most lines have as many fields as it; of equal ones the first in DELIMITERS."""
+    fields = lambda line, d: len(next(csv.reader([line], delimiter=d), []))
+    agree = {d: sum(fields(line, d) == fields(head[0], d) for line in head) for d in DELIMITERS if fields(head[0], d) > 1}
+    return max(agree, key=agree.get) if agree else DELIMITERS[0]
 
 
 def read_upload(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
@@ -29,10 +37,7 @@ def read_upload(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     head = [r[0] for r in spark.read.text(path).limit(SNIFFED_ROWS).collect()]
     if not head:
         raise ValueError("the file is empty")
-    try:
-        delimiter = csv.Sniffer().sniff("\n".join(head), delimiters=",;\t|").delimiter
-    except csv.Error:
-        delimiter = ","
+    delimiter = sniffed(head)
     names = next(csv.reader([head[0]], delimiter=delimiter))
     schema = ", ".join(f"`{n}` string" for n in names) + ", _corrupt string"
     raw = spark.read.csv(path, header=True, sep=delimiter, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True).cache()
