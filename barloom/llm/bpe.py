@@ -15,22 +15,25 @@ empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import base64
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import pretoken
-from barloom.llm.common import slim, table, written
+from barloom.llm.common import slim, table
 from barloom.llm.textblock import blocks, distinct_words, gather, text_bytes
 
 PART_BYTES = 24 << 20
+#: Buckets of a part's own rows.
+HEAD, ORDER = -1, -2
 PARTS = "part string, bucket int, ids array<long>, sizes binary, body binary"
 DOCS = "doc_id long, n_tokens long, ids binary, decoded binary"
 
@@ -77,10 +80,10 @@ PARTS_ARROW = pa.schema([("part", pa.string()), ("bucket", pa.int32()), ("ids",
 
 
 def parts(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """Rows of each part: bucket -1 (identifiers, words of each text, numbers by position), -2 (the numbers in the order of the buckets' words), one for each bucket (its words' bytes)."""
+    """Rows of each part: HEAD (identifiers, words of each text, numbers by position), ORDER (the numbers in the order of the buckets' words), one for each bucket (its words' bytes)."""
 
-    def flush(ids: list, known: dict[bytes, int], numbers: list[np.ndarray], sizes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        words, part, by_place = list(known), uuid.uuid4().hex, np.concatenate(numbers)
+    def flush(name: str, ids: list, known: dict[bytes, int], numbers: list[np.ndarray], sizes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        words, part, by_place = list(known), name, np.concatenate(numbers)
         # frequent words get small numbers, which compress
         often = np.argsort(-np.bincount(by_place, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), np.int64)
@@ -89,21 +92,22 @@ def parts(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "text"
         for k in sorted(range(len(words)), key=words.__getitem__):
             own[zlib.crc32(words[k]) % buckets].append(k)
         dealt = np.array([k for some in own for k in some], np.int64)
-        yield _row(PARTS_ARROW, part, -1, ids, shrunk(np.concatenate(sizes)), shrunk(rank[by_place]))
-        yield _row(PARTS_ARROW, part, -2, None, shrunk(rank[dealt]), b"")
+        yield _row(PARTS_ARROW, part, HEAD, ids, shrunk(np.concatenate(sizes)), shrunk(rank[by_place]))
+        yield _row(PARTS_ARROW, part, ORDER, None, shrunk(rank[dealt]), b"")
         for k, some in enumerate(own):
             if some:
                 mine = [words[x] for x in some]
                 yield _row(PARTS_ARROW, part, k, None, shrunk(np.fromiter(map(len, mine), np.int64, len(mine))), zstandard.compress(b"".join(mine), 3))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, known, numbers, sizes, held = [], {}, [], [], 0
+        ids, known, numbers, sizes, held, nth = [], {}, [], [], 0, 0
+        name = lambda: f"{TaskContext.get().partitionId()}-{nth}"  # noqa: E731  the same in a task that runs again
         for batch in batches:
             body, at = text_bytes(batch.column(1))
             for i, j in blocks(at):
                 if held and held + at[j] - at[i] > part_bytes:
-                    yield from flush(ids, known, numbers, sizes)
-                    ids, known, numbers, sizes, held = [], {}, [], [], 0
+                    yield from flush(name(), ids, known, numbers, sizes)
+                    ids, known, numbers, sizes, held, nth = [], {}, [], [], 0, nth + 1
                 held += int(at[j] - at[i])
                 own, edge = body[at[i] : at[j]], at[i : j + 1] - at[i]
                 start = pretoken.words(own, edge, "tiktoken")
@@ -113,7 +117,7 @@ def parts(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "text"
                 sizes.append(np.diff(np.searchsorted(start, edge)))
                 ids += batch.column(0)[i:j].to_pylist()
         if ids:
-            yield from flush(ids, known, numbers, sizes)
+            yield from flush(name(), ids, known, numbers, sizes)
 
     return slim(docs, key, text).mapInArrow(cut, PARTS)
 
@@ -140,8 +144,8 @@ def encoded(words: DataFrame, path: str) -> DataFrame:
     return words.mapInArrow(encode, PARTS)
 
 
-def put_together(rows: DataFrame, path: str) -> DataFrame:
-    """Documents from the rows of each part, which lie together in the order of the buckets: ids (decimal, joined by commas) and the bytes that they decode to."""
+def put_together(path: str):
+    """A part's documents from its own rows and its words' ids: ids (decimal, joined by commas) and the bytes that they decode to."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
     def documents(ids, sizes, body, dealt, lengths, values) -> Iterator[pa.RecordBatch]:
@@ -160,39 +164,31 @@ def put_together(rows: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
                 out, held = [], 0
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, head, dealt, lengths, values = None, None, None, [], []
+    def assemble(own: pa.Table, back: pa.Table) -> pa.Table:
+        rows = {r["bucket"]: r for r in own.filter(pc.less(own["bucket"], 0)).to_pylist()}
+        lengths, values = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for r in back.sort_by("bucket").to_pylist():
+            lengths.append(grown(r["sizes"]))
+            values.append(grown(r["body"]))
+        head = rows[HEAD]
+        return pa.Table.from_batches(documents(head["ids"], head["sizes"], head["body"], grown(rows[ORDER]["sizes"]), np.concatenate(lengths), np.concatenate(values)), schema)
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if head is not None:
-                none = np.empty(0, np.int64)
-                yield from documents(*head, dealt, np.concatenate(lengths or [none]), np.concatenate(values or [none]))
+    return assemble
 
-        for batch in batches:
-            for name, k, ids, sizes, body in zip(*(batch.column(c).to_pylist() for c in PARTS_ARROW.names), strict=True):
-                if name != part:
-                    yield from done()
-                    part, head, dealt, lengths, values = name, None, None, [], []
-                if k == -2:
-                    dealt = grown(sizes)
-                elif k < 0:
-                    head = (ids, sizes, body)
-                else:
-                    lengths.append(grown(sizes))
-                    values.append(grown(body))
-        yield from done()
-
-    return rows.mapInArrow(assemble, DOCS)
+
+def only_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In Python, as a filter would go below the exchange that both readers of the parts share."""
+    for batch in batches:
+        yield batch.filter(pc.greater_equal(batch.column("bucket"), 0))
 
 
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` of every document."""
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = written(parts(docs, buckets, key, text, part_bytes), "bpe-parts")
-    words = cut.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
-    back = encoded(words, path).unionByName(cut.filter("bucket < 0"))
-    return put_together(back.repartition("part").sortWithinPartitions("part", "bucket"), path)
+    cut = parts(docs, buckets, key, text, part_bytes).repartition("part")  # one exchange, read twice
+    words = cut.mapInArrow(only_words, PARTS).repartition("bucket").sortWithinPartitions("bucket")
+    return cut.groupBy("part").cogroup(encoded(words, path).groupBy("part")).applyInArrow(put_together(path), DOCS)
 
 
 def op5_distinct_word_bpe(spark, sf_dir) -> DataFrame:
