@@ -3,16 +3,20 @@
 A document is its set of ``width``-word shingles. Its sketch has ``REGISTERS`` buckets; a bucket
 keeps, of the smallest hash that falls into it, the count of leading zeros and ``MANTISSA`` bits
 after them, in 32 bits; buckets that stay empty borrow a value for banding. ``BANDS`` bands of registers propose candidates: at a Jaccard similarity of
-0.75, 5 pairs in a million share no band. A candidate pair whose estimate from the registers, with
-chance collisions taken out, lies ``SLACK`` below the threshold is dropped (less than one pair in a
+0.75 and with independent registers, 5 pairs in a million share no band. A candidate pair whose estimate from the registers, with
+chance collisions taken out, lies ``SLACK`` below the threshold is dropped (by the normal law less than one pair in a
 million at the threshold); all others are confirmed on the full sets.
 
+Of small sets a few shared buckets make both chances much larger (sets of 4 and 3 shingles: 3 in
+20,000 pairs fall below the cut). So pairs whose smaller set has at most ``FEW`` shingles are not left
+to the sketch: all that share a rare shingle are candidates too, and none is dropped by its estimate.
+
 Documents with equal sets are one class and go on as one. Within a band, documents that are linked
 already need no further look at each other, so links are sought in turns: first every document
 with the one, among the bands' smallest members, with which it shares most bands; then with a
 random member of each band; then all pairs between different components that are left: within a
-band of up to ``DIRECT`` members directly, and among the members of larger bands where they share
-one of their rarest shingles, which no pair at the threshold lacks.
+band of up to ``DIRECT`` members directly, and among the members of larger bands and all small sets
+where they share one of their rarest shingles, which no pair at the threshold lacks.
 
 Null or empty texts, and such without words, have no shingles and no links; null identifiers can't
 name a component: such rows have a null component and stay; rows that repeat an identifier are one
@@ -44,6 +48,8 @@ ZEROS, MANTISSA = 6, 26
 PROBES = 64
 #: Members of a band up to which all its pairs are looked at.
 DIRECT = 16
+#: Shingles of the smaller set up to which all pairs at the threshold are found, sketch or not.
+FEW = 64
 #: Five standard deviations of the estimate at 0.75.
 SLACK = 0.2
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -193,7 +199,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
         return df
 
     sized = beside(pairs, "n", "registers")
-    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (estimate(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb")) >= percent / 100 - SLACK)
+    likely = (F.least("na", "nb") <= FEW) | (estimate(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb")) >= percent / 100 - SLACK)
+    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & likely
     left = written(sized.filter(near).select("a", "b", "na", "nb"), "estimated")
     common = F.size(F.array_intersect("ha", "hb"))
     return beside(left, "hashes").filter(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select("a", "b")
@@ -231,11 +238,13 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     """``id, n, component`` of every row of ``docs``."""
     every = written(sketched(docs, key, text), "sketches")
     some = every.filter("n > 0 AND id IS NOT NULL")
-    classes = written(some.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    single = some.join(classes.withColumnRenamed("rep", "id"), ["digest", "id"], "left_semi").select("id", F.explode("bands").alias("band"))
+    classes = written(some.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
+    single = some.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").select("id", F.explode("bands").alias("band"))
     spread = written(single, "bands")
     shared = written(spread.join(spread.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n > 1"), "band").select("band", "id", "least"), "shared-bands")
-    needed = shared.select("id").distinct()
+    # what can be, with another set, a pair whose smaller set has FEW shingles at most
+    short = classes.filter((F.col("n") * percent <= FEW * 100) & (F.col("n") * 100 >= (F.col("n") + 1) * percent)).select(F.col("rep").alias("id"))
+    needed = shared.select("id").unionByName(short).distinct()
     sets = written(full_sets(docs.join(needed.withColumnRenamed("id", key), key, "left_semi"), key, text), "shingle-sets")
 
     # first turn: the smallest member with which a document shares most bands
@@ -253,13 +262,16 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
             left = written(left.select("band", "id", "root", "members"), "mixed-bands")
             few, many = left.filter(F.col("members") <= DIRECT), left.filter(F.col("members") > DIRECT)
             direct = few.select("band", F.col("id").alias("a"), F.col("root").alias("ra")).join(few.select("band", F.col("id").alias("b"), F.col("root").alias("rb")), "band").filter("ra < rb").select("a", "b")
-            prefixes = written(rare_first(sets, many.select("id", "root").distinct(), percent), "rare-shingles")
+            rooted = short.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+            prefixes = written(rare_first(sets, many.select("id", "root").unionByName(rooted).distinct(), percent), "rare-shingles")
+            # a shingle within one component has no pair to offer
+            prefixes = prefixes.join(prefixes.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token"), "token", "left_semi")
             pairs = direct.unionByName(rare_pairs(prefixes, percent))
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         links = links.unionByName(written(confirmed(pairs, sets, percent), "links"))
         roots = written(components(links), "roots")
 
-    named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
+    named = classes.drop("n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
     linked = some.select("id", "n", "digest").join(named, "digest").select("id", "n", "component")
     return linked.unionByName(every.filter("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component")))
 

@@ -469,3 +469,9 @@ def test_near_dedup_with_a_passage_that_many_share(table_of):
             own = own[: len(own) // 3]
         rows.append((i, " ".join(passage[: int(rng.integers(30, 41))] + own)))
     assert {r["id"]: (r["n"], r["component"]) for r in near_dedup.assign(table_of(rows)).collect()} == near(dict(rows))
+
+
+def test_near_dedup_of_short_texts_that_the_sketch_loses(table_of):
+    """Sets of 4 and 3 shingles, similar by exactly 0.75: all estimates lie below the cut, and the last pair shares no band either."""
+    rows = [(2 * k + j, " ".join(f"{c}{k}" for c in "abcdefgh"[: 8 - j])) for k in (2291, 16464, 18041) for j in (0, 1)]
+    assert {r["id"]: (r["n"], r["component"]) for r in near_dedup.assign(table_of(rows)).collect()} == near(dict(rows))
