@@ -163,30 +163,29 @@ def full_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     return slim(docs, key, text).withColumn(key, F.col(key).cast("long")).mapInArrow(run, "id long, n long, hashes array<long>, registers array<int>")
 
 
-def collisions(n: float, m: float) -> float:
+def collisions(n: Column, m: Column) -> Column:
     """The share of registers that two unrelated sets of ``n`` and ``m`` shingles agree on by chance.
 
     A bucket's smallest hash has z zeros with a chance that the two sizes set; given equal zeros,
     the mantissas agree once in 2**MANTISSA.
     """
-    total = 0.0
-    for z in range((1 << ZEROS) - 1):
-        high, low = 2.0**-z, 2.0 ** -(z + 1)
-        each = [(1 - low / REGISTERS) ** x - (1 - high / REGISTERS) ** x for x in (n, m)]
-        total += each[0] * each[1]
-    return total / 2.0**MANTISSA
 
+    def both(z: Column) -> Column:
+        high = F.pow(F.lit(2.0), -z) / REGISTERS
+        each = [F.pow(1 - high / 2, x) - F.pow(1 - high, x) for x in (n, m)]
+        return each[0] * each[1]
 
-def estimate(one: Column, other: Column, n: Column, m: Column) -> Column:
-    """Jaccard similarity from registers: the share of those not empty in both that agree, less what agrees by chance.
+    zeros = F.sequence(F.lit(0), F.lit((1 << ZEROS) - 2))
+    return F.aggregate(zeros, F.lit(0.0), lambda a, z: a + both(z)) / 2.0**MANTISSA
 
-    The chance is taken at its bound, that of one mantissa, so that no estimate falls below the exact rule's by more than 2**-MANTISSA.
-    """
+
+def estimate(one: Column, other: Column, n: Column, m: Column) -> Column:
+    """Jaccard similarity from registers: the share of those not empty in both that agree, less what agrees by chance between sets of ``n`` and ``m``."""
     pairs = F.zip_with(one, other, lambda x, y: F.when((x == 0) & (y == 0), F.lit(None)).otherwise((x == y).cast("int")))
     used = F.filter(pairs, lambda x: x.isNotNull())
     same = F.aggregate(used, F.lit(0), lambda a, x: a + x)
     share = same / F.greatest(F.size(used), F.lit(1))
-    chance = F.lit(2.0**-MANTISSA)
+    chance = collisions(n, m)
     return (share - chance) / (F.lit(1.0) - chance)
 
 

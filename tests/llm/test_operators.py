@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import bpe, exact_dedup, media, near_dedup, packing, queries, sharding, suffix_dedup, token_counts, toxicity, warc
 from brute import WHITE, near, sha256, unigram, without_repeats
@@ -475,3 +476,17 @@ def test_near_dedup_of_short_texts_that_the_sketch_loses(table_of):
     """Sets of 4 and 3 shingles, similar by exactly 0.75: all estimates lie below the cut, and the last pair shares no band either."""
     rows = [(2 * k + j, " ".join(f"{c}{k}" for c in "abcdefgh"[: 8 - j])) for k in (2291, 16464, 18041) for j in (0, 1)]
     assert {r["id"]: (r["n"], r["component"]) for r in near_dedup.assign(table_of(rows)).collect()} == near(dict(rows))
+
+
+def test_the_estimate_takes_out_what_sets_of_these_sizes_share_by_chance(spark):
+    def chance(n, m):
+        total = 0.0
+        for z in range((1 << near_dedup.ZEROS) - 1):
+            high, low = (2.0**-k / near_dedup.REGISTERS for k in (z, z + 1))
+            total += ((1 - low) ** n - (1 - high) ** n) * ((1 - low) ** m - (1 - high) ** m)
+        return total / 2.0**near_dedup.MANTISSA
+
+    sizes = [(65, 87), (300, 400), (20_000, 25_000)]
+    apart = spark.createDataFrame([([1, 2], [3, 4], n, m) for n, m in sizes], "x array<int>, y array<int>, n long, m long")
+    got = {(r["n"], r["m"]): r["e"] for r in apart.select("n", "m", near_dedup.estimate(F.col("x"), F.col("y"), F.col("n"), F.col("m")).alias("e")).collect()}
+    assert got == {(n, m): pytest.approx(-chance(n, m) / (1 - chance(n, m)), rel=1e-6) for n, m in sizes}
