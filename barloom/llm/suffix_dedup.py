@@ -6,9 +6,13 @@ bytes has an anchor, the start of its ``GRAM`` bytes with the smallest hash, and
 equal anchors, so it is enough to sort the suffixes at anchors, with what stands before them. One
 anchor serves some 35 windows.
 
-1. ``parts`` holds the texts, some MB to a row, with their anchors.
-2. Hashes of the anchors' GRAM bytes are dealt out by hash; those seen once can't repeat. In the
-   same exchange texts that equal an earlier one are found; they need no look at their suffixes.
+1. ``parts`` holds the texts, some MB to a row, with their anchors. Where a text repeats itself at
+   short distance (rulers, padding) an anchor whose windows equal those of an earlier one of the same
+   text goes at once, a chunk at a time; its windows are kept as ranges that are known to repeat.
+2. Hashes of the anchors' GRAM bytes, counted in each part, are dealt out by hash; those seen once
+   can't repeat, and of those seen more than HOT times each window is sorted by itself, in the bucket
+   of its own hash. In the same exchange texts that equal an earlier one are found; they need no look
+   at their suffixes.
 3. Each part sorts its suffixes at anchors seen again, drops those that equal an earlier one in the
    part (whose windows all repeat), and sends sorted runs, front-coded, to buckets by the hash.
 4. A bucket merges its runs by a loser tree: every contender knows how many bytes it shares with the
@@ -47,6 +51,10 @@ PLACES = LENGTH - GRAM + 1
 KEY = LENGTH + PLACES - 1
 PART_BYTES = 8 << 20
 CHUNK = 1 << 20
+#: Keys that are built or compared at once.
+KEYS = 1 << 14
+#: Anchors with the same bytes up to which they share a bucket.
+HOT = 1 << 18
 LAST = np.iinfo(np.int64).max
 ROWS = "part string, bucket int, body binary"
 SCHEMA = pa.schema([("part", pa.string()), ("bucket", pa.int32()), ("body", pa.binary())])
@@ -84,9 +92,9 @@ def _batch(*rows: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
 
 
-def anchors(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of the windows of some texts, each with the first and last window that it serves. All are places in ``body``."""
-    found = []
+def anchors(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the windows of some texts, each with the first and last window that it serves, and ranges of windows that repeat earlier ones of their text. All are places in ``body``."""
+    found, known = [], []
     for c in range(0, len(body), CHUNK):
         own = body[c : c + CHUNK + LENGTH - 1]
         n = len(own) - GRAM + 1
@@ -101,12 +109,50 @@ def anchors(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
             have += step
         window = start[: len(key)] + c
         inside = window + LENGTH <= at[np.searchsorted(at, window, "right")]
-        found.append(_runs_of(window[inside], (key[inside] & np.uint64((1 << 24) - 1)).astype(np.int64) + c))
+        place, low, high = _runs_of(window[inside], (key[inside] & np.uint64((1 << 24) - 1)).astype(np.int64) + c)
+        doc = np.searchsorted(at, low, "right")
+        copy = copies(body, place, low, high, span_hashes(body, place, low, high) ^ mixed(doc.astype(np.uint64))) if len(low) else np.empty(0, bool)
+        known.append(_ranges(low[copy], high[copy]))
+        found.append((place[~copy], low[~copy], high[~copy]))
     if not found:
-        return (np.empty(0, np.int64),) * 3
+        return (np.empty(0, np.int64),) * 5
+    again = _ranges(*(np.concatenate(x) for x in zip(*known, strict=True)))
     place, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
     new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (low[1:] != high[:-1] + 1))[: len(place)])
-    return place[new], low[new], high[np.append(new[1:], len(high)) - 1] if len(high) else high
+    return place[new], low[new], high[np.append(new[1:], len(high)) - 1] if len(high) else high, *again
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending ranges, those that touch as one. Windows of two texts never touch."""
+    new = np.flatnonzero(np.append(True, low[1:] != high[:-1] + 1)[: len(low)])
+    return low[new], high[np.append(new[1:], len(high)) - 1] if len(high) else high
+
+
+def span_hashes(text: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Of the bytes of all windows of each anchor, and where the anchor is in them. ``low`` ascends."""
+    out = np.empty(len(low), np.uint64)
+    a = 0
+    while a < len(low):
+        k = int(low[a])
+        b = int(np.searchsorted(low, k + CHUNK))
+        own = text[k : int(high[a:b].max()) + LENGTH]
+        out[a:b] = range_hashes(own, low[a:b] - k, high[a:b] + LENGTH - k) ^ mixed((place[a:b] - low[a:b]).astype(np.uint64))
+        a = b
+    return out
+
+
+def copies(text: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Which anchors have the same windows as the first of their ``name`` (a hash). Exact: bytes are compared."""
+    order = np.argsort(name, kind="stable")
+    later = np.append(False, name[order][1:] == name[order][:-1])[: len(name)]
+    first = order[np.maximum.accumulate(np.where(later, 0, np.arange(len(name))))]
+    hit, of = order[later], first[later]
+    out = np.zeros(len(name), bool)
+    for k in range(0, len(hit), KEYS):
+        i, j = hit[k : k + KEYS], of[k : k + KEYS]
+        alike = (place[i] - low[i] == place[j] - low[j]) & (high[i] - place[i] == high[j] - place[j])
+        out[i] = alike & (keys_of(text, place[i], low[i], high[i]) == keys_of(text, place[j], low[j], high[j])).all(axis=1)
+    return out
 
 
 def _runs_of(window: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,11 +170,11 @@ def parts(docs: DataFrame, key: str, text: str, part_bytes: int) -> DataFrame:
         body, at = np.concatenate(bodies), np.append(0, np.cumsum(np.concatenate(sizes)))
         raw = body.tobytes()
         digest = np.frombuffer(b"".join(hashlib.sha256(raw[a:b]).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), np.uint8)
-        place, low, high = anchors(body, at)
+        place, low, high, known_low, known_high = anchors(body, at)
         doc = np.searchsorted(at, low, "right") - 1
         order = np.array([LAST if x is None else x for x in ids], np.int64)
         null = np.array([x is None for x in ids], np.uint8)
-        yield _batch((uuid.uuid4().hex, TEXTS, packed(order=order, null=null, digest=digest, size=np.diff(at), text=body, back=(place - low).astype(np.uint8), windows=(high - low).astype(np.uint8), low=np.diff(low - at[doc], prepend=0).astype(np.int32), doc=np.diff(doc, prepend=0).astype(np.int32))))
+        yield _batch((uuid.uuid4().hex, TEXTS, packed(order=order, null=null, digest=digest, size=np.diff(at), text=body, back=(place - low).astype(np.uint8), windows=(high - low).astype(np.uint8), low=np.diff(low - at[doc], prepend=0).astype(np.int32), doc=np.diff(doc, prepend=0).astype(np.int32), known_low=known_low, known_high=known_high)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, bodies, sizes, held = [], [], [], 0
@@ -158,6 +204,7 @@ class Part:
         self.doc = np.cumsum(x["doc"], dtype=np.int64)
         self.low = np.cumsum(x["low"], dtype=np.int64) + self.at[self.doc]
         self.place, self.high = self.low + x["back"], self.low + x["windows"]
+        self.known_low, self.known_high = x["known_low"], x["known_high"]
         self.digest8 = np.ascontiguousarray(self.digest[:, :8]).view("<u8").reshape(-1)
 
     def hashes(self) -> np.ndarray:
@@ -219,28 +266,30 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Part, lis
 
 
 def hashed(buckets: int):
-    """Each part's anchor hashes and text digests, by bucket."""
+    """Each part's distinct anchor hashes with their counts, and its text digests, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, body in _rows(batches):
             own = Part(body)
-            h = own.hashes()
+            h, count = np.unique(own.hashes(), return_counts=True)
             grams, texts = dict(_split(_buckets(h, buckets), buckets)), dict(_split(_buckets(own.digest8, buckets), buckets))
             none = np.empty(0, np.int64)
             for k in sorted({*grams, *texts}):
                 g, t = grams.get(k, none), texts.get(k, none)
-                yield _batch((part, k, packed(hashes=h[g], digest=own.digest[t].reshape(-1), order=own.order[t])))
+                yield _batch((part, k, packed(hashes=h[g], count=count[g], digest=own.digest[t].reshape(-1), order=own.order[t])))
 
     return run
 
 
-def seen_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row of a bucket: which hashes are seen more than once in it, and which texts equal an earlier one."""
+def seen_again(batches: Iterator[pa.RecordBatch], hot: int = HOT) -> Iterator[pa.RecordBatch]:
+    """For each row of a bucket: which hashes are seen more than once in it, which more than ``hot`` times, and which texts equal an earlier one."""
     for bucket, rows in _by_bucket(batches):
         held = [unpacked(body) for _, body in rows]
         hashes = np.concatenate([x["hashes"] for x in held])
-        _, number, count = np.unique(hashes, return_inverse=True, return_counts=True)
-        again = count[number] > 1
+        _, number = np.unique(hashes, return_inverse=True)
+        count = np.zeros(len(hashes), np.int64)
+        np.add.at(count, number, np.concatenate([x["count"] for x in held]))
+        again, often = count[number] > 1, count[number] > hot
         digest = np.concatenate([x["digest"] for x in held])
         name = np.ascontiguousarray(digest).view("S32").reshape(-1)
         order = np.concatenate([x["order"] for x in held])
@@ -251,7 +300,7 @@ def seen_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = b = 0
         for (part, _), x in zip(rows, held, strict=True):
             c, d = a + len(x["hashes"]), b + len(x["order"])
-            yield _batch((part, bucket, packed(again=np.packbits(again[a:c]), later=np.packbits(later[b:d]))))
+            yield _batch((part, bucket, packed(again=np.packbits(again[a:c]), hot=np.packbits(often[a:c]), later=np.packbits(later[b:d]))))
             a, b = c, d
 
 
@@ -259,6 +308,10 @@ def keys_of(text: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarr
     """The keys of suffixes at ``place``, KEY bytes each."""
     ahead, behind = np.arange(LENGTH), np.arange(1, PLACES)
     out = np.zeros((len(place), KEY), np.uint8)
+    if len(place) > KEYS:
+        for k in range(0, len(place), KEYS):
+            out[k : k + KEYS] = keys_of(text, place[k : k + KEYS], low[k : k + KEYS], high[k : k + KEYS])
+        return out
     reach = (high + LENGTH - place)[:, None]
     right = ahead[None, :] < reach
     out[:, :LENGTH][right] = text[(place[:, None] + ahead[None, :])[right]]
@@ -281,34 +334,44 @@ def runs(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, own, back in _by_part(batches):
-            h = own.hashes()
-            again, later = np.zeros(len(h), bool), np.zeros(len(own.order), bool)
+            h, number = np.unique(own.hashes(), return_inverse=True)
+            again, hot, later = np.zeros(len(h), bool), np.zeros(len(h), bool), np.zeros(len(own.order), bool)
             grams, texts = dict(_split(_buckets(h, buckets), buckets)), dict(_split(_buckets(own.digest8, buckets), buckets))
             for k, body in back:
                 x = unpacked(body)
-                for where, bits, to in ((grams.get(k), x["again"], again), (texts.get(k), x["later"], later)):
+                for where, bits, to in ((grams.get(k), x["again"], again), (grams.get(k), x["hot"], hot), (texts.get(k), x["later"], later)):
                     if where is not None:
                         to[where] = np.unpackbits(bits, count=len(where)).astype(bool)
             known_doc, known_from, known_to = [np.flatnonzero(later)], [own.at[:-1][later]], [own.at[1:][later] - LENGTH]
-            some = np.flatnonzero(again & ~later[own.doc])
-            for k, mine in _split(_buckets(h[some], buckets), buckets):
-                i = some[mine]
-                key = keys_of(own.text, own.place[i], own.low[i], own.high[i])
-                name = np.ascontiguousarray(key).view(f"S{KEY}").reshape(-1)
-                doc = own.doc[i]
-                order = np.lexsort((own.place[i], own.digest8[doc], own.order[doc], name))
+            known_doc.append(np.searchsorted(own.at, own.known_low, "right") - 1)
+            known_from.append(own.known_low)
+            known_to.append(own.known_high)
+            some = np.flatnonzero(again[number] & ~later[own.doc])
+            alone = hot[number[some]]
+            place, low, high, docs = (x[some[~alone]] for x in (own.place, own.low, own.high, own.doc))
+            bucket = _buckets(h[number[some[~alone]]], buckets)
+            groups = [(place, low, high, docs, bucket, span_hashes(own.text, place, low, high))]
+            if alone.any():  # each window by itself
+                i = some[alone]
+                each = own.high[i] - own.low[i] + 1
+                window = np.arange(each.sum()) + np.repeat(own.low[i] - (np.cumsum(each) - each), each)
+                name = span_hashes(own.text, window, window, window)
+                groups.append((window, window, window, np.repeat(own.doc[i], each), _buckets(name, buckets), name))
+            place, low, high, docs, bucket, name = (np.concatenate(x) for x in zip(*groups, strict=True))
+            for k, i in _split(bucket, buckets):
+                i = i[np.lexsort((place[i], own.digest8[docs[i]], own.order[docs[i]]))]
+                # the same bytes and the same windows as an earlier one: all repeat
+                copy = copies(own.text, place[i], low[i], high[i], name[i])
+                known_doc.append(docs[i[copy]])
+                known_from.append(low[i[copy]])
+                known_to.append(high[i[copy]])
+                i = i[~copy]
+                key = keys_of(own.text, place[i], low[i], high[i])
+                order = np.argsort(np.ascontiguousarray(key).view(f"S{KEY}").reshape(-1), kind="stable")
                 i, key = i[order], key[order]
-                back_, ahead = (own.place - own.low)[i], (own.high - own.place)[i]
-                shared = shared_with_last(key)
-                # the same bytes and the same windows as the one before: all repeat
-                copy = (shared == KEY) & (np.diff(back_, prepend=-1) == 0) & (np.diff(ahead, prepend=-1000) == 0)
-                known_doc.append(own.doc[i[copy]])
-                known_from.append(own.low[i[copy]])
-                known_to.append(own.high[i[copy]])
-                stay = ~copy
-                i, key, shared = i[stay], key[stay], shared[stay]
+                shared, doc = shared_with_last(key), docs[i]
                 rest = np.arange(KEY)[None, :] >= shared[:, None]
-                yield _batch((part, k, packed(shared=shared, rest=key[rest], back=back_[stay].astype(np.uint8), ahead=ahead[stay].astype(np.int8), order=own.order[own.doc[i]], digest8=own.digest8[own.doc[i]], place=own.place[i] - own.at[own.doc[i]], doc=own.doc[i].astype(np.int32))))
+                yield _batch((part, k, packed(shared=shared, rest=key[rest], back=(place - low)[i].astype(np.uint8), ahead=(high - place)[i].astype(np.int8), order=own.order[doc], digest8=own.digest8[doc], place=place[i] - own.at[doc], doc=doc.astype(np.int32))))
             doc, low, high = np.concatenate(known_doc), np.concatenate(known_from), np.concatenate(known_to)
             long = high >= low
             yield _batch((part, COVERED - zlib.crc32(part.encode()) % buckets, packed(doc=doc[long].astype(np.int32), low=low[long], high=high[long])))
@@ -468,13 +531,13 @@ def removed_from(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows, held = [], 0
 
 
-def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, source_sha256, kept`` of every row of ``docs``."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = written(parts(docs, key, text, part_bytes), "suffix-parts")
     by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
     with_texts = lambda df: df.unionByName(texts).repartition("part").sortWithinPartitions("part", "bucket")
-    again = by_bucket(texts.mapInArrow(hashed(buckets), ROWS)).mapInArrow(seen_again, ROWS)
+    again = by_bucket(texts.mapInArrow(hashed(buckets), ROWS)).mapInArrow(lambda batches: seen_again(batches, hot), ROWS)
     sent = by_bucket(with_texts(again).mapInArrow(runs(buckets), ROWS))
     covered = sent.mapInArrow(merge, ROWS)
     return with_texts(covered).mapInArrow(removed_from, RESULT)

@@ -490,3 +490,34 @@ def test_the_estimate_takes_out_what_sets_of_these_sizes_share_by_chance(spark):
     apart = spark.createDataFrame([([1, 2], [3, 4], n, m) for n, m in sizes], "x array<int>, y array<int>, n long, m long")
     got = {(r["n"], r["m"]): r["e"] for r in apart.select("n", "m", near_dedup.estimate(F.col("x"), F.col("y"), F.col("n"), F.col("m")).alias("e")).collect()}
     assert got == {(n, m): pytest.approx(-chance(n, m) / (1 - chance(n, m)), rel=1e-6) for n, m in sizes}
+
+
+@pytest.mark.parametrize("period", [1, 2, 7, 50, 300])
+def test_texts_of_a_short_period_have_few_anchors(period):
+    raw = np.tile(np.arange(65, 65 + period, dtype=np.int64) % 251, 40_000 // period).astype(np.uint8)
+    place, low, high, known_low, known_high = suffix_dedup.anchors(raw, np.array([0, len(raw) // 2, len(raw)]))
+    assert len(place) <= 2 * period + 8 and len(known_low) <= 8
+    windows = np.zeros(len(raw), int)
+    for a, b in zip([*low, *known_low], [*high, *known_high], strict=True):
+        windows[a : b + 1] += 1
+    inside = np.ones(len(raw), int)
+    inside[-99:] = inside[len(raw) // 2 - 99 : len(raw) // 2] = 0
+    assert (windows == inside).all()
+
+
+def test_hashes_are_counted_before_they_are_sent(table_of):
+    rows = [(i, f"{i:04d} " + "".join(chr(97 + k * k % 23) for k in range(120))) for i in range(300)]
+    docs = table_of(rows).coalesce(1)
+    texts = suffix_dedup.parts(docs, "doc_id", "text", suffix_dedup.PART_BYTES)
+    sent = [suffix_dedup.unpacked(bytes(r["body"])) for r in texts.mapInArrow(suffix_dedup.hashed(4), suffix_dedup.ROWS).collect()]
+    assert all(len(np.unique(x["hashes"])) == len(x["hashes"]) for x in sent) and sum(x["count"].sum() for x in sent) >= 300
+
+
+@pytest.mark.parametrize("hot", [1, 10, 1 << 18])
+def test_suffix_dedup_of_hot_anchors_and_periods(table_of, hot):
+    rng = np.random.default_rng(6)
+    common = "".join(rng.choice(list("abcdefgh "), 130))
+    draw = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    rows = [(i, draw(rng.integers(0, 90)) + common[rng.integers(0, 40) :] + draw(rng.integers(0, 90)) + "ab" * int(rng.integers(0, 120)) + "-" * int(rng.integers(0, 300))) for i in range(60)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.assign(table_of(rows), part_bytes=2000, hot=hot).collect()}
+    assert got == without_repeats(rows)
