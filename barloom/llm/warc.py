@@ -103,12 +103,20 @@ def write_warc(spark: SparkSession, path: str, out: str, per_file: int = 50_000)
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """What each record says, with size and digest taken from the payload's bytes."""
+    """What each record says, with size and digest taken from the payload's bytes.
+
+    An error is raised when read where stored bytes don't have the digest under which they are
+    stored, or a head's digest or lengths aren't those of its payload.
+    """
     page = lambda name: F.regexp_extract(field(name), rf"<{URN}(-?\d+)>", 1)
     number = lambda x: F.when(x != "", x).cast("long")
+    size = F.octet_length("payload").cast("long")
+    http = F.substring_index("head", CRLF * 2, -2)  # what stands between the head's blank line and its last one
+    block = F.octet_length(http) + F.when(field("WARC-Type") == "revisit", 0).otherwise(size)
+    right = F.col("verified") & (field("WARC-Payload-Digest") == F.concat(F.lit("sha256:"), "digest")) & (field("Content-Length").cast("long") == block) & (F.regexp_extract(http, r"\r\nContent-Length: (\d+)\r\n", 1) == size.cast("string"))
     return records(spark, path).select(
         F.col("id").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.when(right, size).otherwise(F.raise_error(F.concat(F.lit("a record's head and payload don't agree: "), "digest")).cast("long")).alias("payload_bytes"),
         digest_of(F.col("payload")).alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
         number(page("WARC-Refers-To")).alias("refers_to"),

@@ -521,3 +521,15 @@ def test_suffix_dedup_of_hot_anchors_and_periods(table_of, hot):
     rows = [(i, draw(rng.integers(0, 90)) + common[rng.integers(0, 40) :] + draw(rng.integers(0, 90)) + "ab" * int(rng.integers(0, 120)) + "-" * int(rng.integers(0, 300))) for i in range(60)]
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.assign(table_of(rows), part_bytes=2000, hot=hot).collect()}
     assert got == without_repeats(rows)
+
+
+@pytest.mark.parametrize(("table", "column", "change"), [("payloads", "payload", "cast(concat(cast(payload AS string), '!') AS binary)"), ("heads", "head", "replace(head, 'sha256:', 'sha256:0')"), ("heads", "head", "regexp_replace(head, 'Content-Length: ', 'Content-Length: 1')")])
+def test_warc_reading_back_finds_damage(spark, tmp_path, table, column, change):
+    spark.createDataFrame([(1, "u", "x" * 200), (2, "u", "x" * 200), (3, "u", None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages"))
+    warc.write_archive(spark.read.parquet(str(tmp_path / "pages")), str(tmp_path / "archive"))
+    assert warc.read_back(spark, str(tmp_path / "archive")).count() == len(warc.read_back(spark, str(tmp_path / "archive")).collect()) == 3
+    for name in ("heads", "payloads"):
+        stored = spark.read.parquet(str(tmp_path / "archive" / name))
+        (stored.withColumn(column, F.expr(change)) if name == table else stored).write.parquet(str(tmp_path / "damaged" / name))
+    with pytest.raises(Exception, match="don't agree"):
+        warc.read_back(spark, str(tmp_path / "damaged")).collect()
