@@ -241,6 +241,18 @@ BODIES = {
 }
 
 
+#: Queries over whole tables: the windowed ones' SQL without its limits.
+PIECES["signals_whole"] = PIECES["signals"].replace(" AND ts <= DATE '1996-02-15'", "").replace(" WHERE ts BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'", "")
+PIECES |= {f"{p}_whole": PIECES[p].replace("signals", "signals_whole").replace("FROM sim", "FROM sim_whole") for p in ("sim", "run")}
+WHOLE = (*DAY, "signals_whole", "sim_whole")
+BODIES |= {
+    "backtest_equity_whole": ((*WHOLE, "run_whole"), "SELECT * FROM run_whole"),
+    "backtest_trades_whole": (WHOLE, BODIES["backtest_trades"][1].replace("FROM sim JOIN signals", "FROM sim_whole JOIN signals_whole")),
+    "backtest_headline_whole": ((*WHOLE, "run_whole"), headline("run_whole")),
+    "joined_dataset_whole": (("bars",), BODIES["joined_dataset"][1].replace(" AND day(b.ts) > 3", "")),
+}
+
+
 #: Columns that aren't doubles, and queries that have no others.
 KEYS = (
     "symbol", "ts", "label", "list", "group", "subgroup", "ticker", "ord", "List", "Group", "Subgroup", "Ticker", "SMA_Trend", "BB_Position", "GoldenCross_D1", "DeathCross_D1", "GoldenCross_W1", "DeathCross_W1",

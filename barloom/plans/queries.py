@@ -18,6 +18,8 @@ TICKERS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "NO DAT
 PLACES = 4
 KEPT = ("Group", "Subgroup", "Ticker")
 STRATEGY = backtest.Strategy("close", "close", [rules.Condition(1, "roc12", ">", 20.0, end="1996-02-15")], [rules.Condition(1, "roc12", "<", -20.0)])
+#: The same without a last day of entry, for whole tables.
+OPEN_STRATEGY = backtest.Strategy("close", "close", [rules.Condition(1, "roc12", ">", 20.0)], [rules.Condition(1, "roc12", "<", -20.0)])
 COSTS = backtest.Costs(10_000.0, 0.1, 0.05)
 
 
@@ -113,9 +115,14 @@ def scored(ind: str, name: str):
     return lambda spark, sf_dir: pivots.scored_divergence(indicators(spark, sf_dir), ind, name)
 
 
-def run_of(spark, sf_dir) -> DataFrame:
+def run_of(spark, sf_dir, strategy=STRATEGY, start: str | None = "1996-01-01", end: str | None = "2000-12-31") -> DataFrame:
     panel = base(spark, sf_dir).withColumn("roc12", rolling.roc("close")).select(F.col("symbol").alias("strategy_id"), F.col("ts").alias("date"), "close", "roc12")
-    return backtest.simulate(panel, STRATEGY, COSTS, "1996-01-01", "2000-12-31")
+    return backtest.simulate(panel, strategy, COSTS, start, end)
+
+
+def whole_run(spark, sf_dir) -> DataFrame:
+    """All bars of the table."""
+    return run_of(spark, sf_dir, OPEN_STRATEGY, None, None)
 
 
 def rule_signals(spark, sf_dir):
@@ -125,9 +132,9 @@ def rule_signals(spark, sf_dir):
     return rows.select("symbol", "ts", rules.signal(both, "close").alias("hit"), rules.signal([], "close").alias("never"))
 
 
-def joined(spark, sf_dir):
+def joined(spark, sf_dir, benchmark_days: str = "true"):
     own = lambda s: sources.bars_orders(spark, sf_dir).filter(F.col("symbol") == s).select(F.col("ts").alias("date"), "open", "high", "low", "close")
-    return uploads.joined(own(TICKERS[0]), own(TICKERS[1]), {"LOW": own(TICKERS[4]).filter("day(date) > 3")})
+    return uploads.joined(own(TICKERS[0]), own(TICKERS[1]), {"LOW": own(TICKERS[4]).filter(benchmark_days)})
 
 
 def warm_starts(spark, sf_dir):
@@ -214,12 +221,16 @@ PLAIN = {
     "backtest_equity": lambda s, d: backtest.equity(run_of(s, d)),
     "backtest_trades": lambda s, d: backtest.trades(run_of(s, d)),
     "backtest_headline": lambda s, d: performance.headline(backtest.equity(run_of(s, d)), 2.0),
+    "backtest_equity_whole": lambda s, d: backtest.equity(whole_run(s, d)),
+    "backtest_trades_whole": lambda s, d: backtest.trades(whole_run(s, d)),
+    "backtest_headline_whole": lambda s, d: performance.headline(backtest.equity(whole_run(s, d)), 2.0),
     "benchmark_curves": curves,
     "curve_drawdown": lambda s, d: performance.drawdown(curves(s, d)),
     "curve_headline": lambda s, d: performance.headline(curves(s, d), 2.0),
     "curve_yearly": lambda s, d: performance.yearly(curves(s, d)),
     "weekly_equity": weekly_equity,
-    "joined_dataset": joined,
+    "joined_dataset": lambda s, d: joined(s, d, "day(date) > 3"),
+    "joined_dataset_whole": joined,
     "warm_start": warm_starts,
     "upload_profile": lambda s, d: uploads.profile(text_orders(s, d), ["day", "price", "status"]),
     "upload_numbers": numbers_of_text,

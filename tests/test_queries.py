@@ -181,3 +181,16 @@ def test_weekly_stream(spark, tmp_path):
 def test_filters_reach_the_scan_and_windows_do_not_leave_the_jvm(spark):
     plan = queries.QUERIES["rolling_values"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double,o_orderdate:timestamp_ntz,o_orderpriority:string>" in plan
+
+
+def test_whole_backtests_and_benchmarks_leave_no_bars_out(spark):
+    bars = sources.bars_orders(spark, SF)
+    assert queries.QUERIES["backtest_equity_whole"](spark, SF).count() == queries.base(spark, SF).count()
+    low = {r["ts"] for r in bars.filter("symbol = '5-LOW'").collect()}
+    assert all((r["BMK_LOW_Close"] is not None) == (r["date"] in low) for r in queries.QUERIES["joined_dataset_whole"](spark, SF).collect())
+
+
+def test_joined_keeps_days_that_a_benchmark_lacks(spark):
+    own = lambda days: bars_of(spark, [1.0] * 4).filter(F.col("ts").isin([day(k) for k in days])).select(F.col("ts").alias("date"), "open", "high", "low", "close")
+    got = {r["date"]: r["BMK_B_Close"] for r in uploads.joined(own([0, 1, 2]), own([1, 2, 3]), {"B": own([2, 3])}).collect()}
+    assert got == {day(1): None, day(2): 1.0}
