@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import pretoken
 from barloom.llm.common import slim, table
-from barloom.llm.textblock import blocks, distinct_words, gather, text_bytes
+from barloom.llm.textblock import blocks, distinct_words, gather, text_bytes, tidied
 
 PART_BYTES = 24 << 20
 #: Buckets of a part's own rows.
@@ -119,7 +119,7 @@ def parts(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "text"
         if ids:
             yield from flush(name(), ids, known, numbers, sizes)
 
-    return slim(docs, key, text).mapInArrow(cut, PARTS)
+    return slim(docs, key, text).mapInArrow(tidied(cut), PARTS)
 
 
 def encoded(words: DataFrame, path: str) -> DataFrame:
@@ -141,7 +141,7 @@ def encoded(words: DataFrame, path: str) -> DataFrame:
                     got.append(ids)
                 yield _row(PARTS_ARROW, part, k, None, shrunk(np.fromiter(map(len, got), np.int64, len(got))), shrunk(np.fromiter((x for g in got for x in g), np.int64)))
 
-    return words.mapInArrow(encode, PARTS)
+    return words.mapInArrow(tidied(encode), PARTS)
 
 
 def put_together(path: str):

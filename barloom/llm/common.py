@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,22 +22,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in local tests, a
-    temporary folder is made and remembered in the session.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset in a session of one machine,
+    as in tests, a temporary folder is made and remembered in the session; elsewhere that's an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("barloom.shared.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("barloom.shared.dir", named)
     return named.rstrip("/")
 
 
+#: What this driver has written to the shared folder and not yet removed.
+_made: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made() -> set[str]:
+    """The folders that ``shared_path`` has given out and ``sweep`` hasn't removed."""
+    return set(_made)
+
+
+def sweep(spark: SparkSession, keep: Collection[str] = ()) -> None:
+    """Removes all intermediate tables but ``keep``. Results read some of them: call this when results have been read or written elsewhere."""
+    for path in [p for p in _made if p not in keep]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _made.remove(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, survives lost executors."""
+    """``df`` as a table in the shared folder: cuts lineage, survives lost executors. ``sweep`` removes it."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
@@ -49,7 +69,10 @@ ARROW_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Sets the session's limit for Arrow batches where it has none: plans read it only when they run, so it can't be put back here."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(ARROW_BYTES))
 
 
 def slim(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from barloom.llm.common import normal, shared_path, table, written
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: What the stream sets in the session while it runs. A store that preallocates files takes MB for each partition, however little it holds.
+STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+#: A micro-batch is half of the stream, so that later rows meet what earlier ones have left, but no more than this.
+BATCH_BYTES = 8 << 30
 #: Rows of one class that meet in one task when bytes are compared.
 CLASS_ROWS = 4096
 
@@ -47,16 +50,20 @@ def seen(stream: DataFrame) -> DataFrame:
     return stream.groupBy("digest", "n_bytes").agg(first.alias("first"), F.count("*").alias("n"))
 
 
-def run_stream(spark, source: str, trigger_bytes: int = 8 << 30) -> DataFrame:
+def run_stream(spark, source: str, trigger_bytes: int | None = None) -> DataFrame:
     """Feeds the facts in folder ``source`` through the state in micro-batches; returns the last state of every digest.
 
     A batch writes the entries that it changed under its own number, so a batch that is run again
     after a failure replaces what it had written.
     """
     found = spark.read.parquet(source)
+    if trigger_bytes is None:
+        files = found.select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.sum("file_size")).first()[0] or 1
+        trigger_bytes = min(BATCH_BYTES, -(-files // 2))
     out, state = (shared_path(spark, f"dedup-{x}") for x in ("changes", "state"))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         stream = spark.readStream.schema(found.schema).option("maxBytesPerTrigger", str(trigger_bytes)).parquet(source)
         query = (
@@ -69,12 +76,11 @@ def run_stream(spark, source: str, trigger_bytes: int = 8 << 30) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     if found.isEmpty():
         return seen(found)
     changes = spark.read.parquet(out)
-    if changes.select(F.max("batch")).first()[0] == 0:
-        return changes.drop("batch")
     last = changes.groupBy("digest", "n_bytes").agg(F.max_by(F.struct("first", "n"), "batch").alias("x"))
     return last.select("digest", "n_bytes", "x.first", "x.n")
 
@@ -91,7 +97,7 @@ def compared(docs: DataFrame, members: DataFrame, text: str) -> DataFrame:
     return salted.join(kept, ["digest", "n_bytes", "salt"]).select("id", "sha256", "digest", "n_bytes", "file", "row", "first", "n", (F.col("_text") == F.col("_kept")).alias("same"), F.when(F.col("_text") != F.col("_kept"), F.col("_text")).alias("other"))
 
 
-def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256, trigger_bytes: int = 8 << 30) -> DataFrame:
+def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256, trigger_bytes: int | None = None) -> DataFrame:
     """``id, keep_id, group_size, kept, sha256, file, row`` for every row of ``docs``."""
     spark = docs.sparkSession
     source = shared_path(spark, "dedup-facts")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import slim, table, written
+from barloom.llm.textblock import tidied
 
 UNIT = 64
 RATE = 8000
@@ -235,7 +236,7 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             media = [as_wave(x + b"\0" * (-len(x) % UNIT or UNIT * (not x))) for x in raw]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([UNKNOWN] * len(raw), pa.string()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "declared", "media"])
 
-    return slim(docs, key, text).withColumn(key, F.col(key).cast("long")).mapInArrow(run, "doc_id long, n_bytes long, declared string, media binary")
+    return slim(docs, key, text).withColumn(key, F.col(key).cast("long")).mapInArrow(tidied(run), "doc_id long, n_bytes long, declared string, media binary")
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, embedded array<struct<kind: string, start: long, length: long>>"
@@ -261,7 +262,7 @@ def features(stored: DataFrame) -> DataFrame:
                 rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature, inner))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], names=names)
 
-    return stored.select("doc_id", "n_bytes", "declared", "media").mapInArrow(run, FEATURES)
+    return stored.select("doc_id", "n_bytes", "declared", "media").mapInArrow(tidied(run), FEATURES)
 
 
 def op6_signature_sniffed_media(spark, sf_dir) -> DataFrame:

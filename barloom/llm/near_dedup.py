@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import slim, table, written
 from barloom.llm.components import components
-from barloom.llm.textblock import blocks, mixed, range_hashes, text_bytes
+from barloom.llm.textblock import blocks, mixed, range_hashes, text_bytes, tidied
 
 WIDTH = 5
 PERCENT = 75
@@ -147,7 +147,7 @@ def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
             size, digest, keys = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "digest", "bands"])
 
-    return slim(docs, key, text).withColumn(key, F.col(key).cast("long")).mapInArrow(run, "id long, n long, digest binary, bands array<long>")
+    return slim(docs, key, text).withColumn(key, F.col(key).cast("long")).mapInArrow(tidied(run), "id long, n long, digest binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -160,7 +160,7 @@ def full_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
             size = pa.array([len(h) for h in got], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array([h.view(np.int64) for h in got], pa.list_(pa.int64())), pa.array([registers(h).view(np.int32) for h in got], pa.list_(pa.int32()))], names=["id", "n", "hashes", "registers"])
 
-    return slim(docs, key, text).withColumn(key, F.col(key).cast("long")).mapInArrow(run, "id long, n long, hashes array<long>, registers array<int>")
+    return slim(docs, key, text).withColumn(key, F.col(key).cast("long")).mapInArrow(tidied(run), "id long, n long, hashes array<long>, registers array<int>")
 
 
 def collisions(n: Column, m: Column) -> Column:

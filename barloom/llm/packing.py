@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import pretoken
 from barloom.llm.common import numbered, slim, table, written
-from barloom.llm.textblock import WordPool, blocks, distinct_words, gather, text_bytes
+from barloom.llm.textblock import WordPool, blocks, distinct_words, gather, text_bytes, tidied
 
 CAPACITY = 1024
 END = 2
@@ -52,7 +52,7 @@ def tokenizer_words(path: str):
 
 @lru_cache(maxsize=1)
 def tokenizer_pool(path: str) -> WordPool:
-    """One pool for all tasks of a Python worker."""
+    """The pool of a Python worker; each task leaves it empty."""
     return WordPool(tokenizer_words(path))
 
 
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc
                         a, b, piece = b, b + capacity, piece + 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return slim(docs, key, text).mapInArrow(cut, PIECES)
+    return slim(docs, key, text).mapInArrow(tidied(cut, lambda: tokenizer_pool(path)), PIECES)
 
 
 @dataclass(frozen=True)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.llm.common import slim, table, written
-from barloom.llm.textblock import gather, mixed, range_hashes, text_bytes
+from barloom.llm.textblock import gather, mixed, range_hashes, text_bytes, tidied
 
 LENGTH = 100
 GRAM = 32
@@ -50,7 +50,7 @@ PLACES = LENGTH - GRAM + 1
 #: The key of a suffix: LENGTH bytes from the anchor on, then those before it, backwards; what windows can't reach is 0.
 KEY = LENGTH + PLACES - 1
 PART_BYTES = 8 << 20
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Keys that are built or compared at once.
 KEYS = 1 << 14
 #: Anchors with the same bytes up to which they share a bucket.
@@ -190,7 +190,7 @@ def parts(docs: DataFrame, key: str, text: str, part_bytes: int) -> DataFrame:
         if ids:
             yield from flush(ids, bodies, sizes)
 
-    return slim(docs, key, text).withColumn(key, F.col(key).cast("long")).mapInArrow(cut, ROWS)
+    return slim(docs, key, text).withColumn(key, F.col(key).cast("long")).mapInArrow(tidied(cut), ROWS)
 
 
 class Part:
@@ -537,10 +537,10 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes:
     texts = written(parts(docs, key, text, part_bytes), "suffix-parts")
     by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
     with_texts = lambda df: df.unionByName(texts).repartition("part").sortWithinPartitions("part", "bucket")
-    again = by_bucket(texts.mapInArrow(hashed(buckets), ROWS)).mapInArrow(lambda batches: seen_again(batches, hot), ROWS)
-    sent = by_bucket(with_texts(again).mapInArrow(runs(buckets), ROWS))
-    covered = sent.mapInArrow(merge, ROWS)
-    return with_texts(covered).mapInArrow(removed_from, RESULT)
+    again = by_bucket(texts.mapInArrow(tidied(hashed(buckets)), ROWS)).mapInArrow(tidied(lambda batches: seen_again(batches, hot)), ROWS)
+    sent = by_bucket(with_texts(again).mapInArrow(tidied(runs(buckets)), ROWS))
+    covered = sent.mapInArrow(tidied(merge), ROWS)
+    return with_texts(covered).mapInArrow(tidied(removed_from), RESULT)
 
 
 def whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
@@ -9,7 +10,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text makes a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Bytes that are hashed at once.
+SPAN_LOG2 = 20
 #: An odd multiplier and its inverse modulo 2**64, for hashes of byte ranges.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -59,10 +62,22 @@ def _byte_values() -> np.ndarray:
 
 
 def range_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """64-bit hashes of ``body[start:end]``; equal ranges have equal hashes in any block."""
+    """64-bit hashes of ``body[start:end]``; equal ranges have equal hashes in any block. In a long body, whose ranges must ascend, some are hashed at a time."""
+    if len(body) >> SPAN_LOG2 and len(start):
+        out = np.empty(len(start), np.uint64)
+        edge = np.unique(np.append(np.searchsorted(start, np.arange(0, len(body), 1 << SPAN_LOG2 - 1)), len(start)))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            first, last = int(start[a]), int(end[a:b].max())
+            out[a:b] = _range_hashes(body[first:last], start[a:b] - first, end[a:b] - first, base)
+        return out
+    return _range_hashes(body, start, end, base)
+
+
+def _range_hashes(body: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        log_n = max(20, int(len(body)).bit_length())
-        up, down = _powers(base, log_n)
+        log_n = max(SPAN_LOG2, int(len(body)).bit_length())
+        # tables for a range that is longer than a span aren't kept
+        up, down = _powers(base, log_n) if log_n == SPAN_LOG2 else _powers.__wrapped__(base, log_n)
         total = np.empty(len(body) + 1, np.uint64)
         total[0] = 0
         np.cumsum(_byte_values()[body] * up[: len(body)], out=total[1:])
@@ -93,6 +108,22 @@ def gather(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return pool[np.repeat(start - begin, length) + np.arange(total)]
 
 
+def tidied(run: Callable[[Iterator], Iterator], *pools) -> Callable[[Iterator], Iterator]:
+    """``run`` for an Arrow batch iterator. When its task ends, the pools' words go, and memory that isn't used goes back to the system: Python workers outlive their tasks."""
+
+    def own(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for pool in pools:
+                pool().clear()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return own
+
+
 class WordPool:
     """Numbers for distinct words, each computed once and kept while there is room."""
 

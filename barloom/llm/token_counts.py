@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import slim, table
-from barloom.llm.textblock import WordPool, blocks, distinct_words, text_bytes
+from barloom.llm.textblock import WordPool, blocks, distinct_words, text_bytes, tidied
 
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
@@ -86,7 +86,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 @lru_cache(maxsize=2)
 def pool_of(path: str) -> WordPool:
-    """Counts and scores of words, kept for all tasks of a Python worker."""
+    """Counts and scores of words; each task leaves it empty."""
     own = vocabulary(path)
     return WordPool(lambda words: [own.count(w.decode().replace(" ", SPACE)) for w in words], most=600_000, dtype=np.float64)
 
@@ -129,7 +129,7 @@ def counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             done = [np.concatenate(x) if x else np.empty(0) for x in (tokens, scores)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done[0].astype(np.int64)), pa.array(done[1])], names=["doc_id", "n_tokens", "score"])
 
-    return slim(docs, key, text).withColumn(key, F.col(key).cast("long")).mapInArrow(run, "doc_id long, n_tokens long, score double")
+    return slim(docs, key, text).withColumn(key, F.col(key).cast("long")).mapInArrow(tidied(run, lambda: pool_of(path)), "doc_id long, n_tokens long, score double")
 
 
 def op9_viterbi_token_counts(spark, sf_dir) -> DataFrame:

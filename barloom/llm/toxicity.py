@@ -23,7 +23,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -32,7 +31,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barloom.llm import pretoken
 from barloom.llm.common import slim, small_batches, table, written
-from barloom.llm.textblock import blocks, gather, mixed, text_bytes
+from barloom.llm.textblock import blocks, gather, mixed, text_bytes, tidied
+
+#: Words whose windows are looked at at once.
+WORDS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -114,8 +116,17 @@ def grams(point: np.ndarray, begin: np.ndarray, end: np.ndarray, s: Settings) ->
     return np.concatenate(of), np.concatenate(to)
 
 
-def best_windows(value: np.ndarray, edge: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each text (words ``edge[k]`` to ``edge[k + 1]``) where its best window of ``size`` words begins, and that window's mean; 0 without words."""
+def best_windows(word: np.ndarray, number: np.ndarray, edge: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text (words ``edge[k]`` to ``edge[k + 1]`` of ``number``) where its best window of ``size`` words begins, and that window's mean; 0 without words. ``word`` has the words' values. Some texts at a time."""
+    got = [(np.empty(0, np.int64), np.empty(0))]
+    for i, j in blocks(edge, WORDS):
+        begin, best = _best_windows(word[number[edge[i] : edge[j]]], edge[i : j + 1] - edge[i], size)
+        got.append((begin + edge[i], best))
+    begin, best = (np.concatenate(x) for x in zip(*got, strict=True))
+    return begin, best
+
+
+def _best_windows(value: np.ndarray, edge: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     before = np.append(0.0, np.cumsum(value))
     n = np.diff(edge)
     starts = np.where(n > 0, np.maximum(n - size, 0) + 1, 0)  # windows of each text
@@ -132,11 +143,11 @@ def best_windows(value: np.ndarray, edge: np.ndarray, size: int) -> tuple[np.nda
     return begin, best
 
 
-def dictionary(texts: list[str], s: Settings) -> tuple[np.ndarray, ...]:
-    """Each word of the texts as a number, how many words each text has, and word and bucket of the distinct words' n-grams, by word."""
-    body, at = text_bytes(pa.array(texts, pa.large_string()))
+def dictionary(texts: pa.Array, s: Settings) -> tuple[np.ndarray, ...]:
+    """Each word of the texts as a number, how many words each text has, and the distinct words' n-grams: how many each word has, and their buckets, by word."""
+    body, at = text_bytes(texts)
     known: dict[bytes, int] = {}
-    numbers, sizes, of, to = [np.empty(0, np.int32)], [], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+    numbers, sizes, of, to = [np.empty(0, np.int32)], [], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
     for i, j in blocks(at):
         point, begin, end, doc = words_of(body[at[i] : at[j]], at[i : j + 1] - at[i])
         first, number = distinct_ranges(point, begin, end)
@@ -149,16 +160,15 @@ def dictionary(texts: list[str], s: Settings) -> tuple[np.ndarray, ...]:
         end = np.cumsum([len(w) // 4 for w in some])
         word, bucket = grams(np.frombuffer(b"".join(some), "<u4"), np.append(0, end[:-1]), end, s)
         order = np.argsort(word, kind="stable")
-        of.append((word[order] + k).astype(np.int32))
+        of.append(np.bincount(word, minlength=len(some)))
         to.append(bucket[order].astype(np.int32))
     return np.concatenate(numbers), np.concatenate(sizes), np.concatenate(of), np.concatenate(to)
 
 
-def fit(texts: list[str], labels: np.ndarray, s: Settings = Settings()) -> tuple[np.ndarray, float]:
+def fit(texts: pa.Array, labels: np.ndarray, s: Settings = Settings()) -> tuple[np.ndarray, float]:
     """The folded model: a number for each bucket, already times the gain, and the intercept."""
     rng = np.random.default_rng(s.seed)
-    number, n, of, to = dictionary(texts, s)
-    count = np.bincount(of) if len(of) else np.empty(0, np.int64)
+    number, n, count, to = dictionary(texts, s)
     place, edge = np.cumsum(count) - count, np.append(0, np.cumsum(n))
     vectors = rng.normal(0, 0.1, (1 << s.buckets_log2, s.dim)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (s.dim, 2)), np.zeros(2)
@@ -169,8 +179,7 @@ def fit(texts: list[str], labels: np.ndarray, s: Settings = Settings()) -> tuple
             window = edge[:-1] + (rng.random(len(n)) * (np.maximum(n - s.window, 0) + 1)).astype(np.int64)
         else:
             folded = vectors @ (layer[:, 1] - layer[:, 0])
-            word = np.bincount(of, folded[to], len(count)) / count
-            window, _ = best_windows(word[number], edge, s.window)
+            window, _ = best_windows(np.add.reduceat(folded[to], place) / count, number, edge, s.window)  # every word has n-grams
         held = np.minimum(n, s.window)
         shuffled = rng.permutation(len(texts))
         for b in range(0, len(texts), s.batch):
@@ -205,7 +214,7 @@ def scores(body: np.ndarray, at: np.ndarray, table_of: np.ndarray, intercept: fl
         first, number = distinct_ranges(point, begin, end)
         of, to = grams(point, begin[first], end[first], s)
         word = np.bincount(of, table_of[to], len(first)) / np.bincount(of, minlength=len(first))
-        _, best = best_windows(word[number], np.append(0, np.cumsum(np.bincount(doc, minlength=len(best)))), s.window)
+        _, best = best_windows(word, number, np.append(0, np.cumsum(np.bincount(doc, minlength=len(best)))), s.window)
     return 1 / (1 + np.exp(-np.clip(best + intercept, -500, 500)))
 
 
@@ -220,17 +229,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     sample = marked.orderBy(F.xxhash64("_id"), "_id").limit(s.rows)  # short rows, which may be broadcast
     rows = slim(docs.filter(F.col(key).isNotNull()), key, text).withColumnsRenamed({key: "_id", text: "_text"}).join(F.broadcast(sample), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_id")
-        y = pdf["_label"].to_numpy(np.int64)
+    def run(sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by("_id")
+        y = sample["_label"].to_numpy().astype(np.int64)
         if len(set(y.tolist())) < 2:
             share = min(max(float(y.mean()), 1e-12), 1 - 1e-12)
             numbers, intercept = np.zeros(1 << s.buckets_log2, np.float32), float(np.log(share / (1 - share)))
         else:
-            numbers, intercept = fit(pdf["_text"].tolist(), y, s)
-        return pd.DataFrame({"numbers": [numbers.tobytes()], "intercept": [intercept]})
+            numbers, intercept = fit(sample["_text"].cast(pa.large_string()), y, s)
+        return pa.table({"numbers": pa.array([numbers.tobytes()], pa.binary()), "intercept": [intercept]})
 
-    return written(rows.groupBy().applyInPandas(run, "numbers binary, intercept double"), "toxicity-model")
+    return written(rows.groupBy().applyInArrow(run, "numbers binary, intercept double"), "toxicity-model")
 
 
 def score(docs: DataFrame, model: DataFrame, text: str = "text", name: str = "score", s: Settings = Settings()) -> DataFrame:
@@ -248,7 +257,7 @@ def score(docs: DataFrame, model: DataFrame, text: str = "text", name: str = "sc
             got = [scores(body[at[i] : at[j]], at[i : j + 1] - at[i], table_of, intercept, s) for i, j in blocks(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else np.empty(0))], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(tidied(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, s: Settings = Settings()) -> DataFrame:

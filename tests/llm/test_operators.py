@@ -390,6 +390,41 @@ def test_exact_dedup_null_and_repeated_identifiers(table_of):
     assert exact_dedup.survivors(docs).count() == 2
 
 
+def test_exact_dedup_state_takes_little_disk_over_many_partitions(odd, spark, texts):
+    """Allocated blocks of the stores, sampled while the stream runs; the session is left as it was."""
+    import os
+    import threading
+    import time
+
+    local = spark.sparkContext._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf())
+    allocated = lambda: sum(os.lstat(os.path.join(d, f)).st_blocks * 512 for d, _, files in os.walk(local) for f in files if os.path.lexists(os.path.join(d, f)))
+    before, most, done = allocated(), 0, threading.Event()
+
+    def watch():
+        nonlocal most
+        while not done.is_set():
+            try:
+                most = max(most, allocated())
+            except OSError:
+                pass
+            time.sleep(0.1)
+
+    settings = {c: spark.conf.get(c, None) for c in exact_dedup.STATE}
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = {r["id"]: r["keep_id"] for r in exact_dedup.assign(odd).collect()}
+    finally:
+        done.set()
+        watcher.join()
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert got == {i: w[0] for i, w in exact(texts).items()}
+    assert most - before < 60 << 20
+    assert settings == {c: spark.conf.get(c, None) for c in exact_dedup.STATE}
+
+
 def test_exact_dedup_query(spark, sf):
     same_as_sql(spark, sf, "op8_streaming_exact_dedup")
 
