@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 
 #: Text that stands for no value, in lower case (fixed values).
 NO_VALUE = ("", "nan", "none", "null")
-#: Date formats of uploads: ISO first, so that what was saved is read back as it was; then day first.
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy")
+#: Date formats of uploads, and what text must look like to be tried: ISO first, so that what was saved is read back as it was; then day first.
+DATE_FORMATS = {
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
+    "dd/MM/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "dd-MM-yyyy": r"^\d{2}-\d{2}-\d{4}$",
+    "dd.MM.yyyy": r"^\d{2}\.\d{2}\.\d{4}$",
+}
 
 
 def finite(c: Column) -> Column:
@@ -40,8 +46,9 @@ def number_of_text(c: Column) -> Column:
 
 
 def date_of_text(c: Column) -> Column:
+    """A timestamp by the first format that fits. A format is tried only on text of its shape, as one that doesn't fit costs an exception in the JVM."""
     text = F.trim(c.cast("string"))
-    return reduce(lambda a, b: F.coalesce(a, b), (F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS))
+    return F.coalesce(*(F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f))) for f, shape in DATE_FORMATS.items()))
 
 
 def any_of(items, default: bool = False) -> Column:

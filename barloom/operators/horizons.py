@@ -27,14 +27,27 @@ def as_of(value: str, days: int) -> Column:
     return F.max_by(F.when(good, F.col(value)), F.when(good, F.col("ts")))
 
 
+def performance_aggregates(value: str = "close", horizons: Mapping[str, int] = HORIZONS) -> list[Column]:
+    return [as_of(value, 0).alias("now"), *(as_of(value, d).alias(f"at_{h}") for h, d in horizons.items())]
+
+
+def performance_columns(horizons: Mapping[str, int] = HORIZONS) -> list[Column]:
+    return [pct(F.col("now"), F.col(f"at_{h}")).alias(f"Perf_{h}_%") for h in horizons]
+
+
 def performance(bars: DataFrame, horizons: Mapping[str, int] = HORIZONS) -> DataFrame:
     """``symbol, Perf_<horizon>_%``: change since each horizon; NULL where there is no value or it is 0."""
-    found = with_last_day(bars).groupBy("symbol").agg(as_of("close", 0).alias("now"), *(as_of("close", d).alias(h) for h, d in horizons.items()))
-    return found.select("symbol", *(pct(F.col("now"), F.col(h)).alias(f"Perf_{h}_%") for h in horizons))
+    return with_last_day(bars).groupBy("symbol").agg(*performance_aggregates("close", horizons)).select("symbol", *performance_columns(horizons))
+
+
+def high_aggregates(close: str = "close", high: str = "high") -> list[Column]:
+    return [F.max(F.when(F.col("ts") >= F.date_sub("today", YEAR_AND_TENTH), F.col(close))).alias("year_high"), F.max(high).alias("all_high")]
+
+
+def high_columns() -> list[Column]:
+    return [pct(F.col("now"), F.col("year_high")).alias("Price_vs_52W_High_%"), pct(F.col("now"), F.col("all_high")).alias("Price_vs_ATH_%")]
 
 
 def below_highs(bars: DataFrame) -> DataFrame:
     """``symbol, Price_vs_52W_High_%, Price_vs_ATH_%``: the last close against the highest close of a year and against the highest high."""
-    recent = F.when(F.col("ts") >= F.date_sub("today", YEAR_AND_TENTH), F.col("close"))
-    found = with_last_day(bars).groupBy("symbol").agg(as_of("close", 0).alias("now"), F.max(recent).alias("year"), F.max("high").alias("ath"))
-    return found.select("symbol", pct(F.col("now"), F.col("year")).alias("Price_vs_52W_High_%"), pct(F.col("now"), F.col("ath")).alias("Price_vs_ATH_%"))
+    return with_last_day(bars).groupBy("symbol").agg(as_of("close", 0).alias("now"), *high_aggregates()).select("symbol", *high_columns())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -63,38 +64,54 @@ def matched_pivots(bars: DataFrame, price: str, ind: str, low: bool, s: Divergen
     return found.select("symbol", "i", F.col(price).alias("p"), F.col("near.v").alias("v"), F.col("near.i").alias("t_ind"), "std", "n")
 
 
-def divergence_candidates(bars: DataFrame, ind: str, name: str, s: DivergenceSettings = DivergenceSettings()) -> DataFrame:
-    """Scored divergences of consecutive matched pivots. ``name``: RSI, MACD_HIST or ROC says how far an indicator must move."""
-    w = Window.partitionBy("symbol").orderBy("i")
-    sides = []
-    for side, price in ((0, "low"), (1, "high")):
-        own = matched_pivots(bars, price, ind, side == 0, s)
-        sides.append(own.withColumns({"t1": F.lag("i").over(w), "p1": F.lag("p").over(w), "v1": F.lag("v").over(w), "side": F.lit(side)}))
-    pairs = sides[0].unionByName(sides[1]).filter("t1 IS NOT NULL AND p1 <> 0")
-    span, dp, dv = F.col("i") - F.col("t1"), (F.col("p") - F.col("p1")) / F.col("p1"), F.col("v") - F.col("v1")
+def with_divergences(bars: DataFrame, kinds: Sequence[tuple[str, str, str]], s: DivergenceSettings = DivergenceSettings(), low: str = "low", high: str = "high", w: WindowSpec | None = None, whole: WindowSpec | None = None) -> DataFrame:
+    """``bars`` with ``<label>_low`` and ``<label>_high`` for each (label, indicator, name) of ``kinds``: the scored divergence that ends on a bar, if any.
+
+    A candidate goes from one matched pivot to the next. ``name`` (RSI, MACD_HIST or ROC) says how
+    far an indicator must move. Candidates are ``struct(score, side, t2, direction, type)`` and the
+    greatest is the best: of equal scores lows before highs, then the oldest. Both sides and all
+    indicators are columns of one frame, so they share its sorting.
+    """
+    w, whole = w or by_symbol(), whole or Window.partitionBy("symbol")
+    prices = {"low": low, "high": high}
+    both = [(label, ind, name, side) for label, ind, name in kinds for side in prices]
+    out = bars.withColumns({"i": F.row_number().over(w) - 1, "_n": F.count("*").over(whole)} | {f"_{side}_p": pivot(c, s.pivot_window, side == "low", w) for side, c in prices.items()} | {f"_{label}_std": rolling_std(ind, s.rolling_std_n, 5, w) for label, ind, _ in kinds} | {f"_{label}_{side}_ip": pivot(ind, s.pivot_window, side == "low", w) for label, ind, _, side in both})
+    out = out.withColumns({f"_{label}_{side}_near": nearest_indicator_pivot(ind, f"_{label}_{side}_ip", s.alignment_tolerance, w) for label, ind, _, side in both})
+    own = lambda label, side: F.when(F.col(f"_{side}_p") & F.col(f"_{label}_{side}_near").isNotNull(), F.struct("i", F.col(prices[side]).alias("p"), F.col(f"_{label}_{side}_near.v").alias("v")))
+    out = out.withColumns({f"_{label}_{side}_now": own(label, side) for label, _, _, side in both})
+    out = out.withColumns({f"_{label}_{side}_was": F.last(f"_{label}_{side}_now", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for label, _, _, side in both})
+    out = out.withColumns({f"{label}_{side}": _candidate(F.col(f"_{label}_{side}_was"), F.col(f"_{label}_{side}_now"), F.col(f"_{label}_std"), F.col("_n"), side == "low", name, s) for label, _, name, side in both})
+    return out.select(*bars.columns, *(f"{label}_{side}" for label, _, _, side in both))
+
+
+def _candidate(was: Column, now: Column, std: Column, n: Column, low: bool, name: str, s: DivergenceSettings) -> Column:
+    span, dp, dv, v, v1 = now["i"] - was["i"], F.try_divide(now["p"] - was["p"], F.when(was["p"] != 0, was["p"])), now["v"] - was["v"], now["v"], was["v"]
     need = {
         "RSI": F.lit(s.min_ind_move_rsi),
-        "MACD_HIST": s.min_ind_move_macd_std * (F.col("std") + s.eps),
-        "ROC": s.min_ind_move_roc_std * (F.col("std") + s.eps),
+        "MACD_HIST": s.min_ind_move_macd_std * (std + s.eps),
+        "ROC": s.min_ind_move_roc_std * (std + s.eps),
     }[name]
-    low = F.col("side") == 0
     rises, falls = (dp > 0) & (dv < 0), (dp < 0) & (dv > 0)
-    kind = F.when(low & falls, "regular_bull").when(low & rises, "hidden_bull").when(~low & rises, "regular_bear").when(~low & falls, "hidden_bear")
-    direction = F.when(low, "bull").otherwise("bear")
-    std = F.coalesce("std", F.lit(0.0))
+    kind = F.when(falls, "regular_bull").when(rises, "hidden_bull") if low else F.when(rises, "regular_bear").when(falls, "hidden_bear")
+    sd = F.coalesce(std, F.lit(0.0))
     if name == "RSI":
-        zone = (low & (F.least("v", "v1") < 30)) | (~low & (F.greatest("v", "v1") > 70))
+        zone = F.least(v, v1) < 30 if low else F.greatest(v, v1) > 70
     else:
-        zone = (F.col("v") * F.col("v1") < 0) | ((std > 0) & (F.greatest(F.abs("v"), F.abs("v1")) >= 1.5 * std))
-    raw = s.wp * F.abs(dp) + s.wi * F.abs(dv) / (std + s.eps) + s.wt * clamp(span / s.max_span, 0.0, 1.0) + s.wz * zone.cast("double")
-    near = (F.col("i") >= F.greatest(F.lit(0), F.col("n") - s.lookback_bars)) & (span > 0) & (span <= s.max_span) & (F.abs(dp) >= s.min_price_move) & (F.abs(dv) >= need)
-    return pairs.filter(near & kind.isNotNull()).select("symbol", "side", F.col("t1").cast("int").alias("t1"), F.col("i").cast("int").alias("t2"), direction.alias("direction"), kind.alias("type"), (100 * clamp(raw, 0.0, 1.0)).alias("score"))
+        zone = (v * v1 < 0) | ((sd > 0) & (F.greatest(F.abs(v), F.abs(v1)) >= 1.5 * sd))
+    raw = s.wp * F.abs(dp) + s.wi * F.abs(dv) / (sd + s.eps) + s.wt * clamp(span / s.max_span, 0.0, 1.0) + s.wz * zone.cast("double")
+    near = (now["i"] >= F.greatest(F.lit(0), n - s.lookback_bars)) & (span > 0) & (span <= s.max_span) & (F.abs(dp) >= s.min_price_move) & (F.abs(dv) >= need)
+    return F.when(near & kind.isNotNull(), F.struct((100 * clamp(raw, 0.0, 1.0)).alias("score"), F.lit(1 if low else 0).alias("side"), (-now["i"]).alias("t2"), F.lit("bull" if low else "bear").alias("direction"), kind.alias("type")))
+
+
+def best_divergence(label: str) -> Column:
+    """An aggregate over ``with_divergences``: the best candidate of both sides."""
+    return F.greatest(F.max(f"{label}_low"), F.max(f"{label}_high"))
 
 
 def scored_divergence(bars: DataFrame, ind: str, name: str, s: DivergenceSettings = DivergenceSettings()) -> DataFrame:
-    """``symbol, direction, score, type`` for every symbol of ``bars``: the best candidate; of equal ones lows before highs, then the oldest; else "nothing"."""
-    best = divergence_candidates(bars, ind, name, s).groupBy("symbol").agg(F.max_by(F.struct("direction", "score", "type"), F.struct("score", -F.col("side"), -F.col("t2"))).alias("b"))
-    return bars.select("symbol").distinct().join(best, "symbol", "left").select("symbol", F.coalesce("b.direction", F.lit("nothing")).alias("direction"), F.col("b.score").alias("score"), F.coalesce("b.type", F.lit("none")).alias("type"))
+    """``symbol, direction, score, type`` for every symbol of ``bars``: the best candidate, else "nothing"."""
+    found = with_divergences(bars, [("d", ind, name)], s).groupBy("symbol").agg(best_divergence("d").alias("b"))
+    return found.select("symbol", F.coalesce("b.direction", F.lit("nothing")).alias("direction"), F.col("b.score").alias("score"), F.coalesce("b.type", F.lit("none")).alias("type"))
 
 
 def boolean_divergence(price: str, ind: str, bull: bool, side: int = 3, lookback: int = 60, causal: bool = False, key: str = "symbol", ts: str = "ts") -> list[tuple[str, Column]]:

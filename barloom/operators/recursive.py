@@ -6,6 +6,8 @@ day) are a bounded group. Two conventions exist for RSI and MACD: the screener's
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,18 +67,28 @@ def macd_histogram(close: pd.Series, fast: int = 12, slow: int = 26, signal: int
     return line - mean(line, signal)
 
 
-def with_recursive(bars: DataFrame) -> DataFrame:
-    """``bars`` with all of COLUMNS, one grouped pass over each symbol."""
+def with_recursive(bars: DataFrame, columns: Sequence[str] = COLUMNS, where: str | None = None) -> DataFrame:
+    """``bars`` with recursive indicators (all of COLUMNS, or some), one grouped pass over each symbol. ``where`` names a boolean column: other rows take no part and have none."""
+    some = set(columns)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
+    def computed(pdf: pd.DataFrame) -> pd.DataFrame:
         close = pdf["close"].astype("float64")
-        pdf["ewm12"] = close.ewm(span=12, adjust=False).mean()
-        pdf["wilder14"] = wilder(close.to_numpy(), 14)
-        pdf["rsi_screen"], pdf["rsi_tester"] = rsi_screen(close), rsi_tester(close)
-        pdf["macd_screen"], pdf["macd_tester"] = macd_histogram(close), macd_histogram(close, warm=False)
-        pdf["adx"], pdf["di_plus"], pdf["di_minus"] = directional(*(pdf[c].to_numpy("float64") for c in ("high", "low", "close")))
-        return pdf
+        made = {
+            "ewm12": lambda: close.ewm(span=12, adjust=False).mean(),
+            "wilder14": lambda: wilder(close.to_numpy(), 14),
+            "rsi_screen": lambda: rsi_screen(close),
+            "rsi_tester": lambda: rsi_tester(close),
+            "macd_screen": lambda: macd_histogram(close),
+            "macd_tester": lambda: macd_histogram(close, warm=False),
+        }
+        out = {c: make() for c, make in made.items() if c in some}
+        if some & {"adx", "di_plus", "di_minus"}:
+            out |= zip(("adx", "di_plus", "di_minus"), directional(*(pdf[c].to_numpy("float64") for c in ("high", "low", "close"))), strict=True)
+        return pd.DataFrame({c: out[c] for c in columns}, index=pdf.index)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", ignore_index=True)
+        return pdf.join(computed(pdf if where is None else pdf[pdf[where]]))
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields)
-    return without_nan(bars.groupBy("symbol").applyInPandas(run, f"{kinds}, " + ", ".join(f"{c} double" for c in COLUMNS)))
+    return without_nan(bars.groupBy("symbol").applyInPandas(run, f"{kinds}, " + ", ".join(f"{c} double" for c in columns)))

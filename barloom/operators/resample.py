@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: What happens to the last week if its Friday hasn't come, and to bars with missing prices.
 COMPLETE, PARTIAL, STRICT = "complete", "partial", "strict"
@@ -32,13 +33,11 @@ def weekly(bars: DataFrame, rule: str = COMPLETE) -> DataFrame:
     weeks = _grouped(bars, friday())
     if rule == STRICT:
         return weeks.drop("volume", "last_ts").withColumnRenamed("label", "ts").dropna("any", subset=["open", "high", "low", "close"])
-    weeks = weeks.filter("close IS NOT NULL")
     if rule == COMPLETE:
-        ends = bars.groupBy("symbol").agg(F.max("ts").alias("end"))
-        weeks = weeks.join(ends, "symbol").filter("label <= end").drop("end")
+        weeks = weeks.withColumn("_end", F.max("last_ts").over(Window.partitionBy("symbol"))).filter("label <= _end").drop("_end")
     elif rule != PARTIAL:
         raise ValueError(f"no such rule: {rule}")
-    return weeks.drop("last_ts").withColumnRenamed("label", "ts")
+    return weeks.filter("close IS NOT NULL").drop("last_ts").withColumnRenamed("label", "ts")
 
 
 def monthly(bars: DataFrame) -> DataFrame:

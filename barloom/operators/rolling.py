@@ -73,47 +73,72 @@ def price_vs_averages(bars: DataFrame) -> DataFrame:
     )
 
 
+def nth_last(c: str, w: WindowSpec, whole: WindowSpec) -> Column:
+    """1 for the last value that isn't NULL, 2 for the one before, and so on; NULL where there is none. Two running counts, no other sorting."""
+    return F.when(F.col(c).isNotNull(), F.count(c).over(whole) - F.count(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1)
+
+
 def spread_statistics(bars: DataFrame) -> DataFrame:
     """Of the close against SMA200, for each symbol: now, the mean of the last 756 values, its change in six months, and the trend."""
-    from barloom.operators.horizons import as_of, with_last_day
+    from barloom.operators.horizons import with_last_day
 
     spread = with_last_day(bars.select("symbol", "ts", "close").withColumn("spread", pct(F.col("close"), rolling_mean("close", 200))))
-    nth = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("spread").isNull(), F.desc("ts")))
-    found = spread.withColumn("nth", nth).groupBy("symbol").agg(as_of("spread", 0).alias("_valid"), F.max_by("spread", "ts").alias("_last"), F.avg(F.when(F.col("nth") <= 756, F.col("spread"))).alias("avg36"), as_of("spread", 182).alias("ago"), as_of("close", 0).alias("px"))
-    now, ago = F.col("_valid"), F.col("ago")
-    return found.select(
-        "symbol",
+    found = spread.withColumn("nth", nth_last("spread", by_symbol(), Window.partitionBy("symbol"))).groupBy("symbol").agg(*spread_aggregates("spread", "nth"))
+    return found.select("symbol", *spread_columns())
+
+
+def spread_aggregates(spread: str, nth: str) -> list[Column]:
+    from barloom.operators.horizons import as_of
+
+    return [as_of(spread, 0).alias("spread_now"), F.avg(F.when(F.col(nth) <= 756, F.col(spread))).alias("spread_mean"), as_of(spread, 182).alias("spread_ago")]
+
+
+def spread_columns() -> list[Column]:
+    now, ago = F.col("spread_now"), F.col("spread_ago")
+    return [
         now.alias("SMA50w_vs_SMA200w_Spread_%"),
-        F.col("avg36").alias("SMA50w_vs_SMA200w_Spread_Avg_36M_%"),
+        F.col("spread_mean").alias("SMA50w_vs_SMA200w_Spread_Avg_36M_%"),
         pct(now, ago).alias("SMA_Spread_%_Change_6M_%"),
         F.when(now.isNotNull() & ago.isNotNull(), F.when(now - ago > 0, "bull").otherwise("bear")).alias("SMA_Trend"),
-    )
+    ]
 
 
 def recent_crossover(bars: DataFrame, least: int, lookback: int = 14, fast: int = 50, slow: int = 200) -> DataFrame:
     """``symbol, golden, death``: whether the fast average crossed the slow one in the last ``lookback`` bars that have both. Symbols with fewer than ``least`` bars have neither."""
-    both = bars.withColumns({"f": rolling_mean("close", fast), "s": rolling_mean("close", slow), "bars": F.count("*").over(Window.partitionBy("symbol"))})
-    valid = both.withColumn("valid", (F.col("f").isNotNull() & F.col("s").isNotNull()).cast("int"))
-    valid_w = Window.partitionBy("symbol", "valid").orderBy("ts")
-    above = F.col("f") > F.col("s")
-    before = F.coalesce(F.lag(above).over(valid_w), F.lit(False))
-    nth = F.row_number().over(Window.partitionBy("symbol", "valid").orderBy(F.desc("ts")))
-    events = valid.withColumns({"up": above & ~before, "down": ~above & before, "nth": nth})
-    recent = (F.col("valid") == 1) & (F.col("nth") <= lookback) & (F.col("bars") >= least)
-    return events.groupBy("symbol").agg(*(F.coalesce(F.max(F.when(recent, F.col(c).cast("int"))), F.lit(0)).alias(n) for c, n in (("up", "golden"), ("down", "death"))))
+    crossed = with_crossings(bars, "x", least, by_symbol(), Window.partitionBy("symbol"), lookback, fast, slow)
+    return crossed.groupBy("symbol").agg(F.max("x_golden").alias("golden"), F.max("x_death").alias("death"))
+
+
+def with_crossings(bars: DataFrame, name: str, least: int, w: WindowSpec, whole: WindowSpec, lookback: int = 14, fast: int = 50, slow: int = 200, close: str = "close") -> DataFrame:
+    """``bars`` with ``<name>_golden`` and ``<name>_death``: 1 on a recent bar where the averages crossed, else 0."""
+    f, s = F.col(f"_{name}_f"), F.col(f"_{name}_s")
+    out = bars.withColumns({f"_{name}_f": rolling_mean(close, fast, w=w), f"_{name}_s": rolling_mean(close, slow, w=w), f"_{name}_bars": F.count(close).over(whole)})
+    out = out.withColumn(f"_{name}_above", F.when(f.isNotNull() & s.isNotNull(), f > s))
+    before = F.coalesce(F.last(f"_{name}_above", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    out = out.withColumns({f"_{name}_was": before, f"_{name}_nth": nth_last(f"_{name}_above", w, whole)})
+    recent = (F.col(f"_{name}_nth") <= lookback) & (F.col(f"_{name}_bars") >= least)
+    above, was = F.col(f"_{name}_above"), F.col(f"_{name}_was")
+    flag = lambda x: F.coalesce((recent & x).cast("int"), F.lit(0))
+    return out.select(*bars.columns, flag(above & ~was).alias(f"{name}_golden"), flag(~above & was).alias(f"{name}_death"))
 
 
 def band_position(weekly: DataFrame, n: int = 50, width: float = 2.0) -> DataFrame:
     """Where each symbol's last weekly close lies in its bands, from -10 to 10, with the bands and the steps between."""
-    stats = weekly.withColumns({"m": rolling_mean("close", n), "s": rolling_std("close", n), "nth": F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))})
-    last = stats.filter((F.col("nth") == 1) & F.col("m").isNotNull() & F.col("s").isNotNull())
-    flat = F.col("s") <= 0
-    c, m = F.col("close"), F.col("m")
-    upper, lower = m + width * F.col("s"), m - width * F.col("s")
+    stats = weekly.withColumns({"m": rolling_mean("close", n), "s": rolling_std("close", n)})
+    last = stats.groupBy("symbol").agg(F.max_by(F.struct("close", "m", "s"), "ts").alias("w"))
+    return last.filter("w.m IS NOT NULL AND w.s IS NOT NULL").select("symbol", *band_columns(F.col("w.close"), F.col("w.m"), F.col("w.s"), width))
+
+
+def band_columns(c: Column, m: Column, s: Column, width: float = 2.0) -> list[Column]:
+    """Position, bands and steps of a close ``c`` with mean ``m`` and deviation ``s``; all NULL if one of these is."""
+    known = m.isNotNull() & s.isNotNull()
+    flat = s <= 0
+    upper, lower = m + width * s, m - width * s
     up, down = (upper - m) / 10, (m - lower) / 10
     steps = lambda far, step: F.greatest(F.lit(1), F.least(F.lit(9), F.ceil(F.try_divide(far, step)).cast("int")))
-    position = (
-        F.when(flat | (up <= 1e-12) | (down <= 1e-12), 0).when(c >= upper, 10).when(c <= lower, -10).when(c > m, steps(c - m, up)).when(c < m, -steps(m - c, down)).otherwise(0)
-    )
-    kept = lambda x: F.when(~flat, x)
-    return last.select("symbol", position.cast("int").alias("BB_Position"), m.alias("BB_Mid"), kept(upper).alias("BB_Upper"), kept(lower).alias("BB_Lower"), kept(up).alias("BB_StepUp"), kept(down).alias("BB_StepDown"), c.alias("WeeklyClose_Last"))
+    position = F.when(flat | (up <= 1e-12) | (down <= 1e-12), 0).when(c >= upper, 10).when(c <= lower, -10).when(c > m, steps(c - m, up)).when(c < m, -steps(m - c, down)).otherwise(0)
+    kept = lambda x: F.when(known & ~flat, x)
+    return [
+        F.when(known, position).cast("int").alias("BB_Position"), F.when(known, m).alias("BB_Mid"), kept(upper).alias("BB_Upper"), kept(lower).alias("BB_Lower"),
+        kept(up).alias("BB_StepUp"), kept(down).alias("BB_StepDown"), F.when(known, c).alias("WeeklyClose_Last"),
+    ]
