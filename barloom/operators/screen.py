@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 ANY = "All"
 
@@ -45,3 +46,30 @@ def top(metrics: DataFrame, column: str, n: int = 5, need: bool = False, order:
     """The n largest values, missing ones last (``need``: left out), ties in universe order: no full sort."""
     rows = metrics.filter(_c(column).isNotNull()) if need else metrics
     return rows.orderBy(_c(column).desc_nulls_last(), order).limit(n)
+
+
+def top_by_flows(metrics: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The n largest three-month flows, and one row that says whether there were none to choose from."""
+    column = "FundFlows_3M_%"
+    return top(metrics, column, n, need=True), metrics.agg((F.count(_c(column)) == 0).alias("flow_unavailable"))
+
+
+def in_order(rows: DataFrame, order: DataFrame, key: str, position: str = "position") -> DataFrame:
+    """``rows`` with the place that ``order`` (``key, position``) gives them; those that it doesn't name have none and sort last."""
+    return rows.join(order.select(key, position), key, "left").orderBy(F.col(position).asc_nulls_last(), key)
+
+
+def numbered_rows(rows: DataFrame, by: str, order: str = "ord", name: str = "Order") -> DataFrame:
+    """``rows`` with a number from 0 within each ``by``, in ``order``."""
+    return rows.withColumn(name, (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).cast("int"))
+
+
+def chart_frame(metrics: DataFrame, by: str = "List") -> DataFrame:
+    """Rows of a bar chart: the label of the axis and the place on it."""
+    labelled = metrics.withColumn("TickerAxis", F.concat("Ticker", F.lit(" ("), "Subgroup", F.lit(")")))
+    return numbered_rows(labelled, by)
+
+
+def subgroup_of_ticker(rows: DataFrame) -> DataFrame:
+    """``ticker, subgroup``: where a ticker comes first."""
+    return rows.groupBy("ticker").agg(F.min_by("subgroup", "ord").alias("subgroup"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.columns import pct
 from barloom.operators.recursive import with_recursive
 from barloom.operators.resample import PARTIAL, monthly, weekly
 from barloom.operators.rolling import bollinger, candle_up, roc, rolling_mean
@@ -23,6 +24,13 @@ def candles(bars: DataFrame, frame: str = "daily", visible: int = VISIBLE) -> Da
     return with_recursive(shown).withColumn("roc12", roc("close"))
 
 
+def oscillators(shown: DataFrame) -> DataFrame:
+    """What stands below candles: RSI, MACD with its sign class, ROC, and how far the close is from SMA200."""
+    sign = F.when(F.col("macd_screen") >= 0, "pos").otherwise("neg")
+    above = F.when(F.col("sma200") > 0, pct(F.col("close"), F.col("sma200")))
+    return shown.select("symbol", "ts", F.col("rsi_screen").alias("rsi"), F.col("macd_screen").alias("macd_hist"), "roc12", above.alias("ppo200"), sign.alias("macd_sign"))
+
+
 def value_range(df: DataFrame, columns: list[str], padding: float = 0.05) -> DataFrame:
     """``symbol, low, high`` over several columns, padded."""
     least, most = F.min(F.least(*columns)), F.max(F.greatest(*columns))

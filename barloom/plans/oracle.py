@@ -14,6 +14,10 @@ def change(now: str, then: str) -> str:
     return f"({now} / nullif({then}, 0) - 1) * 100"
 
 
+def digits(c: str) -> str:
+    return f"CAST(printf('%.5e', {c}) AS DOUBLE)"
+
+
 def mean(c: str, n: int, by: str = BY) -> str:
     frame = f"OVER ({by} ROWS {n - 1} PRECEDING)"
     return f"CASE WHEN count({c}) {frame} >= {n} THEN avg({c}) {frame} END"
@@ -246,28 +250,107 @@ PIECES["signals_whole"] = PIECES["signals"].replace(" AND ts <= DATE '1996-02-15
 PIECES |= {f"{p}_whole": PIECES[p].replace("signals", "signals_whole").replace("FROM sim", "FROM sim_whole") for p in ("sim", "run")}
 WHOLE = (*DAY, "signals_whole", "sim_whole")
 BODIES |= {
-    "backtest_equity_whole": ((*WHOLE, "run_whole"), "SELECT * FROM run_whole"),
-    "backtest_trades_whole": (WHOLE, BODIES["backtest_trades"][1].replace("FROM sim JOIN signals", "FROM sim_whole JOIN signals_whole")),
+    "backtest_equity_whole": ((*WHOLE, "run_whole"), f"SELECT series, date, {digits('equity')} AS equity FROM run_whole"),
+    "backtest_trades_whole": (WHOLE, f"SELECT * REPLACE ({', '.join(f'{digits(c)} AS {c}' for c in ('price', 'shares', 'commission', 'gross_value'))}) FROM ({BODIES['backtest_trades'][1].replace('FROM sim JOIN signals', 'FROM sim_whole JOIN signals_whole')})"),
     "backtest_headline_whole": ((*WHOLE, "run_whole"), headline("run_whole")),
     "joined_dataset_whole": (("bars",), BODIES["joined_dataset"][1].replace(" AND day(b.ts) > 3", "")),
 }
 
 
+def recursions(name: str, source: str) -> dict[str, str]:
+    """Pieces that end in ``<name>_ind``: RSI and MACD of both conventions and ROC of a source ``symbol, ts, close``."""
+    return {
+        f"{name}_num": f"SELECT *, row_number() OVER ({BY}) - 1 AS i, lag(close) OVER ({BY}) AS pc, lag(close, 12) OVER ({BY}) AS c12 FROM {source}",
+        f"{name}_rec": f"""SELECT symbol, i, close AS e12, close AS e26, 0.0::DOUBLE AS gain, 0.0::DOUBLE AS loss, NULL::DOUBLE AS gain_t, NULL::DOUBLE AS loss_t FROM {name}_num WHERE i = 0
+        UNION ALL SELECT s.symbol, s.i, r.e12 * 11 / 13 + s.close * 2 / 13, r.e26 * 25 / 27 + s.close * 2 / 27,
+          r.gain * 13 / 14 + greatest(s.close - s.pc, 0) / 14, r.loss * 13 / 14 + greatest(s.pc - s.close, 0) / 14,
+          coalesce(r.gain_t * 13 / 14 + greatest(s.close - s.pc, 0) / 14, greatest(s.close - s.pc, 0)), coalesce(r.loss_t * 13 / 14 + greatest(s.pc - s.close, 0) / 14, greatest(s.pc - s.close, 0))
+        FROM {name}_rec r JOIN {name}_num s ON s.symbol = r.symbol AND s.i = r.i + 1""",
+        f"{name}_rec2": f"""SELECT symbol, i, e12 - e26 AS sig_t, NULL::DOUBLE AS sig FROM {name}_rec WHERE i = 0
+        UNION ALL SELECT s.symbol, s.i, r.sig_t * 8 / 10 + (s.e12 - s.e26) * 2 / 10, CASE WHEN s.i = 25 THEN s.e12 - s.e26 ELSE r.sig * 8 / 10 + (s.e12 - s.e26) * 2 / 10 END
+        FROM {name}_rec2 r JOIN {name}_rec s ON s.symbol = r.symbol AND s.i = r.i + 1""",
+        f"{name}_ind": f"""SELECT n.* EXCLUDE (pc, c12), CASE WHEN n.i >= 13 THEN CASE WHEN x.loss = 0 THEN 100 ELSE 100 - 100 / (1 + x.gain / x.loss) END END AS rsi_screen, 100 - 100 / (1 + x.gain_t / nullif(x.loss_t, 0)) AS rsi_tester,
+          CASE WHEN n.i >= 33 THEN x.e12 - x.e26 - y.sig END AS macd_screen, x.e12 - x.e26 - y.sig_t AS macd_tester, {change("n.close", "n.c12")} AS roc12
+        FROM {name}_num n JOIN {name}_rec x ON n.symbol = x.symbol AND n.i = x.i JOIN {name}_rec2 y ON n.symbol = y.symbol AND n.i = y.i""",
+    }
+
+
+def live(source: str, label: str) -> str:
+    """Both instruments of the live dataset, on days that both have."""
+    prices = ", ".join(f'{a}.{c} AS "{p}_{c.title()}"' for a, p in (("u", "Underlying"), ("t", "Traded")) for c in ("open", "high", "low", "close"))
+    whole = " AND ".join(f"{a}.{c} IS NOT NULL" for a in "ut" for c in ("open", "high", "low", "close"))
+    return f"""SELECT 'pair' AS symbol, u.{label} AS ts, u.close AS close, {prices}, b.close AS "BMK_5-LOW_Close" FROM {source} u JOIN {source} t ON u.{label} = t.{label} AND u.symbol = '1-URGENT' AND t.symbol = '2-HIGH' AND {whole}
+        LEFT JOIN {source} b ON b.{label} = u.{label} AND b.symbol = '5-LOW'"""
+
+
+def live_body(name: str) -> str:
+    averages = ", ".join(f'{change(f"""\"Underlying_{c}\"""", f"""\"SMA{n}\"""")} AS "{c} vs MA{n}"' for c in ("High", "Low") for n in (50, 200))
+    return f"""SELECT * EXCLUDE (symbol, ts, close, i, rsi_screen, macd_screen, rsi_tester, macd_tester, roc12), ts AS date, {averages}, rsi_tester AS "RSI", macd_tester AS "MACD", roc12 AS "ROC"
+        FROM (SELECT *, {mean("close", 50)} AS "SMA50", {mean("close", 200)} AS "SMA200" FROM {name}_ind)"""
+
+
+def simulated(name: str, source: str) -> dict[str, str]:
+    """Pieces ``<name>_sim`` and ``<name>_signals`` of a source ``symbol, ts, close, enters, leaves``."""
+    return {
+        f"{name}_signals": f"SELECT *, row_number() OVER ({BY}) - 1 AS k, lag(ts) OVER ({BY}) AS before FROM ({source})",
+        f"{name}_sim": PIECES["sim"].replace("FROM sim", f"FROM {name}_sim").replace("signals", f"{name}_signals"),
+        f"{name}_run": f"SELECT symbol AS series, ts AS date, equity FROM {name}_sim JOIN {name}_signals USING (symbol, k)",
+    }
+
+
+def traded(name: str, ticker: str) -> str:
+    return f"""SELECT symbol AS strategy_id, ts AS date, before AS signal_date, done AS action, '{ticker}' AS ticker, price, traded AS shares, fee AS commission, price * traded AS gross_value
+        FROM (SELECT *, close * CASE done WHEN 'Buy' THEN 1.0005 ELSE 0.9995 END AS price FROM {name}_sim JOIN {name}_signals USING (symbol, k) WHERE done IS NOT NULL)"""
+
+
+PIECES |= {"pair": live("bars", "ts"), "wpair": live("allweeks", "label")} | recursions("pair", "pair") | recursions("wpair", "wpair")
+PIECES["ready"] = f'SELECT * FROM (SELECT *, min(CASE WHEN i >= 199 AND "Traded_Close" IS NOT NULL THEN ts END) OVER () AS first FROM pair_ind) WHERE ts >= first'
+PIECES |= simulated("live", """SELECT 'Strategy' AS symbol, ts, "Traded_Close" AS close, coalesce(roc12 > 20, false) AS enters, coalesce(roc12 < -20, false) AS leaves FROM ready""")
+PIECES["live_curves"] = f"""SELECT * FROM live_run UNION ALL SELECT 'BMK_5-LOW_Close', ts, 10000 * last_value("BMK_5-LOW_Close" IGNORE NULLS) OVER (ORDER BY ts) / first_value("BMK_5-LOW_Close") OVER (ORDER BY ts) FROM ready"""
+PIECES |= simulated("div", f"SELECT symbol, ts, close, a.hit AS enters, b.hit AS leaves FROM base JOIN ({apart('min', '<', '>')}) a USING (symbol, ts) JOIN ({apart('max', '>', '<')}) b USING (symbol, ts)")
+PIECES["visible"] = f"SELECT symbol, ts, close, sma200 FROM (SELECT symbol, ts, close, {mean('close', 200)} AS sma200, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS nth, count(*) OVER (PARTITION BY symbol) AS n FROM bars) WHERE n >= 20 AND nth <= 150"
+PIECES |= recursions("visible", "visible")
+own = lambda name: tuple(recursions(name, name))
+PAIR = ("bars", "pair", *own("pair"))
+LIVE = (*PAIR, "ready", "live_signals", "live_sim", "live_run", "live_curves")
+BODIES |= {
+    "live_dataset": (PAIR, live_body("pair")),
+    "live_dataset_weekly": (("bars", "allweeks", "wpair", *own("wpair")), live_body("wpair")),
+    "live_ready_part": ((*PAIR, "ready"), f'SELECT ts AS date, "Underlying_Close", "SMA200" FROM (SELECT *, {mean("close", 200)} AS "SMA200" FROM pair_ind) WHERE ts >= (SELECT min(first) FROM ready)'),
+    "auto_start": (("bars", "pair"), "SELECT coalesce((SELECT ts FROM pair WHERE ts BETWEEN DATE '1986-06-30' AND DATE '2001-06-30' ORDER BY ts LIMIT 1 OFFSET 199), DATE '1996-06-30') AS start"),
+    "live_run_curves": (LIVE, "SELECT * FROM live_curves"),
+    "live_run_trades": (LIVE, traded("live", "Traded_Close")),
+    "live_run_headline": (LIVE, headline("live_curves")),
+    "live_run_yearly": (LIVE, BODIES["curve_yearly"][1].replace("FROM curves", "FROM live_run")),
+    "equity_export": (CURVES, "SELECT date, round_even(max(equity) FILTER (series = '1-URGENT'), 2) AS \"1-URGENT\", round_even(max(equity) FILTER (series = '2-HIGH'), 2) AS \"2-HIGH\" FROM curves GROUP BY 1"),
+    "display_text": ((*DAY, "dated", "perf"), 'SELECT symbol, coalesce(printf(\'%.2f\', round_even("Perf_1M_%", 2)), \'\') AS "Perf_1M_%", coalesce(printf(\'%.2f\', round_even("Perf_10Y_%", 2)), \'\') AS "Perf_10Y_%" FROM perf'),
+    "backtest_divergence_trades": ((*DIV, "div_signals", "div_sim"), traded("div", "close")),
+    "candle_oscillators": (("bars", "visible", *own("visible")), f"SELECT symbol, ts, rsi_screen AS rsi, macd_screen AS macd_hist, roc12, CASE WHEN sma200 > 0 THEN {change('close', 'sma200')} END AS ppo200, CASE WHEN macd_screen >= 0 THEN 'pos' ELSE 'neg' END AS macd_sign FROM visible_ind"),
+    "top_flows": (("entries",), 'SELECT "group" AS "Group", subgroup AS "Subgroup", ticker AS "Ticker", NULL::DOUBLE AS "FundFlows_3M_%" FROM entries WHERE false'),
+    "top_flows_flag": ((), "SELECT true AS flow_unavailable"),
+    "chart_frame": (("entries",), "SELECT list AS \"List\", ticker || ' (' || subgroup || ')' AS \"TickerAxis\", CAST(row_number() OVER (PARTITION BY list ORDER BY ord) - 1 AS INTEGER) AS \"Order\" FROM entries"),
+    "ticker_subgroups": (("entries",), "SELECT ticker, arg_min(subgroup, ord) AS subgroup FROM entries GROUP BY 1"),
+    "kept_order": (("entries",), "SELECT subgroup, ticker, CASE WHEN \"group\" = 'ASIA' THEN -ord::BIGINT END AS position FROM entries"),
+    "saved_dates": ((), "SELECT o_orderkey AS key, greatest(DATE '1995-06-01', least(DATE '2000-06-30', CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) ELSE DATE '1996-01-01' END)) AS date FROM orders"),
+    "strategy_settings": ((), "SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 100.0 ELSE 10000.0 END AS initial_deposit, 0.0 AS risk_free, CASE WHEN n_nationkey % 2 = 0 THEN 0.1 ELSE 0.0 END AS commission_pct, 0.0 AS slippage_pct, 3 AS divergence_pivot_window, 60 AS divergence_lookback FROM nation"),
+    "repeated_dates": ((), "SELECT count(*) - count(DISTINCT CAST(o_orderdate AS DATE)) AS repeated FROM orders"),
+}
+
 #: Columns that aren't doubles, and queries that have no others.
 KEYS = (
     "symbol", "ts", "label", "list", "group", "subgroup", "ticker", "ord", "List", "Group", "Subgroup", "Ticker", "SMA_Trend", "BB_Position", "GoldenCross_D1", "DeathCross_D1", "GoldenCross_W1", "DeathCross_W1",
-    "Div_6M_vs_RSI", "Div_6M_vs_MACD", "Div_6M_vs_ROC", "Divergence_Bull_Count", "Divergence_Bear_Count", "up", "i", "t_ind", "direction", "type", "series", "date", "week", "year", "strategy_id", "signal_date", "action", "reason", "column", "key",
+    "Div_6M_vs_RSI", "Div_6M_vs_MACD", "Div_6M_vs_ROC", "Divergence_Bull_Count", "Divergence_Bear_Count", "up", "i", "t_ind", "direction", "type", "series", "date", "week", "year", "strategy_id", "signal_date", "action", "reason", "column", "key", "start", "macd_sign", "name", "divergence_pivot_window", "divergence_lookback",
 )
-WITHOUT_DOUBLES = ("universe_flattened", "universe_overlay", "universe_edited", "crossovers", "pivot_flags", "boolean_divergence", "screen_counts", "screen_options", "rule_signals", "warm_start", "upload_series", "records")
+WITHOUT_DOUBLES = ("universe_flattened", "universe_overlay", "universe_edited", "crossovers", "pivot_flags", "boolean_divergence", "screen_counts", "screen_options", "rule_signals", "warm_start", "upload_series", "records", "auto_start", "display_text", "top_flows", "top_flows_flag", "chart_frame", "ticker_subgroups", "kept_order", "saved_dates", "repeated_dates")
 
 
 def _whole(name: str) -> str:
     pieces, body = BODIES[name]
     whole = f"WITH RECURSIVE {', '.join(f'{p} AS ({PIECES[p]})' for p in pieces)} {body}" if pieces else body
-    if name in WITHOUT_DOUBLES:
+    if name in (*WITHOUT_DOUBLES, "backtest_equity_whole", "backtest_trades_whole"):
         return whole
     keys = ", ".join(f"'{k}'" for k in KEYS)
-    return f"SELECT COLUMNS(lambda c: c IN ({keys})), floor(CAST(COLUMNS(lambda c: c NOT IN ({keys})) AS DOUBLE) * 10000.0 + 0.25) / 10000.0 FROM ({whole}) AS result"
+    return f"SELECT COLUMNS(lambda c: c IN ({keys})), CAST(round(CAST(COLUMNS(lambda c: c NOT IN ({keys})) AS DECIMAL(30, 6)), 4) AS DOUBLE) FROM ({whole}) AS result"
 
 
 ORACLE_SQL = {name: _whole(name) for name in BODIES}

@@ -10,8 +10,9 @@ from barloom.functions.columns import number_of_text
 from barloom.operators import backtest, horizons, performance, pivots, recursive, resample, rolling, rules, screen, universe
 from barloom.plans import candles as charts
 from barloom.plans import metrics as tables
+from barloom.plans import tester
 from barloom.sources import bars as sources
-from barloom.sources import uploads
+from barloom.sources import sinks, store, uploads
 
 #: What the universe of the queries holds; the last one has no bars.
 TICKERS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "NO DATA")
@@ -24,9 +25,14 @@ COSTS = backtest.Costs(10_000.0, 0.1, 0.05)
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Steps of 10**-PLACES, cut at a quarter of one: means of prices with two places often lie on the halves."""
-    step = 10.0**PLACES
-    return df.select(*((F.floor(F.col(f"`{n}`") * step + 0.25) / step).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes))
+    """Doubles with PLACES places, halves away from zero. By way of decimals with two more: sums run in another order elsewhere, and a mean of prices that lies on a half must lie there for both."""
+    places = lambda c: F.coalesce(F.round(c.try_cast(f"decimal(30,{PLACES + 2})"), PLACES).cast("double"), c)
+    return df.select(*(places(F.col(f"`{n}`")).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes))
+
+
+def significant(df: DataFrame) -> DataFrame:
+    """Doubles with six digits: over all bars money multiplies to sums whose places after the point mean nothing."""
+    return df.select(*(F.format_string("%.5e", F.col(f"`{n}`")).cast("double").alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes))
 
 
 def base(spark, sf_dir) -> DataFrame:
@@ -185,7 +191,65 @@ def weekly_equity(spark, sf_dir):
     return weeks.withColumn("drawdown", rolling.running_drawdown("equity", Window.partitionBy("series").orderBy("week")))
 
 
+def live(spark, sf_dir, timeframe: str = "daily") -> DataFrame:
+    return tester.live_dataset(sources.bars_orders(spark, sf_dir), TICKERS[0], TICKERS[1], [TICKERS[4], TICKERS[5]], timeframe)[0]
+
+
+def live_run(spark, sf_dir) -> tester.Run:
+    """A whole run: ready part, warm-up, simulation, benchmark on the same days."""
+    strategy = backtest.Strategy("Traded_Close", "Traded_Close", [rules.Condition(1, "ROC", ">", 20.0)], [rules.Condition(1, "ROC", "<", -20.0)])
+    return tester.backtest_run(tester.ready_part(live(spark, sf_dir)), strategy, COSTS, [f"BMK_{TICKERS[4]}_Close"], risk_free_pct=2.0)
+
+
+def divergence_run(spark, sf_dir) -> DataFrame:
+    """Bought on bullish divergences of ROC, sold on bearish ones."""
+    strategy = backtest.Strategy("close", "close", [rules.Condition(1, "roc12", "bull divergence")], [rules.Condition(1, "roc12", "bear divergence")])
+    return run_of(spark, sf_dir, strategy, None, None)
+
+
+def kept_order(spark, sf_dir):
+    """Entries in an order that the user has chosen for some of them."""
+    rows = entries(spark, sf_dir)
+    chosen = rows.filter("group = 'ASIA'").select("subgroup", (-F.col("ord")).alias("position"))
+    return screen.in_order(rows.select("subgroup", "ticker"), chosen, "subgroup")
+
+
+def saved_dates(spark, sf_dir):
+    """Saved dates, some of which can't be read, within limits."""
+    o = sources.read_table(spark, sf_dir, "orders")
+    text = F.when(F.col("o_orderkey") % 11 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("soon")
+    day = lambda x: F.lit(x).cast("date")
+    return o.select(F.col("o_orderkey").alias("key"), store.saved_date(text, day("1996-01-01"), day("1995-06-01"), day("2000-06-30")).alias("date"))
+
+
+def strategy_settings(spark, sf_dir):
+    """Settings of saved strategies, one for each nation, most of which say only some."""
+    n = sources.read_table(spark, sf_dir, "nation")
+    own = F.when(F.col("n_nationkey") % 2 == 0, F.struct((F.col("n_nationkey") * 100).alias("initial_deposit"), F.lit(0.1).alias("commission_pct")))
+    return store.settings(n.select(F.col("n_name").alias("name"), F.to_json(F.struct(F.struct(own.alias("settings")).alias("configuration"))).alias("strategy")))
+
+
 PLAIN = {
+    "live_dataset": live,
+    "live_dataset_weekly": lambda s, d: live(s, d, "weekly"),
+    "live_ready_part": lambda s, d: tester.ready_part(live(s, d)).select("date", "Underlying_Close", "SMA200"),
+    "auto_start": lambda s, d: tester.auto_start(sources.bars_orders(s, d), TICKERS[0], TICKERS[1], "2001-06-30"),
+    "live_run_curves": lambda s, d: live_run(s, d).curves,
+    "live_run_trades": lambda s, d: live_run(s, d).trades.drop("reason"),
+    "live_run_headline": lambda s, d: live_run(s, d).headline,
+    "live_run_yearly": lambda s, d: live_run(s, d).yearly,
+    "equity_export": lambda s, d: sinks.wide_curves(curves(s, d), list(TICKERS[:2])),
+    "display_text": lambda s, d: sinks.display_text(horizons.performance(base(s, d)).select("symbol", "`Perf_1M_%`", "`Perf_10Y_%`")),
+    "backtest_divergence_trades": lambda s, d: backtest.trades(divergence_run(s, d)).drop("reason"),
+    "candle_oscillators": lambda s, d: charts.oscillators(charts.candles(sources.bars_orders(s, d))),
+    "top_flows": lambda s, d: screen.top_by_flows(metrics(s, d))[0].select(*KEPT, "`FundFlows_3M_%`"),
+    "top_flows_flag": lambda s, d: screen.top_by_flows(metrics(s, d))[1],
+    "chart_frame": lambda s, d: screen.chart_frame(entries(s, d).withColumnsRenamed({"list": "List", "subgroup": "Subgroup", "ticker": "Ticker"})).select("List", "TickerAxis", "Order"),
+    "ticker_subgroups": lambda s, d: screen.subgroup_of_ticker(entries(s, d)),
+    "kept_order": kept_order,
+    "saved_dates": saved_dates,
+    "strategy_settings": strategy_settings,
+    "repeated_dates": lambda s, d: uploads.repeated_dates(text_orders(s, d), "day"),
     "source_bars_orders": sources.bars_orders,
     "source_bars_lineitem": sources.bars_lineitem,
     "source_bars_events": lambda s, d: sources.bars_events(s, d).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
@@ -221,8 +285,8 @@ PLAIN = {
     "backtest_equity": lambda s, d: backtest.equity(run_of(s, d)),
     "backtest_trades": lambda s, d: backtest.trades(run_of(s, d)),
     "backtest_headline": lambda s, d: performance.headline(backtest.equity(run_of(s, d)), 2.0),
-    "backtest_equity_whole": lambda s, d: backtest.equity(whole_run(s, d)),
-    "backtest_trades_whole": lambda s, d: backtest.trades(whole_run(s, d)),
+    "backtest_equity_whole": lambda s, d: significant(backtest.equity(whole_run(s, d))),
+    "backtest_trades_whole": lambda s, d: significant(backtest.trades(whole_run(s, d))),
     "backtest_headline_whole": lambda s, d: performance.headline(backtest.equity(whole_run(s, d)), 2.0),
     "benchmark_curves": curves,
     "curve_drawdown": lambda s, d: performance.drawdown(curves(s, d)),
@@ -242,4 +306,6 @@ PLAIN = {
     "value_range": lambda s, d: charts.value_range(base(s, d), ["open", "high", "low", "close"]),
     "color_scale": color_places,
 }
-QUERIES = {name: (lambda spark, sf_dir, f=f: rounded(f(spark, sf_dir))) for name, f in PLAIN.items()}
+#: Queries that come with significant digits instead of places.
+DIGITS = ("backtest_equity_whole", "backtest_trades_whole")
+QUERIES = {name: (f if name in DIGITS else lambda spark, sf_dir, f=f: rounded(f(spark, sf_dir))) for name, f in PLAIN.items()}

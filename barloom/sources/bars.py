@@ -47,11 +47,13 @@ def normalised(raw: DataFrame, symbol: str = "symbol", ts: str = "ts") -> DataFr
     return raw.select(F.upper(F.trim(F.col(f"`{have[symbol]}`"))).alias("symbol"), F.to_date(F.col(f"`{have[ts]}`")).alias("ts"), *pick).filter("close IS NOT NULL")
 
 
-def between(bars: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Inclusive date window; goes down to the scan as a pushed filter."""
+def between(bars: DataFrame, start: str | None = None, end: str | None = None, least: int = 0) -> DataFrame:
+    """Inclusive date window; goes down to the scan as a pushed filter. Fewer than ``least`` rows are an error (which takes a look at the rows)."""
     if start and end and start > end:
         raise ValueError("the start date lies after the end date")
     for limit, test in ((start, lambda c, x: c >= x), (end, lambda c, x: c <= x)):
         if limit:
             bars = bars.filter(test(F.col("ts"), F.lit(limit).cast("date")))
+    if least and len(bars.limit(least).take(least)) < least:
+        raise ValueError(f"the window has fewer than {least} rows")
     return bars

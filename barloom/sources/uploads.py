@@ -70,6 +70,11 @@ def first_per_date(df: DataFrame, date: str, order: str) -> DataFrame:
     return df.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
 
 
+def repeated_dates(df: DataFrame, date: str) -> DataFrame:
+    """One row, ``repeated``: how many rows ``first_per_date`` leaves out."""
+    return df.agg((F.count("*") - F.count_distinct(F.col(date))).alias("repeated"))
+
+
 def joined(underlying: DataFrame, traded: DataFrame, benchmarks: dict[str, DataFrame] | None = None) -> DataFrame:
     """The tester's live dataset: days that both have, prices under prefixes; benchmarks join where they have a day. All sides are ``date, open, high, low, close``."""
     named = lambda df, p: df.select("date", *(F.col(c).alias(f"{p}_{c.title()}") for c in ("open", "high", "low", "close")))

@@ -11,10 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import backtest, horizons, performance, pivots, recursive, resample, rolling, rules
-from barloom.plans import candles, oracle, queries
+from barloom.plans import candles, oracle, queries, tester
 from barloom.plans import metrics as tables
 from barloom.sources import bars as sources
-from barloom.sources import uploads
+from barloom.sources import landed, sinks, store, uploads
 from barloom.streaming.weekly import weekly_stream
 
 SF = "/root/testdata/sf0.001"
@@ -194,3 +194,76 @@ def test_joined_keeps_days_that_a_benchmark_lacks(spark):
     own = lambda days: bars_of(spark, [1.0] * 4).filter(F.col("ts").isin([day(k) for k in days])).select(F.col("ts").alias("date"), "open", "high", "low", "close")
     got = {r["date"]: r["BMK_B_Close"] for r in uploads.joined(own([0, 1, 2]), own([1, 2, 3]), {"B": own([2, 3])}).collect()}
     assert got == {day(1): None, day(2): 1.0}
+
+
+def test_metrics_are_one_grouped_pass_and_three_exchanges(spark):
+    df = queries.QUERIES["metrics_table"](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("+- == Initial Plan ==")[0]
+    assert final.count("FlatMapGroupsInPandas") == 1
+    # bars by symbol and day, by symbol, and by symbol after the grouped pass
+    assert final.count("Exchange hashpartitioning(symbol") <= 3 and final.count("orders.parquet") <= 1
+
+
+def test_live_dataset_errors_and_skips(spark):
+    own = bars_of(spark, [float(k % 9 + 1) for k in range(230)], "U").unionByName(bars_of(spark, [2.0] * 230, "T")).unionByName(bars_of(spark, [2.0], "B"))
+    df, warned = tester.live_dataset(own, "U", "T", ["B", "NONE"])
+    assert warned == ["Benchmark without data left out: NONE"] and "BMK_B_Close" in df.columns and df.count() == 230
+    assert tester.ready_part(df).count() == 31
+    with pytest.raises(ValueError):
+        tester.live_dataset(own, "U", "NONE")
+    with pytest.raises(ValueError):
+        tester.live_dataset(own, "U", "T", timeframe="hourly")
+    with pytest.raises(Exception, match="too little history"):
+        tester.ready_part(df.filter("date < '2020-03-01'")).collect()
+    assert str(tester.auto_start(own, "U", "T", "2020-02-01").first()["start"]) == "2015-02-01"
+    assert str(tester.auto_start(own, "U", "T", "2020-12-31").first()["start"]) == str(day(199))
+
+
+def test_a_window_needs_rows(spark):
+    with pytest.raises(ValueError):
+        sources.between(bars_of(spark, [1.0, 2.0]), "2020-01-02", least=2)
+    assert sources.between(bars_of(spark, [1.0, 2.0]), "2020-01-01", least=2).count() == 2
+
+
+def test_strategy_store(tmp_path):
+    path = str(tmp_path / "store.json")
+    assert store.load(path) == {} and not store.delete(path, "a")
+    store.put(path, " a ", {"configuration": {"enter_ticker": "X", "benchmarks": ["Y", "gone", "X", "Y", "X"], "enter_rows": [{"variable": "gone", "condition": "?", "input_value": None, "use": False}], "settings": {"risk_free": "1.5"}}})
+    store.put(path, "b", {})
+    form = store.form(store.load(path)["a"], ["Y", "X"])
+    assert (form["enter_ticker"], form["exit_ticker"], form["benchmarks"]) == ("X", "X", ["Y", "X", "Y"])
+    assert form["enter_rows"][0] == {"use": False, "row_id": 1, "variable": "Y", "ticker_source": "Underlying", "condition": "=", "input_value": 0.0, "start_date": None, "end_date": None}
+    assert [r["use"] for r in form["exit_rows"]] == [True] + [False] * 4 and form["settings"]["risk_free"] == 1.5
+    assert store.delete(path, "a") and list(store.load(path)) == ["b"]
+    (tmp_path / "store.json").write_text("no json")
+    assert store.load(path) == {}
+    with pytest.raises(ValueError):
+        store.put(path, " ", {})
+
+
+def test_exports(spark, tmp_path):
+    curves = spark.createDataFrame([("A", day(0), 1.005), ("B", day(0), 2.675), ("A", day(1), None)], "series string, date date, equity double")
+    with sinks.kept(curves) as held:
+        sinks.write_equity(held, ["A", "B"], str(tmp_path / "equity"))
+    assert not curves.is_cached
+    text = "".join(p.read_text() for p in sorted((tmp_path / "equity").glob("part-*")))
+    assert text.splitlines()[:2] == ["date,A,B", "2020-01-01,1.0,2.68"]
+    sinks.write_report(curves, curves, curves.limit(0), str(tmp_path / "report"))
+    assert sorted(p.name for p in (tmp_path / "report").iterdir()) == ["metrics", "yearly"]
+    assert [r["equity"] for r in sinks.display_text(curves).collect()] == ["1.00", "2.68", ""]
+
+
+def test_landed_bars(spark, tmp_path):
+    for symbol in ("A", "B"):
+        bars_of(spark, [1.0, 2.0, 3.0], symbol).drop("volume").toPandas().to_parquet(tmp_path / f"{symbol}.parquet")
+    spark.dataSource.register(landed.LandedBars)
+    df = spark.read.format("landed_bars").options(path=f"{tmp_path}/{{symbol}}.parquet", symbols="A, B, NONE", start="2020-01-02").load()
+    assert sorted((r["symbol"], r["close"], r["volume"]) for r in df.collect()) == [("A", 2.0, None), ("A", 3.0, None), ("B", 2.0, None), ("B", 3.0, None)]
+
+
+def test_variables_resolve_to_columns():
+    assert rules.resolved("RSI", "Traded") == "RSI" and rules.resolved("Close", "Traded") == "Traded_Close"
+    with pytest.raises(ValueError):
+        rules.resolved("Close", "Other")
