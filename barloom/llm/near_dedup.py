@@ -2,7 +2,7 @@
 
 A document is its set of ``width``-word shingles. Its sketch has ``REGISTERS`` buckets; a bucket
 keeps, of the smallest hash that falls into it, the count of leading zeros and ``MANTISSA`` bits
-after them, in 32 bits; buckets that stay empty borrow a value for banding. ``BANDS`` bands of registers propose candidates: at a Jaccard similarity of
+after them, in 16 bits together; buckets that stay empty borrow a value for banding. ``BANDS`` bands of registers propose candidates: at a Jaccard similarity of
 0.75 and with independent registers, 5 pairs in a million share no band. A candidate pair whose estimate from the registers, with
 chance collisions taken out, lies ``SLACK`` below the threshold is dropped (by the normal law less than one pair in a
 million at the threshold); all others are confirmed on the full sets.
@@ -10,6 +10,8 @@ million at the threshold); all others are confirmed on the full sets.
 Of small sets a few shared buckets make both chances much larger (sets of 4 and 3 shingles: 3 in
 20,000 pairs fall below the cut). So pairs whose smaller set has at most ``FEW`` shingles are not left
 to the sketch: all that share a rare shingle are candidates too, and none is dropped by its estimate.
+With ``few=None`` that holds for sets of all sizes: no pair at the threshold is lost then, at the cost
+of sending all shingles of all documents.
 
 Documents with equal sets are one class and go on as one. Within a band, documents that are linked
 already need no further look at each other, so links are sought in turns: first every document
@@ -44,7 +46,7 @@ REGISTERS_LOG2 = 7
 REGISTERS = 1 << REGISTERS_LOG2
 BANDS = 32
 ROWS = REGISTERS // BANDS
-ZEROS, MANTISSA = 6, 26
+ZEROS, MANTISSA = 6, 10
 PROBES = 64
 #: Members of a band up to which all its pairs are looked at.
 DIRECT = 16
@@ -189,7 +191,7 @@ def estimate(one: Column, other: Column, n: Column, m: Column) -> Column:
     return (share - chance) / (F.lit(1.0) - chance)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, few: int | None = FEW) -> DataFrame:
     """Those of ``pairs`` (``a, b``) whose full sets are similar enough. Only pairs that sizes and registers leave open fetch their sets."""
 
     def beside(df: DataFrame, *columns: str) -> DataFrame:
@@ -198,7 +200,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
         return df
 
     sized = beside(pairs, "n", "registers")
-    likely = (F.least("na", "nb") <= FEW) | (estimate(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb")) >= percent / 100 - SLACK)
+    likely = F.lit(few is None) | (F.least("na", "nb") <= (few or 0)) | (estimate(F.col("ra"), F.col("rb"), F.col("na"), F.col("nb")) >= percent / 100 - SLACK)
     near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & likely
     left = written(sized.filter(near).select("a", "b", "na", "nb"), "estimated")
     common = F.size(F.array_intersect("ha", "hb"))
@@ -233,22 +235,22 @@ def rare_pairs(prefixes: DataFrame, percent: int = PERCENT) -> DataFrame:
     return x.join(y, "token").filter((F.col("root_x") != F.col("root_y")) & smaller & enough).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
 
 
-def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """``id, n, component`` of every row of ``docs``."""
+def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, few: int | None = FEW) -> DataFrame:
+    """``id, n, component`` of every row of ``docs``. ``few``: see above; None finds every link."""
     every = written(sketched(docs, key, text), "sketches")
     some = every.filter("n > 0 AND id IS NOT NULL")
     classes = written(some.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
     single = some.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").select("id", F.explode("bands").alias("band"))
     spread = written(single, "bands")
     shared = written(spread.join(spread.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n > 1"), "band").select("band", "id", "least"), "shared-bands")
-    # what can be, with another set, a pair whose smaller set has FEW shingles at most
-    short = classes.filter((F.col("n") * percent <= FEW * 100) & (F.col("n") * 100 >= (F.col("n") + 1) * percent)).select(F.col("rep").alias("id"))
+    # what can be, with another set, a pair whose smaller set has ``few`` shingles at most
+    short = classes.filter((F.lit(True) if few is None else F.col("n") * percent <= few * 100) & (F.col("n") * 100 >= (F.col("n") + 1) * percent)).select(F.col("rep").alias("id"))
     needed = shared.select("id").unionByName(short).distinct()
     sets = written(full_sets(docs.join(needed.withColumnRenamed("id", key), key, "left_semi"), key, text), "shingle-sets")
 
     # first turn: the smallest member with which a document shares most bands
     first = shared.filter("least <> id").groupBy("id", "least").agg(F.count("*").alias("bands")).groupBy("id").agg(F.max_by("least", F.struct("bands", -F.col("least"))).alias("a"))
-    links = written(confirmed(first.select("a", F.col("id").alias("b")), sets, percent), "links")
+    links = written(confirmed(first.select("a", F.col("id").alias("b")), sets, percent, few), "links")
     roots = written(components(links), "roots")
 
     for turn in ("random", "all"):
@@ -259,15 +261,15 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
             pairs = left.filter("root <> other_root").select(F.col("other").alias("a"), F.col("id").alias("b"))
         else:
             left = written(left.select("band", "id", "root", "members"), "mixed-bands")
-            few, many = left.filter(F.col("members") <= DIRECT), left.filter(F.col("members") > DIRECT)
-            direct = few.select("band", F.col("id").alias("a"), F.col("root").alias("ra")).join(few.select("band", F.col("id").alias("b"), F.col("root").alias("rb")), "band").filter("ra < rb").select("a", "b")
+            small, large = left.filter(F.col("members") <= DIRECT), left.filter(F.col("members") > DIRECT)
+            direct = small.select("band", F.col("id").alias("a"), F.col("root").alias("ra")).join(small.select("band", F.col("id").alias("b"), F.col("root").alias("rb")), "band").filter("ra < rb").select("a", "b")
             rooted = short.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-            prefixes = written(rare_first(sets, many.select("id", "root").unionByName(rooted).distinct(), percent), "rare-shingles")
+            prefixes = written(rare_first(sets, large.select("id", "root").unionByName(rooted).distinct(), percent), "rare-shingles")
             # a shingle within one component has no pair to offer
             prefixes = prefixes.join(prefixes.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token"), "token", "left_semi")
             pairs = direct.unionByName(rare_pairs(prefixes, percent))
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        links = links.unionByName(written(confirmed(pairs, sets, percent), "links"))
+        links = links.unionByName(written(confirmed(pairs, sets, percent, few), "links"))
         roots = written(components(links), "roots")
 
     named = classes.drop("n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))

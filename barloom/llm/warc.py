@@ -4,19 +4,30 @@ An archive is two tables: ``heads`` keeps the exact head of every record (WARC f
 blank line, the HTTP head) with the digest of its payload; ``payloads`` keeps the bytes of each
 different payload once, under its SHA-256. A record is put together again by joining the two. Of
 records with equal payloads the one with the smallest id is a response and the others revisit it,
-if the payload has at least ``REVISIT_BYTES``; shorter payloads are all responses.
+if the payload has at least ``REVISIT_BYTES``; shorter payloads are all responses. ``write_warc``
+makes plain WARC files of the two tables, ``read_warc`` reads such files.
 
 Null html is an empty payload; a null url leaves its field out, and characters that would end a
 field are percent-encoded; rows with a null id come after all others and write an empty id; rows
-that repeat an id are separate records; an empty table makes two empty tables.
+that repeat an id are separate records; an empty table makes two empty tables; other columns are
+not read, whatever their names. A task that reads holds the compressed bytes of one file and one
+record, which is as large as its page.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+import zlib
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import shared_path, table
+from barloom.llm.common import shared_path, small_batches, table, written
+from barloom.llm.textblock import tidied
 
 REVISIT_BYTES = 100
 URN = "urn:x-page:"
@@ -96,10 +107,93 @@ def field(name: str, head: str = "head") -> Column:
     return F.when(got != "", got)
 
 
-def write_warc(spark: SparkSession, path: str, out: str, per_file: int = 50_000) -> None:
-    """The archive as plain WARC files: the text sink ends every record with the two line ends that WARC asks for."""
-    block = F.when(field("WARC-Type") == "revisit", F.lit("")).otherwise(F.col("payload").cast("string"))
-    records(spark, path).select(F.concat("head", block).alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).text(out)
+def write_warc(spark: SparkSession, path: str, out: str, per_file: int = 10_000) -> None:
+    """The archive as compressed WARC files, a record for each head; revisits have no payload, so only responses meet theirs. The text sink ends every record with the two line ends that WARC asks for. Bytes that don't have the digest under which they are stored are an error."""
+    own = spark.read.parquet(f"{path}/heads")
+    revisit = field("WARC-Type") == "revisit"
+    stored = spark.read.parquet(f"{path}/payloads")
+    checked = F.when(digest_of(F.col("payload")) == F.col("digest"), F.col("payload").cast("string")).otherwise(F.raise_error(F.concat(F.lit("a record's head and payload don't agree: "), "digest")))
+    whole = own.filter(~revisit).join(stored, "digest").select(F.concat("head", checked).alias("value"))
+    both = whole.unionByName(own.filter(revisit).select(F.col("head").alias("value")))
+    both.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(out)
+
+
+def warc_records(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """Head and block of each record of a file, by the lengths that the heads say."""
+    held, gap = bytearray(), CRLF.encode() * 2
+    for chunk in chunks:
+        held += chunk
+        while (end := held.find(gap)) >= 0:
+            head = bytes(held[: end + 4])
+            length = re.search(rb"\r\nContent-Length: (\d+)\r\n", head)
+            if not head.startswith(b"WARC/1.1\r\n") or not length:
+                raise ValueError("a record's head and payload don't agree: no WARC head where one should be")
+            past = end + 4 + int(length[1])
+            if len(held) < past + 4:
+                break
+            if held[past : past + 4] != gap:
+                raise ValueError("a record's head and payload don't agree: no line ends after a block")
+            yield head, bytes(held[end + 4 : past])
+            del held[: past + 4]
+    if held:
+        raise ValueError("a record's head and payload don't agree: the file ends within a record")
+
+
+def _inflated(raw: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    view = memoryview(raw)
+    reader = zlib.decompressobj(31)
+    for k in range(0, len(view), step):
+        rest = bytes(view[k : k + step])
+        while rest:
+            yield reader.decompress(rest)
+            rest, done = reader.unused_data, reader.eof
+            if not done:
+                break
+            reader = zlib.decompressobj(31)
+
+
+READ = "page_id long, record_type string, refers_to long, digest string, says long, payload_bytes long, payload_digest string"
+
+
+def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the records of some files say, and size and digest of the payloads that they hold."""
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+    number = re.compile(rf"<{URN}(-?\d+)>")
+
+    def rows(raw: bytes) -> Iterator[tuple]:
+        for head, block in warc_records(_inflated(raw)):
+            said = dict(line.split(": ", 1) for line in head.decode().split(CRLF)[1:] if line)
+            http, _, payload = block.partition(CRLF.encode() * 2)
+            page, to = (number.fullmatch(said.get(f, "")) for f in ("WARC-Record-ID", "WARC-Refers-To"))
+            says = re.search(rb"\r\nContent-Length: (\d+)", http)
+            own = (None, None) if said["WARC-Type"] == "revisit" else (len(payload), hashlib.sha256(payload).hexdigest())
+            yield (page and int(page[1]), said["WARC-Type"], to and int(to[1]), said["WARC-Payload-Digest"].removeprefix("sha256:"), says and int(says[1]), *own)
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            found = rows(batch.column(0)[k].as_py())
+            while some := list(islice(found, 4096)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some, strict=True), kinds, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
+
+
+def read_warc(spark: SparkSession, out: str) -> DataFrame:
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record of the WARC files in ``out``.
+
+    Size and digest of a response are taken from its bytes and those of a revisit from the response
+    that it refers to, found by a join on the digest. Where these aren't what a head says, an error
+    is raised when read.
+    """
+    small_batches(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(out)
+    said = written(files.select("content").mapInArrow(tidied(parsed), READ), "warc-read")
+    wrong = F.raise_error(F.concat(F.lit("a record's head and payload don't agree: "), "digest")).cast("long")
+    whole = said.filter("record_type = 'response'")
+    good = (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") == F.col("says"))
+    responses = whole.select("page_id", F.when(good, F.col("payload_bytes")).otherwise(wrong).alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    held = whole.filter(F.col("payload_bytes") >= REVISIT_BYTES).select(F.col("payload_digest").alias("digest"), F.col("page_id").alias("_holder"), F.col("payload_bytes").alias("_bytes"))
+    same = F.col("_holder").eqNullSafe(F.col("refers_to")) & (F.col("_bytes") == F.col("says"))
+    revisits = said.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(held, "digest", "left")
+    return responses.unionByName(revisits.select("page_id", F.when(same, F.col("_bytes")).otherwise(wrong).alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"))
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
@@ -126,7 +220,8 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 def op2_warc_archive(spark, sf_dir) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
-    return read_back(spark, path)
+    write_warc(spark, path, f"{path}/warc")
+    return read_warc(spark, f"{path}/warc")
 
 
 ORACLE_SQL = f"""

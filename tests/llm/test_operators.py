@@ -148,7 +148,14 @@ def test_warc_odd_pages(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "archive/payloads")).count() == 4
     warc.write_warc(spark, str(tmp_path / "archive"), str(tmp_path / "files"))
     raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "files").glob("part-*")))
-    assert raw.count(b"WARC/1.1\r\n") == len(rows) and raw.endswith(b"\r\n\r\n")
+    import gzip
+
+    whole = gzip.decompress(raw)
+    assert whole.count(b"WARC/1.1\r\n") == len(rows) and whole.endswith(b"\r\n\r\n")
+    heads = [h for h, _ in warc.warc_records(iter(whole[k : k + 7] for k in range(0, len(whole), 7)))]
+    assert sorted(h.split(b"\r\nWARC-Record-ID: ")[1].split(b"\r\n")[0] for h in heads) == sorted(f"<{warc.URN}{'' if r[0] is None else r[0]}>".encode() for r in rows)
+    read = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, str(tmp_path / "files")).collect())
+    assert read == got
 
 
 def test_warc_without_pages(spark, tmp_path):
@@ -156,6 +163,21 @@ def test_warc_without_pages(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(path)
     warc.write_archive(spark.read.parquet(path), str(tmp_path / "archive"))
     assert warc.read_back(spark, str(tmp_path / "archive")).count() == 0
+    warc.write_warc(spark, str(tmp_path / "archive"), str(tmp_path / "files"))
+    assert warc.read_warc(spark, str(tmp_path / "files")).count() == 0
+
+
+def test_warc_of_long_and_nested_payloads(spark, tmp_path):
+    """A payload that looks like records itself, and one of some MB, over files of one record."""
+    trap = "WARC/1.1\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\nWARC/1.1\r\n" * 4
+    rows = [(1, "u", trap), (2, "u", "é" * 3_000_000), (3, "u", trap), (-4, "u", "\r\n\r\n" * 40)]
+    spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, head string").write.parquet(str(tmp_path / "pages"))
+    warc.write_archive(spark.read.parquet(str(tmp_path / "pages")), str(tmp_path / "archive"))
+    warc.write_warc(spark, str(tmp_path / "archive"), str(tmp_path / "files"), per_file=1)
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, str(tmp_path / "files")).collect()}
+    assert got == {i: (len(h.encode()), sha256(h.encode()), "revisit" if i == 3 else "response", 1 if i == 3 else None) for i, _, h in rows}
+    with pytest.raises(ValueError, match="within a record"):
+        list(warc.warc_records(iter([b"WARC/1.1\r\nContent-Length: 50\r\n\r\nabc"])))
 
 
 # 3: toxicity
@@ -229,8 +251,9 @@ def test_near_dedup_around_the_threshold(table_of):
             for at in rng.integers(0, len(words), max(1, len(words) // int(rng.integers(20, 60)))):
                 other[at] = f"v{rng.integers(0, 100_000)}"
             rows.append((3 * k + j, " ".join(other)))
-    got = {r["id"]: (r["n"], r["component"]) for r in near_dedup.assign(table_of(rows)).collect()}
-    assert got == near(dict(rows))
+    docs, want = table_of(rows), near(dict(rows))
+    for few in (near_dedup.FEW, None):
+        assert {r["id"]: (r["n"], r["component"]) for r in near_dedup.assign(docs, few=few).collect()} == want
 
 
 def test_near_dedup_null_and_repeated_identifiers(table_of):
@@ -239,6 +262,17 @@ def test_near_dedup_null_and_repeated_identifiers(table_of):
     assert Counter((r["id"], r["component"]) for r in got) == Counter({(None, None): 2, (5, 5): 2, (9, 5): 1, (7, 5): 1})
 
 
+def test_unrelated_sets_agree_as_often_as_the_correction_says(spark):
+    """Registers of many unrelated sets: their share of equal ones is the computed chance, and the corrected estimate is about 0."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: near_dedup.registers(np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)))
+    rows = [(draw(2000).astype(int).tolist(), draw(2600).astype(int).tolist(), 2000, 2600) for _ in range(600)]
+    df = spark.createDataFrame(rows, "x array<int>, y array<int>, n long, m long")
+    got = df.select(near_dedup.estimate(F.col("x"), F.col("y"), F.col("n"), F.col("m")).alias("e"), near_dedup.collisions(F.col("n"), F.col("m")).alias("c")).agg(F.avg("e").alias("e"), F.first("c").alias("c")).first()
+    equal = np.mean([a == b for x, y, _, _ in rows for a, b in zip(x, y, strict=True)])
+    assert 0 < got["c"] and abs(equal - got["c"]) < 5 * (got["c"] / (600 * near_dedup.REGISTERS)) ** 0.5 and abs(got["e"]) < 5 * (got["c"] / (600 * near_dedup.REGISTERS)) ** 0.5
+
+
 def test_registers_hold_zeros_and_mantissa():
     rng = np.random.default_rng(1)
     hashes = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
@@ -568,3 +602,6 @@ def test_warc_reading_back_finds_damage(spark, tmp_path, table, column, change):
         (stored.withColumn(column, F.expr(change)) if name == table else stored).write.parquet(str(tmp_path / "damaged" / name))
     with pytest.raises(Exception, match="don't agree"):
         warc.read_back(spark, str(tmp_path / "damaged")).collect()
+    with pytest.raises(Exception, match="don't agree"):
+        warc.write_warc(spark, str(tmp_path / "damaged"), str(tmp_path / "files"))
+        warc.read_warc(spark, str(tmp_path / "files")).collect()
