@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -57,7 +58,7 @@ def planned(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
 
 def heads(plan: DataFrame, date: str) -> DataFrame:
-    """``id, digest, head`` of each record."""
+    """``id, digest, size, head`` of each record."""
     holds = (F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row"))
     revisit = (F.col("size") >= REVISIT_BYTES) & ~holds
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(CRLF * 2))
@@ -77,18 +78,27 @@ def heads(plan: DataFrame, date: str) -> DataFrame:
         F.lit(CRLF),
         http,
     )
-    return plan.select("id", "digest", head.alias("head"))
+    return plan.select("id", "digest", "size", head.alias("head"))
 
 
-def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", key: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Writes ``heads`` and ``payloads`` below ``path`` for ``pages``, a table read straight from files."""
+PAYLOADS = "digest string, payload binary"
+
+
+def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", key: str = "page_id", url: str = "url", html: str = "html") -> str:
+    """Writes ``heads`` and ``payloads`` below ``path`` for ``pages``, a table read straight from files.
+
+    Equal payloads are dropped where they are read, before the one shuffle of payloads, so a payload
+    that very many pages share is no load for a task. They are written in buckets by digest, which a
+    join on the digest reads as they are; returns the name of that table in the session's catalog.
+    """
     spark = pages.sparkSession
     planned(pages, key, url, html).write.parquet(f"{path}/plan")
-    plan = spark.read.parquet(f"{path}/plan")
-    heads(plan, date).write.option("compression", "zstd").parquet(f"{path}/heads")
-    holders = plan.select("digest", F.col("first.file").alias("file"), F.col("first.row").alias("row")).filter((plan["file"] == F.col("first.file")) & (plan["row"] == F.col("first.row")))
-    bodies = pages.select(F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    bodies.join(holders, ["file", "row"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    heads(spark.read.parquet(f"{path}/plan"), date).write.option("compression", "zstd").parquet(f"{path}/heads")
+    body = F.coalesce(F.col(html), F.lit(""))
+    once = pages.select(digest_of(body).alias("digest"), body.cast("binary").alias("payload")).dropDuplicates(["digest"])
+    name = f"warc_payloads_{uuid.uuid4().hex}"
+    once.write.option("compression", "zstd").option("path", f"{path}/payloads").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "digest").sortBy("digest").saveAsTable(name)
+    return name
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -97,7 +107,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     Revisits come with the payload that they refer to. ``verified``: the stored bytes have the
     digest under which they are stored.
     """
-    stored = spark.read.parquet(f"{path}/payloads").withColumn("verified", digest_of(F.col("payload")) == F.col("digest"))
+    stored = spark.read.schema(PAYLOADS).parquet(f"{path}/payloads").withColumn("verified", digest_of(F.col("payload")) == F.col("digest"))
     return spark.read.parquet(f"{path}/heads").join(stored, "digest")
 
 
@@ -107,14 +117,18 @@ def field(name: str, head: str = "head") -> Column:
     return F.when(got != "", got)
 
 
-def write_warc(spark: SparkSession, path: str, out: str, per_file: int = 10_000) -> None:
-    """The archive as compressed WARC files, a record for each head; revisits have no payload, so only responses meet theirs. The text sink ends every record with the two line ends that WARC asks for. Bytes that don't have the digest under which they are stored are an error."""
+def write_warc(spark: SparkSession, path: str, out: str, per_file: int = 10_000, payloads: str | None = None) -> None:
+    """``payloads`` names the bucketed table, if the session has it. The archive as compressed WARC files, a record for each head; revisits have no payload, so only responses meet theirs. The text sink ends every record with the two line ends that WARC asks for. Bytes that don't have the digest under which they are stored are an error."""
     own = spark.read.parquet(f"{path}/heads")
     revisit = field("WARC-Type") == "revisit"
-    stored = spark.read.parquet(f"{path}/payloads")
+    plain = spark.read.schema(PAYLOADS).parquet(f"{path}/payloads")
+    long = F.col("size") >= REVISIT_BYTES
     checked = F.when(digest_of(F.col("payload")) == F.col("digest"), F.col("payload").cast("string")).otherwise(F.raise_error(F.concat(F.lit("a record's head and payload don't agree: "), "digest")))
-    whole = own.filter(~revisit).join(stored, "digest").select(F.concat("head", checked).alias("value"))
-    both = whole.unionByName(own.filter(revisit).select(F.col("head").alias("value")))
+    # a long payload has one response; a short one may have very many, which adaptive execution splits where both sides are shuffled
+    pairs = [own.filter(long & ~revisit).join(spark.table(payloads) if payloads else plain, "digest", "left"), own.filter(~long).join(plain.filter(F.octet_length("payload") < 2 * REVISIT_BYTES), "digest", "left")]
+    both = own.filter(revisit).select(F.col("head").alias("value"))
+    for met in pairs:
+        both = both.unionByName(met.select(F.concat("head", checked).alias("value")))
     both.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(out)
 
 
@@ -219,8 +233,9 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 
 def op2_warc_archive(spark, sf_dir) -> DataFrame:
     path = shared_path(spark, "warc")
-    write_archive(table(spark, sf_dir, "pages"), path)
-    write_warc(spark, path, f"{path}/warc")
+    payloads = write_archive(table(spark, sf_dir, "pages"), path)
+    write_warc(spark, path, f"{path}/warc", payloads=payloads)
+    spark.sql(f"DROP TABLE {payloads}")  # the catalog's entry; the files stay
     return read_warc(spark, f"{path}/warc")
 
 
