@@ -14,6 +14,7 @@ from barloom.operators.pivots import with_boolean_divergence
 
 COMPARISONS = {"=": operator.eq, ">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le}
 DIVERGENCES = ("bull divergence", "bear divergence")
+#: Names of the live dataset's indicators.
 INDICATORS = ("SMA50", "SMA200", "High vs MA50", "High vs MA200", "Low vs MA50", "Low vs MA200", "RSI", "MACD", "ROC")
 
 
