@@ -18,7 +18,9 @@ anchor serves some 35 windows.
 4. A bucket merges its runs by a loser tree: every contender knows how many bytes it shares with the
    last winner, so a longer share wins unread, and equal shares are compared from there on. The
    shares that come out are the suffix array's common prefixes; with them the windows of each anchor
-   that stand in an equal earlier one are found for all offsets.
+   that stand in an equal earlier one are found for all offsets. Runs are decoded as the tree asks
+   for them, and what comes out is looked at in blocks that end where the shared prefix is shorter
+   than GRAM, so that equal windows are never in two. Buckets grow in number with the text, not in size.
 5. The windows go back to the parts, which remove what they cover.
 
 Null text is empty; null identifiers come after all others; rows that repeat an identifier come in
@@ -55,6 +57,10 @@ CHUNK = 1 << 19
 KEYS = 1 << 14
 #: Anchors with the same bytes up to which they share a bucket.
 HOT = 1 << 18
+#: Merged suffixes that are looked at together, if the shared prefix lets them end there.
+BLOCK = 1 << 16
+#: Text whose suffixes go to one bucket, where there is more than the shuffle partitions' buckets are for.
+BUCKET_BYTES = 32 << 20
 LAST = np.iinfo(np.int64).max
 ROWS = "part string, bucket int, body binary"
 SCHEMA = pa.schema([("part", pa.string()), ("bucket", pa.int32()), ("body", pa.binary())])
@@ -222,12 +228,13 @@ def _buckets(values: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(values) % np.uint64(buckets)).astype(np.int64)
 
 
-def _split(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket that has any, and where its members are, in their order."""
     order = np.argsort(bucket, kind="stable")
-    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for k in np.flatnonzero(np.diff(edge)).tolist():
-        yield k, order[edge[k] : edge[k + 1]]
+    sorted_ = bucket[order]
+    edge = np.append(np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])[: len(order)]), len(order)).tolist()
+    for a, b in zip(edge, edge[1:], strict=False):
+        yield int(sorted_[a]), order[a:b]
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
@@ -272,7 +279,7 @@ def hashed(buckets: int):
         for part, _, body in _rows(batches):
             own = Part(body)
             h, count = np.unique(own.hashes(), return_counts=True)
-            grams, texts = dict(_split(_buckets(h, buckets), buckets)), dict(_split(_buckets(own.digest8, buckets), buckets))
+            grams, texts = dict(_split(_buckets(h, buckets))), dict(_split(_buckets(own.digest8, buckets)))
             none = np.empty(0, np.int64)
             for k in sorted({*grams, *texts}):
                 g, t = grams.get(k, none), texts.get(k, none)
@@ -336,7 +343,7 @@ def runs(buckets: int):
         for part, own, back in _by_part(batches):
             h, number = np.unique(own.hashes(), return_inverse=True)
             again, hot, later = np.zeros(len(h), bool), np.zeros(len(h), bool), np.zeros(len(own.order), bool)
-            grams, texts = dict(_split(_buckets(h, buckets), buckets)), dict(_split(_buckets(own.digest8, buckets), buckets))
+            grams, texts = dict(_split(_buckets(h, buckets))), dict(_split(_buckets(own.digest8, buckets)))
             for k, body in back:
                 x = unpacked(body)
                 for where, bits, to in ((grams.get(k), x["again"], again), (grams.get(k), x["hot"], hot), (texts.get(k), x["later"], later)):
@@ -358,7 +365,7 @@ def runs(buckets: int):
                 name = span_hashes(own.text, window, window, window)
                 groups.append((window, window, window, np.repeat(own.doc[i], each), _buckets(name, buckets), name))
             place, low, high, docs, bucket, name = (np.concatenate(x) for x in zip(*groups, strict=True))
-            for k, i in _split(bucket, buckets):
+            for k, i in _split(bucket):
                 i = i[np.lexsort((place[i], own.digest8[docs[i]], own.order[docs[i]]))]
                 # the same bytes and the same windows as an earlier one: all repeat
                 copy = copies(own.text, place[i], low[i], high[i], name[i])
@@ -386,8 +393,18 @@ def _compared(one: bytes, other: bytes, start: int) -> int:
     return start + n - (x.bit_length() + 7) // 8
 
 
-def merged(sorted_runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[int, int]], list[int]]:
-    """The runs' keys in one order, as (run, place in it), with what each shares with the one before it.
+def decoded(rest: np.ndarray, shared: np.ndarray) -> Iterator[tuple[bytes, int]]:
+    """The keys of a front-coded run, one by one, each with what it shares with the one before it."""
+    raw, last, a = memoryview(np.ascontiguousarray(rest)), b"", 0
+    for s in shared.tolist():
+        b = a + KEY - s
+        last = last[:s] + raw[a:b]
+        a = b
+        yield last, s
+
+
+def merged(sorted_runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[int, int, bytes]]:
+    """The runs' keys in one order: (run, what the key shares with the one before it, key). Holds one key of each run.
 
     A loser tree; ``share[r]`` is what the next key of run r shares with the last winner, if run r
     lost last to that winner. The contender that shares more is the smaller one; only for equal
@@ -395,18 +412,16 @@ def merged(sorted_runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple
     """
     n = len(sorted_runs)
     size = 1 << max(0, (n - 1).bit_length())
-    at, ended = [0] * size, [r >= n or not sorted_runs[r][0] for r in range(size)]
-    share = [0] * size
-    keys = [x[0] for x in sorted_runs]
-    lost = [0] * size
+    share, lost = [0] * size, [0] * size
+    head: list[bytes | None] = [next(x, (None, 0))[0] for x in sorted_runs] + [None] * (size - n)
 
     def play(a: int, b: int) -> tuple[int, int]:
         """Winner and loser."""
-        if ended[a] or ended[b]:
-            return (b, a) if ended[a] else (a, b)
+        one, other = head[a], head[b]
+        if one is None or other is None:
+            return (b, a) if one is None else (a, b)
         if share[a] != share[b]:
             return (a, b) if share[a] > share[b] else (b, a)
-        one, other = keys[a][at[a]], keys[b][at[b]]
         common = _compared(one, other, share[a])
         if common == KEY:
             win, lose = (a, b) if a < b else (b, a)
@@ -425,20 +440,28 @@ def merged(sorted_runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple
             lost[node + k // 2] = lose
             above.append(win)
         level = above
-    win, order, shares = level[0], [], []
-    while not ended[win]:
-        order.append((win, at[win]))
-        shares.append(share[win])
-        at[win] += 1
-        if at[win] == len(keys[win]):
-            ended[win] = True
-        else:
-            share[win] = sorted_runs[win][1][at[win]]
+    win = level[0]
+    while head[win] is not None:
+        yield win, share[win], head[win]
+        head[win], share[win] = next(sorted_runs[win], (None, 0))
         node = (win + size) // 2
         while node:
             win, lost[node] = play(win, lost[node])
             node //= 2
-    return order, shares
+
+
+def in_blocks(stream: Iterator[tuple[int, int, bytes]], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs, shares and keys of at least ``least`` merged suffixes (but for the last), up to where the next one begins with other GRAM bytes."""
+    run, shares, keys = [], [], bytearray()
+    for r, s, key in stream:
+        if s < GRAM and len(run) >= least:
+            yield np.array(run, np.int64), np.array(shares, np.int64), np.frombuffer(bytes(keys), np.uint8).reshape(-1, KEY)
+            run, shares, keys = [], [], bytearray()
+        run.append(r)
+        shares.append(s)
+        keys += key
+    if run:
+        yield np.array(run, np.int64), np.array(shares, np.int64), np.frombuffer(bytes(keys), np.uint8).reshape(-1, KEY)
 
 
 def repeated(key: np.ndarray, shares: np.ndarray, back: np.ndarray, ahead: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -466,7 +489,7 @@ def repeated(key: np.ndarray, shares: np.ndarray, back: np.ndarray, ahead: np.nd
     return out
 
 
-def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def merge(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Windows that repeat, for each part, from the runs of each bucket; what parts know already passes through."""
     for bucket, rows in _by_bucket(batches):
         if bucket <= COVERED:
@@ -474,33 +497,28 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch((part, bucket, body))
             continue
         held = [unpacked(body) for _, body in rows]
-        sorted_runs = []
-        for x in held:
-            raw, last, keys, a = x["rest"].tobytes(), b"", [], 0
-            for s in x["shared"].tolist():
-                b = a + KEY - s
-                last = last[:s] + raw[a:b]
-                keys.append(last)
-                a = b
-            sorted_runs.append((keys, x["shared"].tolist()))
-        order, shares = merged(sorted_runs)
-        run, place = (np.array(v, np.int64) for v in zip(*order, strict=True))
-        start = np.append(0, np.cumsum([len(x["back"]) for x in held]))
-        i = start[run] + place
-        column = {c: np.concatenate([x[c] for x in held])[i] for c in ("back", "ahead", "order", "digest8", "place", "doc")}
-        key = np.frombuffer(b"".join(sorted_runs[r][0][p] for r, p in order), np.uint8).reshape(-1, KEY)
-        rank = np.empty(len(i), np.int64)
-        rank[np.lexsort((run, column["place"], column["digest8"], column["order"]))] = np.arange(len(i))
-        hit = repeated(key, np.array(shares), column["back"].astype(np.int64), column["ahead"].astype(np.int64), rank)
-        edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        entry, low = np.nonzero(edge == 1)
-        _, past = np.nonzero(edge == -1)
-        for k, (part, _) in enumerate(rows):
-            mine = np.flatnonzero(run[entry] == k)
-            if len(mine):
-                e = entry[mine]
-                # places in documents; the rows of a part that it wrote itself have places in its text
-                yield _batch((part, bucket, packed(doc=column["doc"][e], low=column["place"][e] - (past[mine] - 1), high=column["place"][e] - low[mine])))
+        next_ = np.cumsum([0, *(len(x["back"]) for x in held)])[:-1]  # of each run, the first suffix that hasn't come out
+        column = {c: np.concatenate([x[c] for x in held]) for c in ("back", "ahead", "order", "digest8", "place", "doc")}
+        stream = merged([decoded(x["rest"], x["shared"]) for x in held])
+        del held
+        found = []
+        for run, shares, key in in_blocks(stream, block):
+            i = np.empty(len(run), np.int64)
+            for r, mine in _split(run):  # a run's suffixes come out in its order
+                i[mine] = next_[r] + np.arange(len(mine))
+                next_[r] += len(mine)
+            own = {c: x[i] for c, x in column.items()}
+            rank = np.empty(len(i), np.int64)
+            rank[np.lexsort((run, own["place"], own["digest8"], own["order"]))] = np.arange(len(i))
+            hit = repeated(key, shares, own["back"].astype(np.int64), own["ahead"].astype(np.int64), rank)
+            edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            e, low = np.nonzero(edge == 1)
+            _, past = np.nonzero(edge == -1)
+            found.append((run[e], own["doc"][e], own["place"][e] - (past - 1), own["place"][e] - low))
+        run, doc, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+        for k, mine in _split(run):
+            # places in documents; the rows of a part that it wrote itself have places in its text
+            yield _batch((rows[k][0], bucket, packed(doc=doc[mine], low=low[mine], high=high[mine])))
 
 
 def removed_from(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -531,15 +549,16 @@ def removed_from(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows, held = [], 0
 
 
-def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
+def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES, hot: int = HOT, block: int = BLOCK, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, source_sha256, kept`` of every row of ``docs``."""
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = written(parts(docs, key, text, part_bytes), "suffix-parts")
-    by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() * part_bytes // bucket_bytes))
+    # by part too: a task that runs again finds its rows in the same order
+    by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "part")
     with_texts = lambda df: df.unionByName(texts).repartition("part").sortWithinPartitions("part", "bucket")
     again = by_bucket(texts.mapInArrow(tidied(hashed(buckets)), ROWS)).mapInArrow(tidied(lambda batches: seen_again(batches, hot)), ROWS)
     sent = by_bucket(with_texts(again).mapInArrow(tidied(runs(buckets)), ROWS))
-    covered = sent.mapInArrow(tidied(merge), ROWS)
+    covered = sent.mapInArrow(tidied(lambda batches: merge(batches, block)), ROWS)
     return with_texts(covered).mapInArrow(tidied(removed_from), RESULT)
 
 

@@ -582,13 +582,37 @@ def test_hashes_are_counted_before_they_are_sent(table_of):
     assert all(len(np.unique(x["hashes"])) == len(x["hashes"]) for x in sent) and sum(x["count"].sum() for x in sent) >= 300
 
 
-@pytest.mark.parametrize("hot", [1, 10, 1 << 18])
-def test_suffix_dedup_of_hot_anchors_and_periods(table_of, hot):
+@pytest.mark.parametrize("runs", [1, 2, 5, 9])
+def test_merged_runs_come_out_in_order_and_in_blocks_of_whole_grams(runs):
+    rng = np.random.default_rng(runs)
+    grams = [bytes(rng.integers(0, 3, suffix_dedup.GRAM, np.uint8)) for _ in range(4)]
+    want, coded = [], []
+    for r in range(runs):
+        own = sorted(grams[rng.integers(0, 4)] + bytes(rng.integers(0, 2, suffix_dedup.KEY - suffix_dedup.GRAM, np.uint8) * (rng.random() < 0.7)) for _ in range(rng.integers(0, 40)))
+        key = np.frombuffer(b"".join(own), np.uint8).reshape(-1, suffix_dedup.KEY)
+        shared = suffix_dedup.shared_with_last(key)
+        coded.append((key[np.arange(suffix_dedup.KEY)[None, :] >= shared[:, None]], shared))
+        want += [(k, r) for k in own]
+    merged = lambda: suffix_dedup.merged([suffix_dedup.decoded(*x) for x in coded])
+    assert [(k, r) for r, _, k in merged()] == sorted(want)
+    for least in (1, 7, 10**6):
+        blocks = list(suffix_dedup.in_blocks(merged(), least))
+        keys = np.concatenate([b[2] for b in blocks]) if blocks else np.empty((0, suffix_dedup.KEY), np.uint8)
+        assert [bytes(k) for k in keys] == [k for k, _ in sorted(want)]
+        if blocks:
+            assert (np.concatenate([b[1] for b in blocks]) == suffix_dedup.shared_with_last(keys)).all()
+        assert all(len(b[0]) >= least for b in blocks[:-1])
+        firsts = [{bytes(k[: suffix_dedup.GRAM]) for k in b[2]} for b in blocks]
+        assert sum(map(len, firsts)) == len(set().union(*firsts))
+
+
+@pytest.mark.parametrize(("hot", "block", "bucket_bytes"), [(1, 1, 1 << 25), (10, 20, 500), (1 << 18, 1, 100), (1 << 18, 1 << 16, 1 << 25)])
+def test_suffix_dedup_of_hot_anchors_and_periods(table_of, hot, block, bucket_bytes):
     rng = np.random.default_rng(6)
     common = "".join(rng.choice(list("abcdefgh "), 130))
     draw = lambda n: "".join(rng.choice(list("abcdefgh "), n))
     rows = [(i, draw(rng.integers(0, 90)) + common[rng.integers(0, 40) :] + draw(rng.integers(0, 90)) + "ab" * int(rng.integers(0, 120)) + "-" * int(rng.integers(0, 300))) for i in range(60)]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.assign(table_of(rows), part_bytes=2000, hot=hot).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.assign(table_of(rows), part_bytes=2000, hot=hot, block=block, bucket_bytes=bucket_bytes).collect()}
     assert got == without_repeats(rows)
 
 
