@@ -100,3 +100,16 @@ def numbered(rows: DataFrame, group: str, order: Sequence[str], slot: str = "slo
     counts = dealt.groupBy(group, "_range").agg(F.count("*").alias("_n")).select(group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy(group, "_range").orderBy(*(F.col(c) for c in order))
     return dealt.withColumn("_place", F.row_number().over(within) - 1).join(counts, [group, "_range"]).withColumn(slot, (F.col("_before") + F.col("_place")).cast("long")).drop("_range", "_place", "_before")
+
+
+def crc32_sql(hexadecimal: str) -> str:
+    """DuckDB SQL for the CRC-32 of bytes, given as SQL for their hexadecimal digits; half a byte at a time."""
+
+    def half(c: int) -> int:
+        for _ in range(4):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        return c
+
+    after = lambda c, four: f"xor({c} >> 4, {[half(x) for x in range(16)]}[1 + (xor({c}, {four}) & 15)])"
+    numbers = f"list_transform(regexp_extract_all({hexadecimal}, '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce({numbers}, lambda c, b: {after(after('c', 'b'), '(b >> 4)')}, 4294967295), 4294967295)"

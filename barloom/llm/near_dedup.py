@@ -287,3 +287,37 @@ def op4_hyperminhash_near_dedup(spark, sf_dir) -> DataFrame:
     return assign(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.coalesce(F.col("id") == F.col("component"), F.lit(True))).alias("kept")
     )
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos, len(words) AS n
+    FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents)
+), five AS (
+    SELECT doc_id, pos, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS shingle FROM w
+), s AS (
+    SELECT DISTINCT doc_id, shingle FROM five WHERE pos <= greatest(n - 4, 1)
+), sets AS (
+    SELECT doc_id, count(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS same FROM s GROUP BY doc_id
+), reps AS (
+    SELECT same, min(doc_id) AS rep, any_value(n) AS n FROM sets GROUP BY same
+), r AS (
+    SELECT rep, n, shingle FROM reps JOIN s ON rep = doc_id
+), pairs AS (
+    SELECT x.rep AS a, y.rep AS b, count(*) AS shared, any_value(x.n) AS n, any_value(y.n) AS m
+    FROM r x JOIN r y ON x.shingle = y.shingle AND x.rep < y.rep AND 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n) GROUP BY ALL
+), links AS (
+    SELECT a, b FROM pairs WHERE 100 * shared >= 75 * (n + m - shared)
+), ways AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+    SELECT rep AS node, rep AS low FROM reps
+    UNION
+    SELECT ways.b, reached.low FROM reached JOIN ways ON reached.node = ways.a WHERE reached.low < ways.b
+), roots AS (
+    SELECT node, min(low) AS root FROM reached GROUP BY node
+), named AS (
+    SELECT doc_id, sets.n, root FROM sets JOIN reps USING (same) JOIN roots ON rep = node
+)
+SELECT doc_id, coalesce(named.n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) = doc_id AS kept FROM documents LEFT JOIN named USING (doc_id)
+"""

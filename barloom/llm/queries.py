@@ -17,6 +17,10 @@ QUERIES = {
     "op9_viterbi_token_counts": token_counts.op9_viterbi_token_counts,
 }
 ORACLE_SQL = {
+    "op10_suffix_merge_dedup": suffix_dedup.ORACLE_SQL,
     "op2_warc_archive": warc.ORACLE_SQL,
+    "op4_hyperminhash_near_dedup": near_dedup.ORACLE_SQL,
+    "op6_signature_sniffed_media": media.ORACLE_SQL,
+    "op7_rendezvous_sharding": sharding.ORACLE_SQL,
     "op8_streaming_exact_dedup": exact_dedup.ORACLE_SQL,
 }

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import numbered, table
+from barloom.llm.common import crc32_sql, numbered, table
 
 SHARDS = 16
 BITS = 52
@@ -53,3 +53,16 @@ def assign(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, key: str
 
 def op7_rendezvous_sharding(spark, sf_dir) -> DataFrame:
     return assign(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = f"""
+WITH drawn AS (
+    SELECT doc_id, shard, -1.0 / ln((('0x' || substr(md5(shard || ':' || doc_id), 1, {BITS // 4}))::BIGINT + 0.5::DOUBLE) / {2**BITS}::DOUBLE) AS score
+    FROM documents, range({SHARDS + 1}) AS shards(shard)
+), placed AS (
+    SELECT doc_id, arg_max(shard, score) FILTER (shard < {SHARDS}) AS shard, arg_max(shard, score) AS grown_shard FROM drawn GROUP BY doc_id
+)
+SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, {crc32_sql("hex(encode(coalesce(text, '')))")} AS text_crc32, 'key' AS law,
+    placed.shard::INTEGER AS shard, row_number() OVER (PARTITION BY placed.shard ORDER BY doc_id) - 1 AS slot, placed.grown_shard::INTEGER AS grown_shard
+FROM documents JOIN placed USING (doc_id)
+"""

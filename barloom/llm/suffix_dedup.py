@@ -582,3 +582,25 @@ def trimmed(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes
 
 def op10_suffix_merge_dedup(spark, sf_dir) -> DataFrame:
     return assign(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS body, row_number() OVER (ORDER BY doc_id) AS nth FROM documents),
+blocks AS (SELECT nth, first, substr(body, 2 * first + 1, 1198) AS block FROM (SELECT nth, body, unnest(range(0, len(body) // 2 - 99, 500)) AS first FROM t)),
+w AS (SELECT nth, first + i AS start, md5(substr(block, 2 * i + 1, 200)) AS string FROM (SELECT nth, first, block, unnest(range(len(block) // 2 - 99)) AS i FROM blocks)),
+again AS (SELECT nth, start FROM w QUALIFY row_number() OVER (PARTITION BY string ORDER BY nth, start) > 1),
+runs AS (
+    SELECT nth, min(start) AS a, max(start) + 100 AS b FROM (
+        SELECT nth, start, sum(fresh) OVER (PARTITION BY nth ORDER BY start) AS run FROM (
+            SELECT nth, start, CASE WHEN start - lag(start) OVER (PARTITION BY nth ORDER BY start) <= 100 THEN 0 ELSE 1 END AS fresh FROM again))
+    GROUP BY nth, run
+),
+left_over AS (
+    SELECT t.nth, string_agg(substr(body, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS kept FROM t JOIN (
+        SELECT nth, lag(b, 1, 0) OVER (PARTITION BY nth ORDER BY a) AS x, a AS y FROM runs
+        UNION ALL SELECT nth, max(b), 1073741824 FROM runs GROUP BY nth) USING (nth) GROUP BY t.nth
+),
+cut AS (SELECT nth, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY nth)
+SELECT doc_id, len(body) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, body))) AS kept_sha256
+FROM t LEFT JOIN cut USING (nth) LEFT JOIN left_over USING (nth)
+"""
