@@ -243,8 +243,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
 
 
 def score(docs: DataFrame, model: DataFrame, text: str = "text", name: str = "score", s: Settings = Settings()) -> DataFrame:
-    """``docs`` with all its columns and the score of each row's text. The model is of a fixed size."""
-    row = model.first()
+    """``docs`` with all its columns and the score of each row's text, which replaces a column of that name. The model is of a fixed size."""
+    docs, row = docs.drop(name), model.first()
     numbers, intercept = (row["numbers"], row["intercept"]) if row else (np.zeros(1 << s.buckets_log2, np.float32).tobytes(), -500.0)
     shared = docs.sparkSession.sparkContext.broadcast((numbers, intercept))
     small_batches(docs.sparkSession)

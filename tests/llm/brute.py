@@ -7,6 +7,8 @@ import math
 import re
 from collections import defaultdict
 
+import regex
+
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -75,5 +77,30 @@ def unigram(text: str | None, scores: dict[str, float], longest: int) -> tuple[i
     return count[-1], best[-1]
 
 
+def window_score(text: str | None, weights, intercept: float, shortest: int, longest: int, window: int) -> float:
+    """The highest mean of a window of words, each the mean of the weights of its marked n-grams, through the logistic function."""
+    bits = len(weights).bit_length() - 1
+
+    def spread(x: int) -> int:
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    def value(word: str) -> float:
+        marked, found = f"<{word}>", []
+        for i in range(len(marked)):
+            h = 0
+            for n, c in enumerate(marked[i : i + longest], 1):
+                h = spread((h + ord(c) * n) % 2**64)
+                if n >= shortest:
+                    found.append(float(weights[h >> 64 - bits]))
+        return sum(found) / len(found)
+
+    lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text or "")
+    values = [value(w) for w in regex.findall(r"[\p{L}\p{N}]+", lower)]
+    means = [sum(some) / len(some) for some in (values[i : i + window] for i in range(max(len(values) - window, 0) + 1)) if some]
+    return 1 / (1 + math.exp(-max(means, default=0.0) - intercept))
+
+
 def sha256(raw: bytes) -> str:
     return hashlib.sha256(raw).hexdigest()

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.llm import bpe, exact_dedup, media, near_dedup, packing, queries, sharding, suffix_dedup, token_counts, toxicity, warc
-from brute import WHITE, near, sha256, unigram, without_repeats
+from brute import WHITE, near, sha256, unigram, window_score, without_repeats
 
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -239,6 +239,16 @@ def test_toxicity_without_both_classes(spark, insults, none, labels, expected):
     assert toxicity.classify(none, marks, SMALL).count() == 0
 
 
+def test_toxicity_scores_equal_a_plain_forward_pass(spark, odd, texts):
+    """Every text's score under a model of random weights, word by word."""
+    weights = np.random.default_rng(4).normal(0, 5, 1 << SMALL.buckets_log2).astype(np.float32)
+    model = spark.createDataFrame([(bytearray(weights.tobytes()), -0.5)], "numbers binary, intercept double")
+    got = by_id(toxicity.score(odd, model, s=SMALL))
+    for i, t in texts:
+        want = window_score(t, weights, -0.5, SMALL.shortest, SMALL.longest, SMALL.window)
+        assert got[i]["score"] == pytest.approx(want, abs=1e-6), i
+
+
 # 4: near duplicates
 
 
@@ -495,6 +505,19 @@ def test_token_counts(odd, none, texts):
     assert token_counts.counts(none, PIECES).count() == 0
 
 
+def test_token_counts_query(spark, sf, documents):
+    """Whole texts of the table, whatever their length."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    scores = {model.id_to_piece(i): model.get_score(i) for i in range(len(model)) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))}
+    rows = by_id(queries.QUERIES["op9_viterbi_token_counts"](spark, sf))
+    assert rows.keys() == documents.keys()
+    for i, t in documents.items():
+        n, score = unigram(t, scores, max(map(len, scores)))
+        assert rows[i]["n_tokens"] == n and rows[i]["score"] == pytest.approx(score), i
+
+
 def test_token_count_ties():
     own = token_counts.Vocabulary({"a": -1.0, "b": -1.0, "ab": -2.0, "ba": -2.0, "aba": -3.0, "▁": -1.0})
     rng = np.random.default_rng(2)
