@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, exact_dedup, filter_audit, media, near_dedup, packing, periodic, sharding, suffix_dedup, token_counts, toxicity, warc
+from barloom.llm import bpe, exact_dedup, filter_audit, media, near_dedup, packing, periodic, pii, sharding, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_dominance_best_fit_packing": packing.op1_dominance_best_fit_packing,
     "op10_suffix_merge_dedup": suffix_dedup.op10_suffix_merge_dedup,
     "op11_bit_parallel_periodic_runs": periodic.op11_bit_parallel_periodic_runs,
     "op12_filter_interaction_audit": filter_audit.op12_filter_interaction_audit,
+    "op13_bilstm_crf_pii": pii.op13_bilstm_crf_pii,
     "op2_warc_archive": warc.op2_warc_archive,
     "op3_subword_bag_toxicity": toxicity.op3_subword_bag_toxicity,
     "op4_hyperminhash_near_dedup": near_dedup.op4_hyperminhash_near_dedup,
