@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -15,6 +15,13 @@ from barloom.operators.rules import Condition, reason, signal, with_divergences
 
 ROW = "strategy_id string, date date, equity double, action string, signal_date date, ticker string, price double, shares double, commission double, reason string, warning string"
 
+FIELDS = [x.split()[0] for x in ROW.split(", ")]
+#: What a run says about prices it can't use.
+SKIPPED = {"Buy": "Skipped buy on {day} for {ticker}: invalid close price.", "Sell": "Skipped sell on {day} for {ticker}: invalid close price."}
+CARRIED = "Invalid mark-to-market price on {day} for {ticker}; carrying prior equity."
+#: Between several warnings of a day.
+BETWEEN = " | "
+
 
 @dataclass(frozen=True)
 class Strategy:
@@ -37,6 +44,45 @@ class Costs:
             raise ValueError("costs must not be negative")
 
 
+@dataclass(frozen=True)
+class Terms:
+    """What a simulation goes by besides its days. Costs are shares of the money moved."""
+
+    deposit: float
+    cost: float
+    slip: float
+    enter_ticker: str
+    exit_ticker: str
+    bought: str
+    sold: str
+
+
+def walked(days: Iterable[tuple], terms: Terms) -> Iterator[tuple]:
+    """``days`` are (date, enters, leaves, price) in order; for each the fields of ROW after the strategy. A trade is made on the day after its signal; only what the exit names can be left."""
+    cash, shares, order, since, last = terms.deposit, 0.0, None, None, terms.deposit
+    for day, enters, leaves, price in days:
+        good, trade, said = pd.notna(price) and price > 0, (None,) * 7, []
+        if order and not good:
+            said.append(SKIPPED[order].format(day=day, ticker=terms.enter_ticker if order == "Buy" else terms.exit_ticker))
+        elif order == "Buy" and cash > 0:
+            fill, invested = price * (1 + terms.slip), cash / (1 + terms.cost)
+            shares, fee = invested / fill, invested * terms.cost
+            cash -= invested + fee
+            trade = (order, since, terms.enter_ticker, fill, shares, fee, terms.bought)
+        elif order == "Sell":
+            fill = price * (1 - terms.slip)
+            fee = shares * fill * terms.cost
+            cash += shares * fill - fee
+            trade, shares = (order, since, terms.exit_ticker, fill, shares, fee, terms.sold), 0.0
+        if shares and not good:
+            said.append(CARRIED.format(day=day, ticker=terms.enter_ticker))
+        else:
+            last = cash + shares * price if shares else cash
+        can_leave = leaves and terms.enter_ticker == terms.exit_ticker
+        order, since = ("Sell" if can_leave else None) if shares else ("Buy" if enters else None), day
+        yield (day, last, *trade, BETWEEN.join(said) or None)
+
+
 def simulate(panel: DataFrame, strategy: Strategy, costs: Costs = Costs(), start: str | None = None, end: str | None = None, key: str = "strategy_id", ts: str = "date", side: int = 3, lookback: int = 60) -> DataFrame:
     """One row for each bar in [start, end]: equity, the trade made on it if any, and what went wrong.
 
@@ -58,42 +104,13 @@ def simulate(panel: DataFrame, strategy: Strategy, costs: Costs = Costs(), start
         window = with_divergences(window, conditions, price, side, lookback, key, ts)
     columns = [key, ts, signal(strategy.enter, strategy.enter_ticker, ts).alias("_enter"), signal(strategy.exit, strategy.exit_ticker, ts).alias("_exit"), F.col(f"`{strategy.enter_ticker}`").cast("double").alias("_buy"), F.col(f"`{strategy.exit_ticker}`").cast("double").alias("_sell")]
     bought, sold = reason("Enter", strategy.enter), reason("Exit", strategy.exit)
-    cost, slip, closes = costs.commission_pct / 100, costs.slippage_pct / 100, strategy.enter_ticker == strategy.exit_ticker
+    terms = Terms(costs.deposit, costs.commission_pct / 100, costs.slippage_pct / 100, strategy.enter_ticker, strategy.exit_ticker, bought, sold)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        cash, shares, order, since, last, out = costs.deposit, 0.0, None, None, costs.deposit, []
-        for name, day, enter, leave, buy, _ in pdf.sort_values(ts).itertuples(index=False):
-            good, trade, warning = pd.notna(buy) and buy > 0, (None,) * 7, None
-            if order == "Buy":
-                if not good:
-                    warning = f"Skipped buy on {day} for {strategy.enter_ticker}: invalid close price."
-                elif cash > 0:
-                    fill, invested = buy * (1 + slip), cash / (1 + cost)
-                    shares, fee = invested / fill, invested * cost
-                    cash -= invested + fee
-                    trade = ("Buy", since, strategy.enter_ticker, fill, shares, fee, bought)
-            elif order == "Sell" and closes:
-                if not good:
-                    warning = f"Skipped sell on {day} for {strategy.exit_ticker}: invalid close price."
-                else:
-                    fill = buy * (1 - slip)
-                    fee = shares * fill * cost
-                    cash += shares * fill - fee
-                    trade, shares = ("Sell", since, strategy.exit_ticker, fill, shares, fee, sold), 0.0
-            if shares and not good:
-                warning = "; ".join(filter(None, (warning, f"Invalid mark-to-market price on {day} for {strategy.enter_ticker}; carrying prior equity.")))
-            else:
-                last = cash + shares * buy if shares else cash
-            order = ("Sell" if leave else None) if shares else ("Buy" if enter else None)
-            since = day
-            out.append((name, day, last, *trade, warning))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in ROW.split(", ")])
-
-    return window.select(*columns).withColumnsRenamed({key: "strategy_id", ts: "date"}).groupBy("strategy_id").applyInPandas(_renamed(fold, ts), ROW)
-
-
-def _renamed(fold, ts: str):
-    return lambda pdf: fold(pdf.rename(columns={"date": ts}))
+        days = pdf.sort_values(ts)
+        return pd.DataFrame([(pdf[key].iloc[0], *row) for row in walked(days[[ts, "_enter", "_exit", "_buy"]].itertuples(index=False), terms)], columns=FIELDS)
+
+    return window.select(*columns).groupBy(key).applyInPandas(fold, ROW)
 
 
 def trades(run: DataFrame) -> DataFrame:
@@ -106,7 +123,7 @@ def equity(run: DataFrame) -> DataFrame:
 
 
 def warnings(run: DataFrame) -> DataFrame:
-    return run.filter("warning IS NOT NULL").select("strategy_id", F.explode(F.split("warning", "; (?=Invalid)")).alias("warning")).distinct()
+    return run.filter("warning IS NOT NULL").select("strategy_id", F.explode(F.split("warning", r" \| ")).alias("warning")).distinct()
 
 
 def benchmark_curve(prices: DataFrame, deposit: float, key: str = "series", price: str = "price") -> DataFrame:

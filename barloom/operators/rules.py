@@ -14,6 +14,8 @@ from barloom.operators.pivots import with_boolean_divergence
 
 COMPARISONS = {"=": operator.eq, ">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le}
 DIVERGENCES = ("bull divergence", "bear divergence")
+#: How a trade tells its reason.
+REASON = "{side} signal: all active {lower} conditions matched ({rules})"
 #: Names of the live dataset's indicators.
 INDICATORS = ("SMA50", "SMA200", "High vs MA50", "High vs MA200", "Low vs MA50", "Low vs MA200", "RSI", "MACD", "ROC")
 
@@ -51,7 +53,7 @@ def resolved(variable: str, source: str) -> str:
 
 def reason(side: str, conditions: Sequence[Condition]) -> str:
     """Why a trade was made, as text: the conditions by row number."""
-    return f"{side} signal: all active {side.lower()} conditions matched ({'; '.join(c.text() for c in sorted(conditions, key=lambda c: c.row_id))})"
+    return REASON.format(side=side, lower=side.lower(), rules="; ".join(c.text() for c in sorted(conditions, key=lambda c: c.row_id)))
 
 
 def with_divergences(df: DataFrame, conditions: Sequence[Condition], price: str, side: int = 3, lookback: int = 60, key: str = "symbol", ts: str = "ts") -> DataFrame:

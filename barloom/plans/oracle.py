@@ -336,12 +336,41 @@ BODIES |= {
     "repeated_dates": ((), "SELECT count(*) - count(DISTINCT CAST(o_orderdate AS DATE)) AS repeated FROM orders"),
 }
 
+#: Hourly bars of each event type and of all events; a level with gaps as pandas has it: what is missing lowers the weight of what was.
+PIECES["hours"] = " UNION ALL ".join(bars(symbol, "date_trunc('hour', ts)", "value", "event_id", "count(*)", "events") for symbol in ("event_type", "'ALL'"))
+PIECES["gaps"] = f"SELECT *, avg(high) OVER ({BY} ROWS 13 PRECEDING) AS seed, row_number() OVER ({BY}) - 1 AS i, count(there) OVER ({BY}) AS seen FROM (SELECT *, CASE WHEN hour(ts) % 7 <> 3 THEN close END AS there FROM hours)"
+PIECES["hourly"] = """SELECT symbol, i, there AS level, 1.0::DOUBLE AS weight, NULL::DOUBLE AS wil FROM gaps WHERE i = 0
+        UNION ALL SELECT s.symbol, s.i, CASE WHEN s.there IS NULL THEN r.level WHEN r.level IS NULL THEN s.there ELSE (r.weight * 11 / 13 * r.level + s.there * 2 / 13) / (r.weight * 11 / 13 + 2.0 / 13) END,
+          CASE WHEN s.there IS NOT NULL OR r.level IS NULL THEN 1 ELSE r.weight * 11 / 13 END, CASE WHEN s.i = 13 THEN s.seed ELSE r.wil + (s.high - r.wil) / 14 END
+        FROM hourly r JOIN gaps s ON s.symbol = r.symbol AND s.i = r.i + 1"""
+BODIES["recursive_indicators_stream"] = BODIES["recursive_indicators"]
+BODIES["hourly_recursions"] = (("hours", "gaps", "hourly"), "SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, high, there AS close, level AS ewm12, CASE WHEN seen >= 12 THEN level END AS ewm12_warm, wil AS wilder14 FROM gaps JOIN hourly USING (symbol, i)")
+#: A strategy for each nation, its rules written out.
+PIECES["plans"] = """SELECT n_name AS strategy_id, n_nationkey AS k, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][1 + n_nationkey % 5] AS instrument, 10.0 + n_nationkey % 4 * 5 AS level,
+        1000.0::DOUBLE * (n_nationkey + 1) AS deposit, CASE WHEN n_nationkey % 2 = 0 THEN 0.001 ELSE 0 END::DOUBLE AS cost, CASE WHEN n_nationkey % 3 = 0 THEN 0.0005 ELSE 0 END::DOUBLE AS slip,
+        CASE WHEN n_nationkey % 5 = 0 THEN DATE '1996-01-01' ELSE DATE '1992-01-01' END AS start, CASE WHEN n_nationkey % 5 = 0 THEN DATE '2000-12-31' ELSE DATE '2010-12-31' END AS finish FROM nation"""
+PIECES["planned"] = f"""SELECT *, row_number() OVER ({BY}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM
+        (SELECT strategy_id AS symbol, ts, close, roc12, k, level, deposit, cost, slip FROM plans JOIN (SELECT symbol, ts, close, {change("close", f"lag(close, 12) OVER ({BY})")} AS roc12 FROM base) b ON b.symbol = instrument AND ts BETWEEN start AND finish WHERE k % 7 <> 6)"""
+PIECES["planned_bulls"] = apart("min", "<", ">").replace("(SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM ind)", "planned")
+_every = simulated("every", """SELECT symbol, ts, close, deposit, cost, slip, coalesce(CASE WHEN k % 6 = 5 THEN hit ELSE roc12 > level END, false) AND (k % 3 <> 0 OR close < 300000 AND ts >= DATE '1996-01-01') AS enters, coalesce(roc12 < -level, false) AS leaves FROM planned JOIN planned_bulls USING (symbol, ts)""")
+for _plain, _own in (("10000.0::DOUBLE", "deposit"), ("0.9995 * 0.999 ", "(1 - slip) * (1 - cost) "), ("* 0.9995 * 0.001", "* (1 - slip) * cost"), ("/ 1.001 * 0.001", "/ (1 + cost) * cost"), ("1.001", "(1 + cost)"), ("1.0005", "(1 + slip)"), ("s.enters, s.leaves,", "s.enters, s.leaves, s.cost, s.slip,")):
+    _every["every_sim"] = _every["every_sim"].replace(_plain, _own)
+PIECES |= _every
+EVERY = (*DAY, "plans", "planned", "planned_bulls", "every_signals", "every_sim")
+_TOLD = "CASE done WHEN 'Buy' THEN 'Enter signal: all active enter conditions matched (r1: roc12 ' || CASE WHEN k_ % 6 = 5 THEN 'bull divergence' ELSE printf('> %.2f', level) END || CASE WHEN k_ % 3 = 0 THEN '; r2: close < 300000.00' ELSE '' END || ')' ELSE printf('Exit signal: all active exit conditions matched (r1: roc12 < %.2f)', -level) END"
+BODIES |= {
+    "strategies_trades": (EVERY, f"""SELECT symbol AS strategy_id, ts AS date, before AS signal_date, done AS action, 'close' AS ticker, CAST(round(CAST(price AS DECIMAL(30, 6)), 4) AS DOUBLE) AS price, {digits('traded')} AS shares, {digits('fee')} AS commission, {_TOLD} AS reason, {digits('price * traded')} AS gross_value
+        FROM (SELECT e.*, done, traded, fee, p.level, p.k AS k_, close * CASE done WHEN 'Buy' THEN 1 + e.slip ELSE 1 - e.slip END AS price FROM every_sim s JOIN every_signals e ON s.symbol = e.symbol AND s.k = e.k JOIN plans p ON p.strategy_id = e.symbol WHERE done IS NOT NULL)"""),
+    "strategies_headline": ((*EVERY, "every_run"), headline("every_run").replace(" - (1.02 ** (1 / 252.0) - 1)", "")),
+    "strategies_problems": ((), "SELECT n_name AS strategy_id, CASE WHEN n_nationkey % 7 = 6 THEN 'no active exit rule' END AS problem FROM nation"),
+}
+
 #: Columns that aren't doubles, and queries that have no others.
 KEYS = (
     "symbol", "ts", "label", "list", "group", "subgroup", "ticker", "ord", "List", "Group", "Subgroup", "Ticker", "SMA_Trend", "BB_Position", "GoldenCross_D1", "DeathCross_D1", "GoldenCross_W1", "DeathCross_W1",
     "Div_6M_vs_RSI", "Div_6M_vs_MACD", "Div_6M_vs_ROC", "Divergence_Bull_Count", "Divergence_Bear_Count", "up", "i", "t_ind", "direction", "type", "series", "date", "week", "year", "strategy_id", "signal_date", "action", "reason", "column", "key", "start", "macd_sign", "name", "divergence_pivot_window", "divergence_lookback",
 )
-WITHOUT_DOUBLES = ("universe_flattened", "universe_overlay", "universe_edited", "crossovers", "pivot_flags", "boolean_divergence", "screen_counts", "screen_options", "rule_signals", "warm_start", "upload_series", "records", "auto_start", "display_text", "top_flows", "top_flows_flag", "chart_frame", "ticker_subgroups", "kept_order", "saved_dates", "repeated_dates")
+WITHOUT_DOUBLES = ("strategies_problems", "strategies_trades", "universe_flattened", "universe_overlay", "universe_edited", "crossovers", "pivot_flags", "boolean_divergence", "screen_counts", "screen_options", "rule_signals", "warm_start", "upload_series", "records", "auto_start", "display_text", "top_flows", "top_flows_flag", "chart_frame", "ticker_subgroups", "kept_order", "saved_dates", "repeated_dates")
 
 
 def _whole(name: str) -> str:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.columns import number_of_text
-from barloom.operators import backtest, horizons, performance, pivots, recursive, resample, rolling, rules, screen, universe
+from barloom.operators import backtest, horizons, performance, pivots, recursive, resample, rolling, rules, screen, stepwise, strategies, universe
 from barloom.plans import candles as charts
 from barloom.plans import metrics as tables
 from barloom.plans import tester
 from barloom.sources import bars as sources
 from barloom.sources import sinks, store, uploads
+from barloom.streaming import recursive as recursive_stream
 
 #: What the universe of the queries holds; the last one has no bars.
 TICKERS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "NO DATA")
@@ -24,15 +25,18 @@ OPEN_STRATEGY = backtest.Strategy("close", "close", [rules.Condition(1, "roc12",
 COSTS = backtest.Costs(10_000.0, 0.1, 0.05)
 
 
+def places(c):
+    return F.coalesce(F.round(c.try_cast(f"decimal(30,{PLACES + 2})"), PLACES).cast("double"), c)
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles with PLACES places, halves away from zero. By way of decimals with two more: sums run in another order elsewhere, and a mean of prices that lies on a half must lie there for both."""
-    places = lambda c: F.coalesce(F.round(c.try_cast(f"decimal(30,{PLACES + 2})"), PLACES).cast("double"), c)
     return df.select(*(places(F.col(f"`{n}`")).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes))
 
 
-def significant(df: DataFrame) -> DataFrame:
-    """Doubles with six digits: over all bars money multiplies to sums whose places after the point mean nothing."""
-    return df.select(*(F.format_string("%.5e", F.col(f"`{n}`")).cast("double").alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes))
+def significant(df: DataFrame, but: tuple[str, ...] = ()) -> DataFrame:
+    """Doubles with six digits: over all bars money multiplies to sums whose places after the point mean nothing. Those in ``but`` stay as they are."""
+    return df.select(*(F.format_string("%.5e", F.col(f"`{n}`")).cast("double").alias(n) if t == "double" and n not in but else F.col(f"`{n}`") for n, t in df.dtypes))
 
 
 def base(spark, sf_dir) -> DataFrame:
@@ -229,7 +233,54 @@ def strategy_settings(spark, sf_dir):
     return store.settings(n.select(F.col("n_name").alias("name"), F.to_json(F.struct(F.struct(own.alias("settings")).alias("configuration"))).alias("strategy")))
 
 
+def hourly_recursions(spark, sf_dir):
+    """EWM with gaps and Wilder's level of hourly bars, of each event type and of all events as one symbol, a task for each week of a symbol."""
+    events = sources.read_table(spark, sf_dir, "events")
+    every = events.withColumn("event_type", F.lit("ALL"))
+    bars = sources.hourly(events.unionByName(every))
+    gaps = bars.select("symbol", "ts", "high", F.when(F.hour("ts") % 7 != 3, F.col("close")).alias("close"))
+    steps = {"ewm12": ("close", lambda: stepwise.Ewm(2 / 13)), "ewm12_warm": ("close", lambda: stepwise.Ewm(2 / 13, 12)), "wilder14": ("high", lambda: stepwise.Wilder(14))}
+    return stepwise.by_chunks(gaps, F.date_trunc("week", "ts"), steps).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+def saved_strategies(spark, sf_dir) -> DataFrame:
+    """A strategy document for each nation: rules, dates and costs differ, some say nothing of them, some can't run."""
+    k = F.col("n_nationkey")
+    rule = lambda **said: F.struct(*(v.alias(n) for n, v in said.items()))
+    level = F.lit(10.0) + k % 4 * 5
+    cheap = F.when(k % 3 == 0, rule(use=F.lit(True), variable=F.lit("close"), condition=F.lit("<"), input_value=F.lit(300_000.0), start_date=F.lit("1996-01-01"), end_date=F.lit("never")))
+    first = F.when(k % 6 == 5, rule(variable=F.lit("roc12"), condition=F.lit("bull divergence"))).otherwise(rule(variable=F.lit("roc12"), condition=F.lit(">")))
+    enter = F.array(F.struct(first["variable"].alias("variable"), first["condition"].alias("condition"), level.alias("input_value")))
+    leave = F.array(rule(use=k % 7 != 6, variable=F.lit("roc12"), condition=F.lit("<"), input_value=-level))
+    settings = F.struct((F.lit(1000.0) * (k + 1)).alias("initial_deposit"), F.when(k % 2 == 0, 0.1).alias("commission_pct"), F.when(k % 3 == 0, 0.05).alias("slippage_pct"))
+    dates = [F.when(k % 5 == 0, x).alias(n) for n, x in (("global_start_date", "1996-01-01"), ("global_end_date", "2000-12-31"))]
+    second = F.struct(cheap["use"].alias("use"), cheap["variable"].alias("variable"), cheap["condition"].alias("condition"), cheap["input_value"].alias("input_value"), cheap["start_date"].alias("start_date"), cheap["end_date"].alias("end_date"))
+    wide = F.transform(enter, lambda r: F.struct(F.lit(None).cast("boolean").alias("use"), r["variable"].alias("variable"), r["condition"].alias("condition"), r["input_value"].alias("input_value"), F.lit(None).cast("string").alias("start_date"), F.lit(None).cast("string").alias("end_date")))
+    rows = F.when(k % 3 == 0, F.concat(wide, F.array(second))).otherwise(wide)
+    instrument = F.element_at(F.array(*map(F.lit, TICKERS)), (k % 5 + 1).cast("int"))
+    document = F.to_json(F.struct(F.struct(instrument.alias("live_traded"), *dates, settings.alias("settings"), rows.alias("enter_rows"), leave.alias("exit_rows")).alias("configuration")))
+    return sources.read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("strategy_id"), document.alias("strategy"))
+
+
+def configured_strategies(spark, sf_dir) -> DataFrame:
+    day = lambda x: F.lit(x).cast("date")
+    return store.configured(saved_strategies(spark, sf_dir), day("1992-01-01"), day("2010-12-31"), ["close", "roc12"]).withColumnRenamed("live_traded", "instrument")
+
+
+def strategy_bars(spark, sf_dir) -> DataFrame:
+    return base(spark, sf_dir).withColumn("roc12", rolling.roc("close")).select("symbol", F.col("ts").alias("date"), "close", "roc12")
+
+
+def all_strategies(spark, sf_dir) -> DataFrame:
+    return strategies.run_all(configured_strategies(spark, sf_dir), strategy_bars(spark, sf_dir), ["close", "roc12"], indicators=["roc12"])
+
+
 PLAIN = {
+    "recursive_indicators_stream": lambda s, d: recursive_stream.replayed(base(s, d), ["1996-03-01", "1999-01-01"]),
+    "hourly_recursions": hourly_recursions,
+    "strategies_trades": lambda s, d: significant(backtest.trades(all_strategies(s, d)).withColumn("price", places(F.col("price"))), ("price",)),
+    "strategies_headline": lambda s, d: performance.headline(backtest.equity(all_strategies(s, d))),
+    "strategies_problems": lambda s, d: strategies.problems(configured_strategies(s, d), ["roc12"], strategy_bars(s, d)).select("strategy_id", "problem"),
     "live_dataset": live,
     "live_dataset_weekly": lambda s, d: live(s, d, "weekly"),
     "live_ready_part": lambda s, d: tester.ready_part(live(s, d)).select("date", "Underlying_Close", "SMA200"),
@@ -307,5 +358,5 @@ PLAIN = {
     "color_scale": color_places,
 }
 #: Queries that come with significant digits instead of places.
-DIGITS = ("backtest_equity_whole", "backtest_trades_whole")
+DIGITS = ("backtest_equity_whole", "backtest_trades_whole", "strategies_trades")
 QUERIES = {name: (f if name in DIGITS else lambda spark, sf_dir, f=f: rounded(f(spark, sf_dir))) for name, f in PLAIN.items()}

@@ -36,8 +36,11 @@ def bars_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bars_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of event values."""
-    e = read_table(spark, sf_dir, "events")
-    return bars_from(e, F.col("event_type"), F.date_trunc("hour", F.col("ts").cast("timestamp")), F.col("value"), F.col("event_id"))
+    return hourly(read_table(spark, sf_dir, "events"))
+
+
+def hourly(events: DataFrame) -> DataFrame:
+    return bars_from(events, F.col("event_type"), F.date_trunc("hour", F.col("ts").cast("timestamp")), F.col("value"), F.col("event_id"))
 
 
 def normalised(raw: DataFrame, symbol: str = "symbol", ts: str = "ts") -> DataFrame:
