@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Collection, Sequence
@@ -27,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("barloom.shared.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("barloom.shared.dir", named)
@@ -56,6 +58,25 @@ def sweep(spark: SparkSession, keep: Collection[str] = ()) -> None:
         _made.remove(path)
 
 
+def sources_of(df: DataFrame) -> set[str]:
+    """The folders that ``df`` reads when it runs."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            found |= {roots.apply(k).toUri().getPath() for k in range(roots.size())}
+    return found
+
+
+def sweep_before(docs: DataFrame) -> None:
+    """Removes the intermediate tables of earlier work but those that ``docs`` reads: call this where one stage has been written and the next begins."""
+    own = sources_of(docs)
+    gc.collect()  # frames that nothing refers to any more, here and
+    docs.sparkSession._jvm.System.gc()  # in the JVM, whose shuffle files Spark then removes
+    sweep(docs.sparkSession, [p for p in _made if p.removeprefix("file://").removeprefix("file:") in own or p in own])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives lost executors. ``sweep`` removes it."""
     spark = df.sparkSession

@@ -40,9 +40,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from barloom.llm.common import slim, table, written
+from barloom.llm.common import small_batches, table, written
 from barloom.llm.textblock import gather, mixed, range_hashes, text_bytes, tidied
 
 LENGTH = 100
@@ -169,10 +168,10 @@ def _runs_of(window: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.nda
     return anchor[new], window[new], window[np.append(new[1:], len(window)) - 1]
 
 
-def parts(docs: DataFrame, key: str, text: str, part_bytes: int) -> DataFrame:
-    """Rows with the identifiers, digests, texts and anchors of some texts each."""
+def parts(docs: DataFrame, key: str, text: str, part_bytes: int, whole: bool = False) -> DataFrame:
+    """Rows with the identifiers, digests, texts and anchors of some texts each; with ``whole`` also with the documents' other columns."""
 
-    def flush(ids: list, bodies: list[np.ndarray], sizes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def flush(ids: list, bodies: list[np.ndarray], sizes: list[np.ndarray], others: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         body, at = np.concatenate(bodies), np.append(0, np.cumsum(np.concatenate(sizes)))
         raw = body.tobytes()
         digest = np.frombuffer(b"".join(hashlib.sha256(raw[a:b]).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), np.uint8)
@@ -180,23 +179,41 @@ def parts(docs: DataFrame, key: str, text: str, part_bytes: int) -> DataFrame:
         doc = np.searchsorted(at, low, "right") - 1
         order = np.array([LAST if x is None else x for x in ids], np.int64)
         null = np.array([x is None for x in ids], np.uint8)
-        yield _batch((uuid.uuid4().hex, TEXTS, packed(order=order, null=null, digest=digest, size=np.diff(at), text=body, back=(place - low).astype(np.uint8), windows=(high - low).astype(np.uint8), low=np.diff(low - at[doc], prepend=0).astype(np.int32), doc=np.diff(doc, prepend=0).astype(np.int32), known_low=known_low, known_high=known_high)))
+        yield _batch((uuid.uuid4().hex, TEXTS, packed(order=order, null=null, digest=digest, size=np.diff(at), text=body, back=(place - low).astype(np.uint8), windows=(high - low).astype(np.uint8), low=np.diff(low - at[doc], prepend=0).astype(np.int32), doc=np.diff(doc, prepend=0).astype(np.int32), known_low=known_low, known_high=known_high, others=_stream(others))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, bodies, sizes, held = [], [], [], 0
+        ids, bodies, sizes, others, held = [], [], [], [], 0
         for batch in batches:
             body, at = text_bytes(batch.column(1))
             if held and held + len(body) > part_bytes:
-                yield from flush(ids, bodies, sizes)
-                ids, bodies, sizes, held = [], [], [], 0
+                yield from flush(ids, bodies, sizes, others)
+                ids, bodies, sizes, others, held = [], [], [], [], 0
             ids += batch.column(0).to_pylist()
             bodies.append(body.copy())
             sizes.append(np.diff(at))
+            if whole:
+                others.append(batch.select(range(2, batch.num_columns)))
             held += len(body)
         if ids:
-            yield from flush(ids, bodies, sizes)
-
-    return slim(docs, key, text).withColumn(key, F.col(key).cast("long")).mapInArrow(tidied(cut), ROWS)
+            yield from flush(ids, bodies, sizes, others)
+
+    small_batches(docs.sparkSession)
+    body = F.col(f"`{text}`")
+    columns = [F.col(f"`{key}`").cast("long").alias("_id"), F.coalesce(body, F.lit("")).alias("_text")]
+    if whole:
+        columns += [body.isNull().alias("_null"), *(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns) if c != text)]
+    return docs.select(*columns).mapInArrow(tidied(cut), ROWS)
+
+
+def _stream(batches: list[pa.RecordBatch]) -> np.ndarray:
+    """Rows as bytes of an Arrow stream."""
+    if not batches:
+        return np.empty(0, np.uint8)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batches[0].schema) as writer:
+        for batch in batches:
+            writer.write_batch(batch)
+    return np.frombuffer(out.getvalue(), np.uint8)
 
 
 class Part:
@@ -210,7 +227,7 @@ class Part:
         self.doc = np.cumsum(x["doc"], dtype=np.int64)
         self.low = np.cumsum(x["low"], dtype=np.int64) + self.at[self.doc]
         self.place, self.high = self.low + x["back"], self.low + x["windows"]
-        self.known_low, self.known_high = x["known_low"], x["known_high"]
+        self.known_low, self.known_high, self.others = x["known_low"], x["known_high"], x["others"]
         self.digest8 = np.ascontiguousarray(self.digest[:, :8]).view("<u8").reshape(-1)
 
     def hashes(self) -> np.ndarray:
@@ -521,63 +538,85 @@ def merge(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.
             yield _batch((rows[k][0], bucket, packed(doc=doc[mine], low=low[mine], high=high[mine])))
 
 
+def left_of(own: Part, back: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the windows that repeat leave of a part: which bytes stay, and of each document how many bytes and how many runs go."""
+    change = np.zeros(len(own.text) + 1, np.int32)
+    for bucket, body in back:
+        x = unpacked(body)
+        base = 0 if bucket <= COVERED else own.at[x["doc"]]
+        np.add.at(change, x["low"] + base, 1)
+        np.add.at(change, x["high"] + base + LENGTH, -1)
+    gone = np.cumsum(change[:-1]) > 0
+    first = np.zeros(len(own.text) + 1, bool)
+    first[own.at] = True
+    begins = gone & (first[:-1] | ~np.append(False, gone[:-1]))
+    removed, spans = (np.diff(np.append(0, np.cumsum(x))[own.at]) for x in (gone, begins))
+    return ~gone, removed, spans
+
+
+def kept_bytes(own: Part, stays: np.ndarray) -> Iterator[tuple[int, int, list[bytes]]]:
+    """What is left of the documents from a to b, some MB at a time."""
+    held, size, since = [], 0, 0
+    for k in range(len(own.order)):
+        a, b = own.at[k], own.at[k + 1]
+        held.append(own.text[a:b][stays[a:b]].tobytes())
+        size += len(held[-1])
+        if size > 4 << 20 or k + 1 == len(own.order):
+            yield since, k + 1, held
+            held, size, since = [], 0, k + 1
+
+
 def removed_from(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The documents of each part, without what windows that repeat cover."""
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "source_sha256", "kept"]
     for _, own, back in _by_part(batches):
-        change = np.zeros(len(own.text) + 1, np.int32)
-        for bucket, body in back:
-            x = unpacked(body)
-            base = 0 if bucket <= COVERED else own.at[x["doc"]]
-            np.add.at(change, x["low"] + base, 1)
-            np.add.at(change, x["high"] + base + LENGTH, -1)
-        gone = np.cumsum(change[:-1]) > 0
-        raw, stays = own.text, ~gone
-        first = np.zeros(len(raw) + 1, bool)
-        first[own.at] = True
-        begins = gone & (first[:-1] | ~np.append(False, gone[:-1]))
-        removed, spans = (np.append(0, np.cumsum(x))[own.at] for x in (gone, begins))
-        rows, held = [], 0
-        for k in range(len(own.order)):
-            a, b = own.at[k], own.at[k + 1]
-            kept = raw[a:b][stays[a:b]].tobytes()
-            rows.append((None if own.null[k] else int(own.order[k]), int(b - a), int(removed[k + 1] - removed[k]), int(spans[k + 1] - spans[k]), own.digest[k].tobytes().hex(), kept))
-            held += len(kept)
-            if held > 4 << 20 or k + 1 == len(own.order):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                rows, held = [], 0
+        stays, removed, spans = left_of(own, back)
+        size = np.diff(own.at)
+        for a, b, kept in kept_bytes(own, stays):
+            rows = [(None if own.null[k] else int(own.order[k]), int(size[k]), int(removed[k]), int(spans[k]), own.digest[k].tobytes().hex(), kept[k - a]) for k in range(a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES, hot: int = HOT, block: int = BLOCK, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, source_sha256, kept`` of every row of ``docs``."""
-    texts = written(parts(docs, key, text, part_bytes), "suffix-parts")
-    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() * part_bytes // bucket_bytes))
+def trimmed_rows(names: list[str], at: int):
+    """The documents of each part as they came, but for the text, column ``at`` of ``names``. Where a cut splits a character, its other bytes go too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own, back in _by_part(batches):
+            stays, _, _ = left_of(own, back)
+            others = pa.ipc.open_stream(pa.py_buffer(own.others.tobytes())).read_all()
+            for a, b, kept in kept_bytes(own, stays):
+                some = others.slice(a, b - a).combine_chunks()
+                null, *columns = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in some.columns)
+                texts = pa.array([None if n else x.decode(errors="ignore") for n, x in zip(null.to_pylist(), kept, strict=True)], pa.string())
+                columns.insert(at, texts)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def covered_parts(texts: DataFrame, part_bytes: int, hot: int, block: int, bucket_bytes: int) -> DataFrame:
+    """Each part of ``texts`` with the windows that go, side by side."""
+    buckets = max(4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() * part_bytes // bucket_bytes))
     # by part too: a task that runs again finds its rows in the same order
     by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "part")
     with_texts = lambda df: df.unionByName(texts).repartition("part").sortWithinPartitions("part", "bucket")
     again = by_bucket(texts.mapInArrow(tidied(hashed(buckets)), ROWS)).mapInArrow(tidied(lambda batches: seen_again(batches, hot)), ROWS)
     sent = by_bucket(with_texts(again).mapInArrow(tidied(runs(buckets)), ROWS))
-    covered = sent.mapInArrow(tidied(lambda batches: merge(batches, block)), ROWS)
-    return with_texts(covered).mapInArrow(tidied(removed_from), RESULT)
+    return with_texts(sent.mapInArrow(tidied(lambda batches: merge(batches, block)), ROWS))
 
 
-def whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kept bytes as text; where a cut splits a character, its other bytes go too."""
-    for batch in batches:
-        texts = [x.decode(errors="ignore") for x in batch.column("kept").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source_sha256"), batch.column("n_removed"), pa.array(texts, pa.string())], names=["_b_id", "_b_sha", "_b_removed", "_b_text"])
+def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES, hot: int = HOT, block: int = BLOCK, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, source_sha256, kept`` of every row of ``docs``."""
+    texts = written(parts(docs, key, text, part_bytes), "suffix-parts")
+    return covered_parts(texts, part_bytes, hot, block, bucket_bytes).mapInArrow(tidied(removed_from), RESULT)
 
 
 def trimmed(docs: DataFrame, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """All rows and columns of ``docs``, each with what is left of its text (a null text stays null)."""
-    left = written(assign(docs, key, text, part_bytes).mapInArrow(whole_characters, "_b_id long, _b_sha string, _b_removed long, _b_text string"), "trimmed")
-    nth = F.row_number().over(Window.partitionBy("_b_id", "_b_sha").orderBy("_b_removed"))
-    named = docs.withColumn("_b_sha", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)).withColumn("_b_id", F.col(key).cast("long")).withColumn("_b_null", F.col(text).isNull()).drop(text)
-    both = named.withColumn("_b_nth", F.row_number().over(Window.partitionBy("_b_id", "_b_sha").orderBy("_b_null"))).alias("x").join(
-        left.withColumn("_b_nth", nth).alias("y"), F.col("x._b_id").eqNullSafe(F.col("y._b_id")) & (F.col("x._b_sha") == F.col("y._b_sha")) & (F.col("x._b_nth") == F.col("y._b_nth"))
-    )
-    return both.select(*(F.when(~F.col("x._b_null"), F.col("y._b_text")).alias(c) if c == text else F.col(f"x.`{c}`") for c in docs.columns))
+    """All rows and columns of ``docs``, each with what is left of its text (a null text stays null). A part carries its documents' other columns, so no join puts them back."""
+    texts = written(parts(docs, key, text, part_bytes, whole=True), "suffix-parts")
+    rows = covered_parts(texts, part_bytes, HOT, BLOCK, BUCKET_BYTES)
+    return rows.mapInArrow(tidied(trimmed_rows(docs.columns, docs.columns.index(text))), docs.schema)
 
 
 def op10_suffix_merge_dedup(spark, sf_dir) -> DataFrame:
