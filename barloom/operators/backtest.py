@@ -113,6 +113,13 @@ def simulate(panel: DataFrame, strategy: Strategy, costs: Costs = Costs(), start
     return window.select(*columns).groupBy(key).applyInPandas(fold, ROW)
 
 
+def checked(panel: DataFrame) -> DataFrame:
+    """``panel``, if it has a row; else an error. This looks at one row."""
+    if panel.isEmpty():
+        raise ValueError("the panel has no rows")
+    return panel
+
+
 def trades(run: DataFrame) -> DataFrame:
     """Typed even if there are none, with the gross value of each."""
     return run.filter("action IS NOT NULL").select("strategy_id", "date", "signal_date", "action", "ticker", "price", "shares", "commission", "reason", (F.col("price") * F.col("shares")).alias("gross_value"))

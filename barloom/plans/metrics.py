@@ -88,7 +88,12 @@ def symbol_metrics(bars: DataFrame, settings: DivergenceSettings = DivergenceSet
 
 def metrics_table(universe: DataFrame, bars: DataFrame, settings: DivergenceSettings = DivergenceSettings()) -> DataFrame:
     """Each universe entry (``list, group, subgroup, ticker, ord``) with its symbol's metrics; symbols without enough bars have none, and no divergences."""
-    rows = universe.join(symbol_metrics(bars, settings), F.col("ticker") == F.col("symbol"), "left").drop("symbol")
+    return listed(universe, symbol_metrics(bars, settings))
+
+
+def listed(universe: DataFrame, found: DataFrame) -> DataFrame:
+    """Universe entries with the metrics of their symbols."""
+    rows = universe.join(found, F.col("ticker") == F.col("symbol"), "left").drop("symbol")
     count = lambda way: sum((F.coalesce(F.col(f"Div_6M_vs_{label}") == way, F.lit(False)).cast("int") for label, _, _ in DIVERGENCES), F.lit(0))
     counted = rows.withColumns({"Divergence_Bull_Count": count("bull"), "Divergence_Bear_Count": count("bear")})
     return counted.withColumnsRenamed({"list": "List", "group": "Group", "subgroup": "Subgroup", "ticker": "Ticker"})

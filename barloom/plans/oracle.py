@@ -364,13 +364,22 @@ BODIES |= {
     "strategies_headline": ((*EVERY, "every_run"), headline("every_run").replace(" - (1.02 ** (1 / 252.0) - 1)", "")),
     "strategies_problems": ((), "SELECT n_name AS strategy_id, CASE WHEN n_nationkey % 7 = 6 THEN 'no active exit rule' END AS problem FROM nation"),
 }
+BODIES |= {
+    "metrics_refreshed": BODIES["metrics_table"],
+    "landed_bars": (("bars",), """SELECT symbol, ts, close, 'adjusted' AS kind FROM bars WHERE ts BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' AND (symbol NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') OR ts >= DATE '1998-01-01')
+        UNION ALL SELECT symbol, ts, close * 2, 'unadjusted' FROM bars WHERE symbol IN ('1-URGENT', '2-HIGH')"""),
+    "upload_counts": ((), """WITH whole AS (SELECT * FROM orders WHERE o_orderkey % 13 <> 0) SELECT 'lines' AS what, count(*) AS n FROM orders UNION ALL SELECT 'left_out', count(*) FROM orders WHERE o_orderkey % 13 = 0
+        UNION ALL SELECT 'lost_prices', count(*) FROM whole WHERE o_orderkey % 9 = 0 UNION ALL SELECT 'repeated_days', count(*) - count(DISTINCT CAST(o_orderdate AS DATE)) FROM whole"""),
+    "saved_values": ((), """WITH placed AS (SELECT *, c_nationkey || '/' || (c_custkey // 1250) AS name, CAST(row_number() OVER (PARTITION BY c_nationkey, c_custkey // 1250 ORDER BY c_custkey) - 1 AS INTEGER) AS row FROM customer WHERE c_nationkey <> 5)
+        SELECT name, row, 'key' AS column, NULL AS text, c_custkey::DOUBLE AS number FROM placed UNION ALL SELECT name, row, 'segment', c_mktsegment, NULL FROM placed WHERE c_custkey % 2 = 0 UNION ALL SELECT name, row, 'balance', NULL, c_acctbal FROM placed WHERE c_nationkey % 3 = 1"""),
+}
 
 #: Columns that aren't doubles, and queries that have no others.
 KEYS = (
-    "symbol", "ts", "label", "list", "group", "subgroup", "ticker", "ord", "List", "Group", "Subgroup", "Ticker", "SMA_Trend", "BB_Position", "GoldenCross_D1", "DeathCross_D1", "GoldenCross_W1", "DeathCross_W1",
+    "symbol", "ts", "kind", "row", "text", "label", "list", "group", "subgroup", "ticker", "ord", "List", "Group", "Subgroup", "Ticker", "SMA_Trend", "BB_Position", "GoldenCross_D1", "DeathCross_D1", "GoldenCross_W1", "DeathCross_W1",
     "Div_6M_vs_RSI", "Div_6M_vs_MACD", "Div_6M_vs_ROC", "Divergence_Bull_Count", "Divergence_Bear_Count", "up", "i", "t_ind", "direction", "type", "series", "date", "week", "year", "strategy_id", "signal_date", "action", "reason", "column", "key", "start", "macd_sign", "name", "divergence_pivot_window", "divergence_lookback",
 )
-WITHOUT_DOUBLES = ("strategies_problems", "strategies_trades", "universe_flattened", "universe_overlay", "universe_edited", "crossovers", "pivot_flags", "boolean_divergence", "screen_counts", "screen_options", "rule_signals", "warm_start", "upload_series", "records", "auto_start", "display_text", "top_flows", "top_flows_flag", "chart_frame", "ticker_subgroups", "kept_order", "saved_dates", "repeated_dates")
+WITHOUT_DOUBLES = ("upload_counts", "strategies_problems", "strategies_trades", "universe_flattened", "universe_overlay", "universe_edited", "crossovers", "pivot_flags", "boolean_divergence", "screen_counts", "screen_options", "rule_signals", "warm_start", "upload_series", "records", "auto_start", "display_text", "top_flows", "top_flows_flag", "chart_frame", "ticker_subgroups", "kept_order", "saved_dates", "repeated_dates")
 
 
 def _whole(name: str) -> str:

@@ -12,8 +12,9 @@ from barloom.plans import candles as charts
 from barloom.plans import metrics as tables
 from barloom.plans import tester
 from barloom.sources import bars as sources
-from barloom.sources import sinks, store, uploads
+from barloom.sources import folders, landed, sinks, store, uploads
 from barloom.streaming import recursive as recursive_stream
+from barloom.streaming import refresh
 
 #: What the universe of the queries holds; the last one has no bars.
 TICKERS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "NO DATA")
@@ -275,7 +276,59 @@ def all_strategies(spark, sf_dir) -> DataFrame:
     return strategies.run_all(configured_strategies(spark, sf_dir), strategy_bars(spark, sf_dir), ["close", "roc12"], indicators=["roc12"])
 
 
+def landed_bars(spark, sf_dir):
+    """Bars that were landed before: adjusted ones of two years, of ten years where these are there and else of all; and all unadjusted ones of two symbols."""
+    root, bars = folders.fresh(spark, "landed"), sources.bars_orders(spark, sf_dir)
+    landed.land(bars.filter(F.col("symbol").isin(*TICKERS[:3]) & (F.col("ts") >= "1998-01-01")), root, "10y")
+    landed.land(bars, root, "max")
+    landed.land(bars.withColumn("close", F.col("close") * 2), root, "max", adjusted=False)
+    adjusted = landed.landed(spark, root, TICKERS, "symbol string, ts date, close double").filter("ts >= DATE '1997-01-01' AND ts < DATE '1999-01-01'")
+    traded = landed.landed(spark, root, TICKERS[:2], "symbol string, ts date, close double", adjusted=False)
+    return adjusted.withColumn("kind", F.lit("adjusted")).unionByName(traded.withColumn("kind", F.lit("unadjusted")))
+
+
+def upload_counts(spark, sf_dir):
+    """What is lost of an upload, some of whose lines have a field too many, counted by the one pass that makes a series of it."""
+    path, names = folders.fresh(spark, "upload") + ".csv", ("day", "price", "status", "key")
+    rows = text_orders(spark, sf_dir).withColumn("price", F.concat(F.lit('"'), "price", F.lit('"')))
+    line = F.concat_ws(",", *names, F.when(F.col("key") % 13 == 0, "more"))
+    rows.select(line.alias(",".join(names))).write.option("header", True).option("quote", "").option("sep", "\u0001").csv(path)
+    upload, read = uploads.read_upload(spark, path)
+    series, counts = uploads.numeric_series(upload, "day", "key", ["price"])
+    series.write.format("noop").mode("overwrite").save()
+    found = {"lines": read.get["lines"], "left_out": read.get["left_out"], "lost_prices": counts.lost()["price"], "repeated_days": counts.repeated()}
+    return spark.createDataFrame(list(found.items()), "what string, n long")
+
+
+def saved_values(spark, sf_dir):
+    """Values saved with strategies, in documents whose rows have different columns: a document for every fifty customers of a nation."""
+    c = sources.read_table(spark, sf_dir, "customer")
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    row = F.struct(key.alias("key"), F.when(key % 2 == 0, F.col("c_mktsegment")).alias("segment"), F.when(nation % 3 == 1, F.col("c_acctbal")).alias("balance"))
+    grouped = c.groupBy("c_nationkey", F.floor(key / 1250).alias("block")).agg(F.sort_array(F.collect_list(row)).alias("rows"))  # at most 50 customers of one nation, if keys go round
+    full, empty = F.struct(F.col("rows").alias("data")), F.struct(F.expr("array()::array<string>").alias("data"))
+    document = F.when(nation == 5, "no document").when(nation % 3 == 0, F.to_json(F.struct(empty.alias("full_input_table"), full.alias("underlying_inputs")))).otherwise(F.to_json(F.struct(full.alias("full_input_table"))))
+    saved = uploads.saved_tables(grouped.select(F.concat_ws("/", "c_nationkey", "block").alias("name"), document.alias("document")))
+    each = saved.select("name", "row", F.explode("values").alias("column", "value"))
+    text = F.col("column") == "segment"
+    return each.select("name", "row", "column", F.when(text, F.col("value")).alias("text"), F.when(~text, F.col("value").cast("double")).alias("number"))
+
+
+def metrics_refreshed(spark, sf_dir):
+    """The metrics table after two batches of bars, the second of which has two symbols only."""
+    paths = [folders.fresh(spark, n) for n in ("bars", "history", "metrics", "refresh")]
+    bars, late = sources.bars_orders(spark, sf_dir), F.col("symbol").isin(*TICKERS[:2]) & (F.col("ts") >= "1999-01-01")
+    for part in (bars.filter(~late), bars.filter(late)):
+        part.write.mode("append").parquet(paths[0])
+        refresh.refreshed(spark, *paths)
+    return tables.listed(entries(spark, sf_dir), refresh.read(spark, paths[2])).drop("ord")
+
+
 PLAIN = {
+    "landed_bars": landed_bars,
+    "upload_counts": upload_counts,
+    "saved_values": saved_values,
+    "metrics_refreshed": metrics_refreshed,
     "recursive_indicators_stream": lambda s, d: recursive_stream.replayed(base(s, d), ["1996-03-01", "1999-01-01"]),
     "hourly_recursions": hourly_recursions,
     "strategies_trades": lambda s, d: significant(backtest.trades(all_strategies(s, d)).withColumn("price", places(F.col("price"))), ("price",)),

@@ -29,13 +29,6 @@ def write_equity(curves: DataFrame, series: list[str], path: str) -> None:
     wide_curves(curves, series).orderBy("date").write.csv(path, header=True, mode="overwrite")
 
 
-def write_report(headline: DataFrame, yearly: DataFrame, trades: DataFrame, path: str) -> None:
-    """Three tables below ``path``; trades only if there are any."""
-    for name, df in (("metrics", headline), ("yearly", yearly), ("trades", trades)):
-        if name != "trades" or not df.isEmpty():
-            two_places(df).write.csv(f"{path}/{name}", header=True, mode="overwrite")
-
-
 @contextmanager
 def kept(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` computed once for all that is done within, and released after it."""

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Iterable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions.columns import date_of_text, number_of_text
+from barloom.functions.columns import NO_VALUE, date_of_text, number_of_text
 
 #: The share of values that must parse.
 SHARE = 0.8
 SNIFFED_ROWS = 50
 DELIMITERS = ",;\t|"
+#: Fixed value: what a choice shows where nothing is chosen.
+NOTHING = "(None)"
 
 
 def sniffed(head: list[str]) -> str:
@@ -24,14 +27,19 @@ def sniffed(head: list[str]) -> str:
     return max(agree, key=agree.get) if agree else DELIMITERS[0]
 
 
-def read_upload(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """A CSV as text columns and the number of lines left out. The delimiter is sniffed from the first lines; lines with too many or too few fields are left out and counted."""
+def read_upload(spark: SparkSession, path: str) -> tuple[DataFrame, Observation]:
+    """An upload as text columns, and what is observed as it is read: ``lines`` and, of these, ``left_out``.
+
+    The delimiter of a CSV is sniffed from its first lines; lines with too many or too few fields are left out. Counts come from
+    the pass that reads the rows: ``get`` waits for an action on the frame.
+    """
     if not path:
         raise ValueError("no file")
-    if path.lower().endswith((".xlsx", ".xls")):
-        import pandas as pd
+    counts = Observation("upload")
+    if path.lower().endswith(".xlsx"):
+        from barloom.sources.workbook import read_workbook
 
-        return spark.createDataFrame(pd.read_excel(path, dtype=str)), 0
+        return read_workbook(spark, path).observe(counts, F.count(F.lit(1)).alias("lines"), F.lit(0).cast("long").alias("left_out")), counts
     if not path.lower().endswith(".csv"):
         raise ValueError(f"unsupported file type: {path}")
     head = [r[0] for r in spark.read.text(path).limit(SNIFFED_ROWS).collect()]
@@ -40,8 +48,45 @@ def read_upload(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     delimiter = sniffed(head)
     names = next(csv.reader([head[0]], delimiter=delimiter))
     schema = ", ".join(f"`{n}` string" for n in names) + ", _corrupt string"
-    raw = spark.read.csv(path, header=True, sep=delimiter, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True).cache()
-    return raw.filter("_corrupt IS NULL").drop("_corrupt"), raw.filter("_corrupt IS NOT NULL").count()
+    # whole lines are parsed whatever columns are asked for, as a line's number of fields says whether it stays
+    raw = spark.read.csv(path, header=True, sep=delimiter, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True, escape='"')
+    seen = raw.observe(counts, F.count(F.lit(1)).alias("lines"), F.count("_corrupt").alias("left_out"), F.count(F.col(f"`{names[0]}`")).alias("first_column"))
+    return seen.filter("_corrupt IS NULL").drop("_corrupt"), counts
+
+
+@dataclass(frozen=True)
+class Counts:
+    """What was lost on the way from an upload to a series; there once an action has run over the series."""
+
+    before: Observation
+    after: Observation
+    columns: tuple[str, ...]
+
+    def lost(self) -> dict[str, int]:
+        """Of each column, how many values are no numbers; words for nothing aren't values."""
+        return {c: self.before.get[f"lost_{k}"] for k, c in enumerate(self.columns)}
+
+    def repeated(self) -> int:
+        """Rows whose date an earlier row had."""
+        return self.before.get["rows"] - self.after.get["days"]
+
+    def check(self) -> None:
+        """An error if a column has fewer than SHARE numbers among its values."""
+        for k, c in enumerate(self.columns):
+            given = self.before.get[f"given_{k}"]
+            if given - self.before.get[f"lost_{k}"] < SHARE * given or not given:
+                raise ValueError(f"not a numeric column: {c}")
+
+
+def numeric_series(df: DataFrame, date: str, order: str, columns: Iterable[str]) -> tuple[DataFrame, Counts]:
+    """``df`` with ``date`` parsed, ``columns`` as numbers and one row for each date (``time_series``), and counts from the same pass over the data."""
+    names = tuple(columns)
+    before, after = Observation("upload_values"), Observation("upload_days")
+    tests = [(F.coalesce(~F.lower(F.trim(F.col(f"`{c}`"))).isin(*NO_VALUE), F.lit(False)), number_of_text(F.col(f"`{c}`"))) for c in names]
+    aggregates = [F.count(F.when(given, 1)).alias(f"given_{k}") for k, (given, _) in enumerate(tests)] + [F.count(F.when(given & number.isNull(), 1)).alias(f"lost_{k}") for k, (given, number) in enumerate(tests)]
+    seen = df.observe(before, F.count(F.lit(1)).alias("rows"), *aggregates)
+    series = time_series(seen.withColumns({c: number for c, (_, number) in zip(names, tests, strict=True)}), date, order)
+    return series.observe(after, F.count(F.lit(1)).alias("days")), Counts(before, after, names)
 
 
 def profile(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
@@ -98,9 +143,25 @@ def as_records(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*dated), {"ignoreNullFields": "false"}).alias("record"))
 
 
-def saved_rows(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """The table saved with a strategy, as text: ``full_input_table`` if it has rows, else ``underlying_inputs``."""
-    column = lambda part: f"get_json_object(value, '$.{name}.{part}.data')"
-    raw = spark.read.text(path, wholetext=True)
-    data = F.coalesce(*(F.when(F.expr(column(p)) != "[]", F.expr(column(p))) for p in ("full_input_table", "underlying_inputs")))
-    return raw.select(F.explode(F.from_json(data, "array<map<string,string>>")).alias("row"))
+#: Where a saved strategy keeps its rows, the first that has some.
+SAVED_PARTS = ("full_input_table", "underlying_inputs")
+
+
+def saved_tables(documents: DataFrame, name: str = "name", document: str = "document") -> DataFrame:
+    """``name, row, values`` of every row saved with a strategy, in documents of whatever shape: ``values`` is a map of the columns that a row has, as text. Rows come from the first of SAVED_PARTS that has any; text that is no JSON has none."""
+    parsed = documents.select(F.col(name).alias("name"), F.try_parse_json(F.col(document)).alias("_v"))
+    rows = F.coalesce(*(F.when(F.size(part) > 0, part) for part in (F.try_variant_get("_v", f"$.{p}.data", "array<map<string,string>>") for p in SAVED_PARTS)))
+    return parsed.select("name", F.posexplode(rows).alias("row", "values"))
+
+
+def saved_rows(spark: SparkSession, path: str, *names: str | None) -> DataFrame:
+    """The rows (``row``, a map) saved with the first of ``names`` that the store at ``path`` has: the one to be loaded, the one selected, the one loaded last. If it has none of them, or no rows, an error is raised when read."""
+    wanted = [n for n in names if n and n != NOTHING]
+    store = spark.read.text(path, wholetext=True).select(F.explode(F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>")).alias("name", "_d"))
+    order = F.array_position(F.array(*map(F.lit, wanted)).cast("array<string>"), F.col("name"))
+    first = store.filter(order > 0).agg(F.min_by(F.struct("name", F.to_json("_d").alias("document")), order).alias("x"))  # one row
+    known = F.when(F.col("x").isNotNull(), F.col("x.document")).otherwise(F.raise_error(F.lit("no such saved strategy")).cast("string"))
+    one = first.select(F.coalesce(F.col("x.name"), F.lit("")).alias("name"), known.alias("document"))
+    rows = saved_tables(one)
+    none = one.join(rows.agg(F.count("*").alias("_n"))).select(F.when(F.col("_n") == 0, F.raise_error(F.lit("the saved strategy has no rows")).cast("map<string,string>")).alias("row"), F.col("document").alias("_d"))
+    return rows.select(F.col("values").alias("row")).unionByName(none.filter("row IS NOT NULL AND _d IS NOT NULL").select("row"))

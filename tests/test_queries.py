@@ -145,8 +145,10 @@ def test_benchmark_without_a_first_price(spark):
 def test_uploads(spark, tmp_path):
     path = tmp_path / "own.csv"
     path.write_text("day;px;note\n2020-01-02; 1,200 ;a\n03/02/2020;5%;b\n2020-01-02;null;c\nbroken;1;2;3\n")
-    df, left_out = uploads.read_upload(spark, str(path))
-    assert left_out == 1 and df.columns == ["day", "px", "note"]
+    df, counts = uploads.read_upload(spark, str(path))
+    assert df.columns == ["day", "px", "note"] and df.count() == 3
+    assert counts.get["left_out"] == 1 and counts.get["lines"] == 4
+    df, _ = uploads.read_upload(spark, str(path))
     shares = {r["column"]: r for r in uploads.profile(df).collect()}
     assert shares["day"]["date_share"] == 1.0 and shares["note"]["number_share"] == 0.0
     assert sorted((r["px"] for r in uploads.numeric(df, ["px"])[0].collect()), key=str) == [1200.0, 5.0, None]
@@ -160,7 +162,7 @@ def test_uploads(spark, tmp_path):
 def test_saved_strategy_rows(spark, tmp_path):
     path = tmp_path / "saved.json"
     path.write_text('{"mine": {"full_input_table": {"columns": ["a"], "data": []}, "underlying_inputs": {"columns": ["a"], "data": [{"a": "1"}, {"a": "2"}]}}}')
-    assert sorted(r["row"]["a"] for r in uploads.saved_rows(spark, str(path), "mine").collect()) == ["1", "2"]
+    assert sorted(r["row"]["a"] for r in uploads.saved_rows(spark, str(path), None, "(None)", "gone", "mine").collect()) == ["1", "2"]
 
 
 def test_normalised_bars(spark):
@@ -258,8 +260,6 @@ def test_exports(spark, tmp_path):
     assert not curves.is_cached
     text = "".join(p.read_text() for p in sorted((tmp_path / "equity").glob("part-*")))
     assert text.splitlines()[:2] == ["date,A,B", "2020-01-01,1.0,2.68"]
-    sinks.write_report(curves, curves, curves.limit(0), str(tmp_path / "report"))
-    assert sorted(p.name for p in (tmp_path / "report").iterdir()) == ["metrics", "yearly"]
     assert [r["equity"] for r in sinks.display_text(curves).collect()] == ["1.00", "2.68", ""]
 
 
