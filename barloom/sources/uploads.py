@@ -49,7 +49,7 @@ def read_upload(spark: SparkSession, path: str) -> tuple[DataFrame, Observation]
     names = next(csv.reader([head[0]], delimiter=delimiter))
     schema = ", ".join(f"`{n}` string" for n in names) + ", _corrupt string"
     # whole lines are parsed whatever columns are asked for, as a line's number of fields says whether it stays
-    raw = spark.read.csv(path, header=True, sep=delimiter, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True, escape='"')
+    raw = spark.read.option("columnPruning", "false").csv(path, header=True, sep=delimiter, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True, escape='"')
     seen = raw.observe(counts, F.count(F.lit(1)).alias("lines"), F.count("_corrupt").alias("left_out"), F.count(F.col(f"`{names[0]}`")).alias("first_column"))
     return seen.filter("_corrupt IS NULL").drop("_corrupt"), counts
 
