@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.columns import finite
+
 ANY = "All"
 
 
@@ -64,10 +68,25 @@ def numbered_rows(rows: DataFrame, by: str, order: str = "ord", name: str = "Ord
     return rows.withColumn(name, (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).cast("int"))
 
 
-def chart_frame(metrics: DataFrame, by: str = "List") -> DataFrame:
-    """Rows of a bar chart: the label of the axis and the place on it."""
+def chart_frame(metrics: DataFrame, by: str = "List", numeric: Sequence[str] = ()) -> DataFrame:
+    """Rows of a bar chart: the label of the axis, the place on it, and ``numeric`` columns as numbers, NULL where they hold something else."""
     labelled = metrics.withColumn("TickerAxis", F.concat("Ticker", F.lit(" ("), "Subgroup", F.lit(")")))
-    return numbered_rows(labelled, by)
+    numbers = {c: finite(F.col(f"`{c}`").try_cast("double")) for c in numeric if c in metrics.columns}
+    return numbered_rows(labelled.withColumns(numbers) if numbers else labelled, by)
+
+
+def chart_bars(frame: DataFrame, metric: str, dot: str | None = None) -> DataFrame:
+    """The bars of one metric: rows of a chart frame that have it, with the value of the dot if there is one."""
+    return frame.filter(_c(metric).isNotNull()).select("Order", "TickerAxis", "Ticker", "Group", "Subgroup", _c(metric), *([_c(dot)] if dot else []))
+
+
+#: Columns that a source of flows brings.
+FLOWS = ("FundFlows_1M_%", "FundFlows_3M_%")
+
+
+def with_flows(metrics: DataFrame, flows: DataFrame) -> DataFrame:
+    """``metrics`` with the flows of each ticker (``ticker`` and the columns of FLOWS) where they are known."""
+    return metrics.drop(*FLOWS).join(flows.select(F.col("ticker").alias("Ticker"), *(_c(c) for c in FLOWS)), "Ticker", "left")
 
 
 def subgroup_of_ticker(rows: DataFrame) -> DataFrame:

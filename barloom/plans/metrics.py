@@ -12,9 +12,9 @@ from barloom.operators.pivots import DivergenceSettings, best_divergence, with_d
 from barloom.operators.recursive import with_recursive
 from barloom.operators.resample import friday
 from barloom.operators.rolling import band_columns, by_symbol, nth_last, roc, rolling_mean, rolling_std, spread_aggregates, spread_columns, with_crossings
+from barloom.operators.screen import FLOWS
 
 LEAST_BARS, DAILY_BARS, WEEKLY_BARS = 60, 250, 260
-FLOWS = ("FundFlows_1M_%", "FundFlows_3M_%")
 DIVERGENCES = (("RSI", "rsi_screen", "RSI"), ("MACD", "macd_screen", "MACD_HIST"), ("ROC", "roc12", "ROC"))
 
 

@@ -373,13 +373,20 @@ BODIES |= {
     "saved_values": ((), """WITH placed AS (SELECT *, c_nationkey || '/' || (c_custkey // 1250) AS name, CAST(row_number() OVER (PARTITION BY c_nationkey, c_custkey // 1250 ORDER BY c_custkey) - 1 AS INTEGER) AS row FROM customer WHERE c_nationkey <> 5)
         SELECT name, row, 'key' AS column, NULL AS text, c_custkey::DOUBLE AS number FROM placed UNION ALL SELECT name, row, 'segment', c_mktsegment, NULL FROM placed WHERE c_custkey % 2 = 0 UNION ALL SELECT name, row, 'balance', NULL, c_acctbal FROM placed WHERE c_nationkey % 3 = 1"""),
 }
+PIECES["flows"] = f"SELECT {TICKER.replace('n_nationkey', 'c_nationkey')} AS ticker, avg(CAST(c_acctbal AS DECIMAL(18, 2))) AS flow3, min(c_acctbal) AS flow1 FROM customer GROUP BY 1 HAVING ticker <> '3-MEDIUM'"
+BODIES |= {
+    "top_flows_known": (("entries", "flows"), 'SELECT "group" AS "Group", subgroup AS "Subgroup", ticker AS "Ticker", flow3 AS "FundFlows_3M_%" FROM entries JOIN flows USING (ticker) ORDER BY flow3 DESC, ord LIMIT 5'),
+    "top_flows_known_flag": ((), "SELECT false AS flow_unavailable"),
+    "chart_bars": (("entries", "flows"), """SELECT CAST(ord_ AS INTEGER) AS "Order", ticker || ' (' || subgroup || ')' AS "TickerAxis", ticker AS "Ticker", "group" AS "Group", subgroup AS "Subgroup", flow3 AS "FundFlows_3M_%", flow1 AS "FundFlows_1M_%"
+        FROM (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS ord_ FROM entries) JOIN flows USING (ticker) WHERE ord % 4 <> 1"""),
+}
 
 #: Columns that aren't doubles, and queries that have no others.
 KEYS = (
-    "symbol", "ts", "kind", "row", "text", "label", "list", "group", "subgroup", "ticker", "ord", "List", "Group", "Subgroup", "Ticker", "SMA_Trend", "BB_Position", "GoldenCross_D1", "DeathCross_D1", "GoldenCross_W1", "DeathCross_W1",
+    "symbol", "ts", "kind", "row", "text", "Order", "TickerAxis", "label", "list", "group", "subgroup", "ticker", "ord", "List", "Group", "Subgroup", "Ticker", "SMA_Trend", "BB_Position", "GoldenCross_D1", "DeathCross_D1", "GoldenCross_W1", "DeathCross_W1",
     "Div_6M_vs_RSI", "Div_6M_vs_MACD", "Div_6M_vs_ROC", "Divergence_Bull_Count", "Divergence_Bear_Count", "up", "i", "t_ind", "direction", "type", "series", "date", "week", "year", "strategy_id", "signal_date", "action", "reason", "column", "key", "start", "macd_sign", "name", "divergence_pivot_window", "divergence_lookback",
 )
-WITHOUT_DOUBLES = ("upload_counts", "strategies_problems", "strategies_trades", "universe_flattened", "universe_overlay", "universe_edited", "crossovers", "pivot_flags", "boolean_divergence", "screen_counts", "screen_options", "rule_signals", "warm_start", "upload_series", "records", "auto_start", "display_text", "top_flows", "top_flows_flag", "chart_frame", "ticker_subgroups", "kept_order", "saved_dates", "repeated_dates")
+WITHOUT_DOUBLES = ("top_flows_known_flag", "upload_counts", "strategies_problems", "strategies_trades", "universe_flattened", "universe_overlay", "universe_edited", "crossovers", "pivot_flags", "boolean_divergence", "screen_counts", "screen_options", "rule_signals", "warm_start", "upload_series", "records", "auto_start", "display_text", "top_flows", "top_flows_flag", "chart_frame", "ticker_subgroups", "kept_order", "saved_dates", "repeated_dates")
 
 
 def _whole(name: str) -> str:
@@ -391,4 +398,6 @@ def _whole(name: str) -> str:
     return f"SELECT COLUMNS(lambda c: c IN ({keys})), CAST(round(CAST(COLUMNS(lambda c: c NOT IN ({keys})) AS DECIMAL(30, 6)), 4) AS DOUBLE) FROM ({whole}) AS result"
 
 
-ORACLE_SQL = {name: _whole(name) for name in BODIES}
+#: As in ``queries.WINDOWED``.
+WINDOWED = {f"backtest_{x}": f"backtest_{x}_1996_2000" for x in ("equity", "trades", "headline")} | {"joined_dataset": "joined_dataset_from_day_4"}
+ORACLE_SQL = {WINDOWED.get(name, name): _whole(name) for name in BODIES}

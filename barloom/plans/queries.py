@@ -324,7 +324,29 @@ def metrics_refreshed(spark, sf_dir):
     return tables.listed(entries(spark, sf_dir), refresh.read(spark, paths[2])).drop("ord")
 
 
+def flows(spark, sf_dir) -> DataFrame:
+    """Flows of most tickers, made of account balances."""
+    ticker = F.element_at(F.array(*map(F.lit, TICKERS)), (F.col("c_nationkey") % len(TICKERS) + 1).cast("int"))
+    found = sources.read_table(spark, sf_dir, "customer").groupBy(ticker.alias("ticker")).agg(F.avg(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("FundFlows_3M_%"), F.min("c_acctbal").alias("FundFlows_1M_%"))
+    return found.filter(F.col("ticker") != TICKERS[2])
+
+
+def flow_rows(spark, sf_dir) -> DataFrame:
+    named = entries(spark, sf_dir).withColumnsRenamed({"list": "List", "group": "Group", "subgroup": "Subgroup", "ticker": "Ticker"})
+    return screen.with_flows(named, flows(spark, sf_dir))
+
+
+def chart_bars(spark, sf_dir) -> DataFrame:
+    """Bars of a metric that came as text, some of it no number."""
+    rows = flow_rows(spark, sf_dir)
+    shown = rows.withColumn("FundFlows_3M_%", F.when(F.col("ord") % 4 == 1, "n/a").otherwise(F.col("`FundFlows_3M_%`").cast("string")))
+    return screen.chart_bars(screen.chart_frame(shown, numeric=["FundFlows_3M_%", "not there"]), "FundFlows_3M_%", "FundFlows_1M_%")
+
+
 PLAIN = {
+    "top_flows_known": lambda s, d: screen.top_by_flows(flow_rows(s, d))[0].select(*KEPT, "`FundFlows_3M_%`"),
+    "top_flows_known_flag": lambda s, d: screen.top_by_flows(flow_rows(s, d))[1],
+    "chart_bars": chart_bars,
     "landed_bars": landed_bars,
     "upload_counts": upload_counts,
     "saved_values": saved_values,
@@ -413,3 +435,6 @@ PLAIN = {
 #: Queries that come with significant digits instead of places.
 DIGITS = ("backtest_equity_whole", "backtest_trades_whole", "strategies_trades")
 QUERIES = {name: (f if name in DIGITS else lambda spark, sf_dir, f=f: rounded(f(spark, sf_dir))) for name, f in PLAIN.items()}
+#: Queries that look at a part of their tables only, named after it; those with the ending "_whole" beside them look at all.
+WINDOWED = {f"backtest_{x}": f"backtest_{x}_1996_2000" for x in ("equity", "trades", "headline")} | {"joined_dataset": "joined_dataset_from_day_4"}
+QUERIES = {WINDOWED.get(name, name): f for name, f in QUERIES.items()}

@@ -283,3 +283,45 @@ def test_an_empty_panel_is_an_error(spark):
 
 def test_clamp(spark):
     assert [r[0] for r in spark.createDataFrame([(-5.0,), (0.5,), (9.0,)], "x double").select(clamp(F.col("x"), 0, 1)).collect()] == [0.0, 0.5, 1.0]
+
+
+def test_rules_of_a_run_are_checked():
+    from barloom.operators.rules import Condition
+    from barloom.plans import tester
+
+    good = Condition(1, "ROC", ">", 1.0)
+    tester.checked_rules(backtest.Strategy("a", "a", [good], [Condition(2, "RSI", "bear divergence")]))
+    for enter, leave in (([], [good]), ([good], []), ([Condition(1, "ROC", ">", 1.0, "2020-02-01", "2020-01-01")], [good]), ([good], [Condition(1, "Traded_Close", "bull divergence")])):
+        with pytest.raises(ValueError):
+            tester.checked_rules(backtest.Strategy("a", "a", enter, leave))
+
+
+def test_a_start_that_moves_is_told(spark):
+    from barloom.operators.rules import Condition
+    from barloom.plans import tester
+
+    data = spark.createDataFrame([(day(k), None if k < 3 else 1.0, 1.0) for k in range(6)], "date date, ROC double, close double")
+    told = lambda variable, start=None: tester.moved_start(data, backtest.Strategy("close", "close", [Condition(1, variable, ">", 1.0)], [Condition(1, "close", ">", 1.0)]), start).first()[0]
+    assert told("ROC") == "The run starts on 2020-01-04, when its indicators have values."
+    assert told("close") is None and told("ROC", "2020-01-05") is None and "2020-01-04" in told("ROC", "2020-01-02")
+
+
+def test_a_live_dataset_scans_bars_once(spark):
+    from barloom.plans import tester
+
+    rows = spark.createDataFrame([(s, day(k), 1.0, 1.0, 1.0, float(k % 7 + 1), 1.0) for s in "UTB" for k in range(210)], landed.SCHEMA)
+    pair = tester.side_by_side(rows, "U", "T", ["B"])
+    assert plan_of(pair).count("Scan ") == 1
+    dataset, _ = tester.live_dataset(rows, "U", "T", ["B"])
+    assert "ExistingRDD" not in plan_of(dataset) and plan_of(dataset).count("Scan parquet") == 1
+    same, _ = tester.live_dataset(rows, "U", "U")
+    assert same.filter("Underlying_Close <> Traded_Close").count() == 0 and same.count() == 210
+
+
+def test_chart_numbers(spark):
+    from barloom.operators import screen
+
+    rows = spark.createDataFrame([("L", "A", "g", "s", "1.5", 1), ("L", "B", "g", "s", "n/a", 2), ("L", "C", "g", "s", "inf", 3), ("M", "D", "g", "s", None, 4)], "List string, Ticker string, Group string, Subgroup string, m string, ord int")
+    frame = screen.chart_frame(rows, numeric=["m", "gone"])
+    assert sorted((r["Ticker"], r["Order"], r["m"]) for r in frame.collect()) == [("A", 0, 1.5), ("B", 1, None), ("C", 2, None), ("D", 0, None)]
+    assert [(r["TickerAxis"], r["m"]) for r in screen.chart_bars(frame, "m").collect()] == [("A (s)", 1.5)]
