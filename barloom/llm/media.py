@@ -132,13 +132,63 @@ def _bmp(b: bytes, at: int) -> int | None:
     return at + size if not spare and head in (12, 40, 52, 56, 64, 108, 124) and 14 + head <= pixels < size <= len(b) - at else None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
+#: Bytes of a gzip header's name or comment at most, and what is inflated at once.
+GZIP_NAME, INFLATED = 4096, 1 << 20
+#: Gzip members are inflated for as long as that takes in this many bytes for each byte of the payload, and EFFORT_LEAST; then hits count as unconfirmed.
+EFFORT, EFFORT_LEAST = 16, 1 << 20
+
+
+class Search:
+    """What the checks of one payload share, so that hits that come to nothing don't each read on to its end."""
+
+    def __init__(self, payload: bytes):
+        self.payload, self.view = payload, memoryview(payload)
+        self.effort = EFFORT * len(payload) + EFFORT_LEAST
+        self.next: dict[bytes, tuple[int, int]] = {}
+
+    def find(self, mark: bytes, at: int) -> int:
+        """The first place of ``mark`` from ``at`` on, or -1. Hits ascend, so a payload is searched once."""
+        since, found = self.next.get(mark, (0, -2))
+        if found == -2 or since > at or -1 < found < at:
+            found = self.payload.find(mark, at)
+            self.next[mark] = (at, found)
+        return found
+
+
+def _gzip(b: Search, at: int) -> int | None:
+    raw, here = b.payload, at + 10
+    if here > len(raw) or raw[at + 3] & 0xE0:
+        return None
+    flags = raw[at + 3]
+    if flags & 4:  # extra field
+        here += 2 + int.from_bytes(raw[here : here + 2], "little")
+    for flag in (8, 16):  # name, comment
+        if flags & flag:
+            end = raw.find(b"\0", here, here + GZIP_NAME)
+            if end < 0:
+                return None
+            here = end + 1
+    here += 2 if flags & 2 else 0
+    reader, check, size = zlib.decompressobj(-15), 0, 0
+    rest: bytes | memoryview = b""
     try:
-        reader = zlib.decompressobj(31)
-        reader.decompress(b[at:])
-        return len(b) - len(reader.unused_data) if reader.eof else None
+        while not reader.eof:
+            if not len(rest):
+                rest = b.view[here : here + (1 << 12)]
+                here += len(rest)
+                if not len(rest):
+                    return None
+            b.effort -= len(rest)
+            if b.effort < 0:
+                return None
+            out = reader.decompress(rest, INFLATED)
+            check, size = zlib.crc32(out, check), size + len(out)
+            rest = reader.unconsumed_tail
     except zlib.error:
         return None
+    end = here - len(reader.unused_data)
+    told = struct.unpack_from("<II", raw, end) if end + 8 <= len(raw) else None
+    return end + 8 if told == (check, size & 0xFFFFFFFF) else None
 
 
 def _ogg(b: bytes, at: int) -> int | None:
@@ -154,9 +204,9 @@ def _ogg(b: bytes, at: int) -> int | None:
     return None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
+def _pdf(b: Search, at: int) -> int | None:
     end = b.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+    return end + 5 if end >= 0 and 0 <= b.find(b"startxref", at) < end else None
 
 
 def _flac(b: bytes, at: int) -> int | None:
@@ -200,14 +250,21 @@ def automaton():
     return own
 
 
+#: Checks that are given the payload's Search.
+SEARCHING = (_gzip, _pdf)
+
+
 def sniffed(payload: bytes) -> list[Found]:
-    """All confirmed media of a payload, by where they begin; some may lie within others."""
-    out = []
+    """All confirmed media of a payload, by where they begin; some may lie within others, but none within another of its kind."""
+    out, search, past = [], Search(payload), {}
     for last, (length, checks) in automaton().iter(payload.decode("latin-1")):
         start = last + 1 - length
         for kind, check in checks:
-            end = check(payload, start)
+            if start < past.get(kind, 0):
+                continue
+            end = check(search if check in SEARCHING else payload, start)
             if end is not None:
+                past[kind] = end
                 out.append(Found(kind, start, end))
     return sorted(out, key=lambda f: f.start)
 
@@ -266,7 +323,9 @@ def features(stored: DataFrame) -> DataFrame:
 
 
 def op6_signature_sniffed_media(spark, sf_dir) -> DataFrame:
-    return features(written(store(table(spark, sf_dir, "documents")), "media")).drop("embedded")
+    found = features(written(store(table(spark, sf_dir, "documents")), "media"))
+    carved = F.transform("embedded", lambda e: F.concat_ws(":", e["kind"], e["start"].cast("string"), e["length"].cast("string")))
+    return found.withColumn("carved", F.array_join(carved, ",")).drop("embedded")
 
 
 def _little(number: str) -> str:
@@ -285,6 +344,6 @@ m AS (
 SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(unhex(payload)) AS payload_sha256, {crc32_sql(f"right(payload, {2 * UNIT})")} AS tail_crc32,
     len(media) // 2 AS media_bytes, sha256(unhex(media)) AS media_sha256,
     printf('audio/wav;samples=%d;mean=%.4f;crossings=%d;embedded=0', size, list_sum(list_transform(bytes, lambda x: ('0x' || x)::BIGINT))::DOUBLE / size,
-        len(regexp_replace(array_to_string(list_transform(bytes, lambda x: CASE WHEN x >= '80' THEN 'h' ELSE 'l' END), ''), 'h+|l+', 'x', 'g')) - 1) AS feature
+        len(regexp_replace(array_to_string(list_transform(bytes, lambda x: CASE WHEN x >= '80' THEN 'h' ELSE 'l' END), ''), 'h+|l+', 'x', 'g')) - 1) AS feature, '' AS carved
 FROM m
 """

@@ -81,7 +81,10 @@ def vocabulary(path: str) -> Vocabulary:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     kept = (i for i in range(len(model)) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)))
-    return Vocabulary({model.id_to_piece(i): model.get_score(i) for i in kept})
+    pieces = {model.id_to_piece(i): model.get_score(i) for i in kept}
+    if crossing := next((p for p in pieces if SPACE in p.lstrip(SPACE)), None):
+        raise ValueError(f"a piece goes beyond a word, so words can't be counted apart: {crossing}")
+    return Vocabulary(pieces)
 
 
 @lru_cache(maxsize=2)

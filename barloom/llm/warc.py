@@ -10,8 +10,9 @@ makes plain WARC files of the two tables, ``read_warc`` reads such files.
 Null html is an empty payload; a null url leaves its field out, and characters that would end a
 field are percent-encoded; rows with a null id come after all others and write an empty id; rows
 that repeat an id are separate records; an empty table makes two empty tables; other columns are
-not read, whatever their names. A task that reads holds the compressed bytes of one file and one
-record, which is as large as its page.
+not read, whatever their names. A task that writes holds a page. A file has the payloads
+of one bucket by digest, about ``FILE_BYTES`` before compression, or one larger page; a task that reads holds a file's compressed bytes
+and some chunks of a MB of what they hold, however large a record is: payloads are hashed as they pass.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import pyarrow as pa
@@ -31,6 +33,8 @@ from barloom.llm.common import shared_path, small_batches, table, written
 from barloom.llm.textblock import tidied
 
 REVISIT_BYTES = 100
+#: Payload of a bucket, which makes a file or more: there are as many buckets as that takes, as far as Spark writes so many (``spark.sql.sources.bucketing.maxBuckets``).
+FILE_BYTES, MOST_BUCKETS = 64 << 20, 100_000
 URN = "urn:x-page:"
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -97,7 +101,13 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     body = F.coalesce(F.col(html), F.lit(""))
     once = pages.select(digest_of(body).alias("digest"), body.cast("binary").alias("payload")).dropDuplicates(["digest"])
     name = f"warc_payloads_{uuid.uuid4().hex}"
-    once.write.option("compression", "zstd").option("path", f"{path}/payloads").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "digest").sortBy("digest").saveAsTable(name)
+    size = spark.read.parquet(f"{path}/plan").agg(F.sum("size")).first()[0] or 0  # of copies too: a bucket, and so a file, has fewer bytes
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    try:
+        once.write.option("compression", "zstd").option("path", f"{path}/payloads").bucketBy(min(buckets, MOST_BUCKETS), "digest").sortBy("digest").saveAsTable(name)
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        raise
     return name
 
 
@@ -153,17 +163,82 @@ def warc_records(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
         raise ValueError("a record's head and payload don't agree: the file ends within a record")
 
 
-def _inflated(raw: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    view = memoryview(raw)
-    reader = zlib.decompressobj(31)
+#: A head, and the HTTP head that follows it, have fewer bytes.
+HEAD_BYTES = 1 << 20
+
+
+@dataclass
+class Scanned:
+    """A record without its payload: what its heads say, and the payload's size and SHA-256."""
+
+    head: bytes
+    http: bytes
+    size: int
+    digest: str
+
+
+def scanned(chunks: Iterator[bytes]) -> Iterator[Scanned]:
+    """The records of a file, of which some chunks are held at a time, however large a record is."""
+    gap, held, wrong = CRLF.encode() * 2, bytearray(), "a record's head and payload don't agree: "
+
+    def more() -> bool:
+        chunk = next(chunks, None)
+        if chunk is not None:
+            held.extend(chunk)
+        return chunk is not None
+
+    def up_to_gap(most: int, what: str) -> bytes:
+        seen = 0
+        while (end := held.find(gap, seen)) < 0:
+            seen = max(0, len(held) - 3)
+            if len(held) > most or not more():
+                raise ValueError(wrong + what)
+        found = bytes(held[: end + 4])
+        del held[: end + 4]
+        return found
+
+    while held or more():
+        if not held:
+            continue
+        head = up_to_gap(HEAD_BYTES, "no WARC head where one should be")
+        length = re.search(rb"\r\nContent-Length: (\d+)\r\n", head)
+        if not head.startswith(b"WARC/1.1\r\n") or not length:
+            raise ValueError(wrong + "no WARC head where one should be")
+        http = up_to_gap(HEAD_BYTES, "the file ends within a record")
+        left, digest = int(length[1]) - len(http), hashlib.sha256()
+        if left < 0:
+            raise ValueError(wrong + "a block is shorter than its HTTP head")
+        size = left
+        while left:
+            if not held and not more():
+                raise ValueError(wrong + "the file ends within a record")
+            some = held[:left]
+            digest.update(some)
+            left -= len(some)
+            del held[: len(some)]
+        while len(held) < 4 and more():
+            pass
+        if held[:4] != gap:
+            raise ValueError(wrong + "no line ends after a block")
+        del held[:4]
+        yield Scanned(head, http, size, digest.hexdigest())
+
+
+def _inflated(raw: bytes | memoryview, step: int = 1 << 16, most: int = 1 << 20) -> Iterator[bytes]:
+    """What a file of gzip members holds, ``most`` bytes at a time, however well it was compressed."""
+    view, reader = memoryview(raw), zlib.decompressobj(31)
     for k in range(0, len(view), step):
-        rest = bytes(view[k : k + step])
-        while rest:
-            yield reader.decompress(rest)
-            rest, done = reader.unused_data, reader.eof
-            if not done:
-                break
-            reader = zlib.decompressobj(31)
+        rest: bytes | memoryview = view[k : k + step]
+        while len(rest):
+            if reader.eof:
+                reader = zlib.decompressobj(31)
+            if out := reader.decompress(rest, most):
+                yield out
+            rest = reader.unused_data if reader.eof else reader.unconsumed_tail
+        while not reader.eof and (out := reader.decompress(b"", most)):
+            yield out
+    if len(view) and not reader.eof:
+        raise ValueError("a record's head and payload don't agree: the file ends within its compressed bytes")
 
 
 READ = "page_id long, record_type string, refers_to long, digest string, says long, payload_bytes long, payload_digest string"
@@ -175,17 +250,16 @@ def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = re.compile(rf"<{URN}(-?\d+)>")
 
     def rows(raw: bytes) -> Iterator[tuple]:
-        for head, block in warc_records(_inflated(raw)):
-            said = dict(line.split(": ", 1) for line in head.decode().split(CRLF)[1:] if line)
-            http, _, payload = block.partition(CRLF.encode() * 2)
+        for record in scanned(_inflated(raw)):
+            said = dict(line.split(": ", 1) for line in record.head.decode().split(CRLF)[1:] if line)
             page, to = (number.fullmatch(said.get(f, "")) for f in ("WARC-Record-ID", "WARC-Refers-To"))
-            says = re.search(rb"\r\nContent-Length: (\d+)", http)
-            own = (None, None) if said["WARC-Type"] == "revisit" else (len(payload), hashlib.sha256(payload).hexdigest())
+            says = re.search(rb"\r\nContent-Length: (\d+)", record.http)
+            own = (None, None) if said["WARC-Type"] == "revisit" else (record.size, record.digest)
             yield (page and int(page[1]), said["WARC-Type"], to and int(to[1]), said["WARC-Payload-Digest"].removeprefix("sha256:"), says and int(says[1]), *own)
 
     for batch in batches:
         for k in range(batch.num_rows):
-            found = rows(batch.column(0)[k].as_py())
+            found = rows(memoryview(batch.column(0)[k].as_buffer()))
             while some := list(islice(found, 4096)):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some, strict=True), kinds, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
 
@@ -234,8 +308,10 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 def op2_warc_archive(spark, sf_dir) -> DataFrame:
     path = shared_path(spark, "warc")
     payloads = write_archive(table(spark, sf_dir, "pages"), path)
-    write_warc(spark, path, f"{path}/warc", payloads=payloads)
-    spark.sql(f"DROP TABLE {payloads}")  # the catalog's entry; the files stay
+    try:
+        write_warc(spark, path, f"{path}/warc", payloads=payloads)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {payloads}")  # the catalog's entry; the files stay
     return read_warc(spark, f"{path}/warc")
 
 
