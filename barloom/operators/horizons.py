@@ -23,8 +23,7 @@ def with_last_day(bars: DataFrame) -> DataFrame:
 
 def as_of(value: str, days: int) -> Column:
     """An aggregate: the last value that isn't NULL on or before ``today - days``."""
-    good = F.col(value).isNotNull() & (F.col("ts") <= F.date_sub("today", days))
-    return F.max_by(F.when(good, F.col(value)), F.when(good, F.col("ts")))
+    return F.expr(f"max_by(`{value}`, ts) FILTER (WHERE `{value}` IS NOT NULL AND ts <= date_sub(today, {days}))")
 
 
 def performance_aggregates(value: str = "close", horizons: Mapping[str, int] = HORIZONS) -> list[Column]:

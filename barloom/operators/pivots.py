@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from barloom.functions.columns import clamp
 from barloom.operators.rolling import by_symbol, rolling_std
 
 
@@ -76,31 +75,35 @@ def with_divergences(bars: DataFrame, kinds: Sequence[tuple[str, str, str]], s:
     prices = {"low": low, "high": high}
     both = [(label, ind, name, side) for label, ind, name in kinds for side in prices]
     out = bars.withColumns({"i": F.row_number().over(w) - 1, "_n": F.count("*").over(whole)} | {f"_{side}_p": pivot(c, s.pivot_window, side == "low", w) for side, c in prices.items()} | {f"_{label}_std": rolling_std(ind, s.rolling_std_n, 5, w) for label, ind, _ in kinds} | {f"_{label}_{side}_ip": pivot(ind, s.pivot_window, side == "low", w) for label, ind, _, side in both})
-    out = out.withColumns({f"_{label}_{side}_near": nearest_indicator_pivot(ind, f"_{label}_{side}_ip", s.alignment_tolerance, w) for label, ind, _, side in both})
-    own = lambda label, side: F.when(F.col(f"_{side}_p") & F.col(f"_{label}_{side}_near").isNotNull(), F.struct("i", F.col(prices[side]).alias("p"), F.col(f"_{label}_{side}_near.v").alias("v")))
+    # as text from here on: a column of many parts costs a call to the JVM for each, text costs one
+    around = w.rowsBetween(-s.alignment_tolerance, s.alignment_tolerance)
+    out = out.withColumns({f"_{label}_{side}_near": F.collect_list(F.expr(f"if(`_{label}_{side}_ip`, struct(i, `{ind}` AS v), NULL)")).over(around) for label, ind, _, side in both})
+    nearest = lambda near: f"array_min(transform({near}, x -> struct(abs(x.i - i) AS distance, x.i AS i, x.v AS v))).v"
+    own = lambda label, side: F.expr(f"if(`_{side}_p` AND size(`_{label}_{side}_near`) > 0, struct(i, `{prices[side]}` AS p, {nearest(f'`_{label}_{side}_near`')} AS v), NULL)")
     out = out.withColumns({f"_{label}_{side}_now": own(label, side) for label, _, _, side in both})
     out = out.withColumns({f"_{label}_{side}_was": F.last(f"_{label}_{side}_now", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for label, _, _, side in both})
-    out = out.withColumns({f"{label}_{side}": _candidate(F.col(f"_{label}_{side}_was"), F.col(f"_{label}_{side}_now"), F.col(f"_{label}_std"), F.col("_n"), side == "low", name, s) for label, _, name, side in both})
+    out = out.withColumns({f"{label}_{side}": _candidate(f"`_{label}_{side}_was`", f"`_{label}_{side}_now`", f"`_{label}_std`", "_n", side == "low", name, s) for label, _, name, side in both})
     return out.select(*bars.columns, *(f"{label}_{side}" for label, _, _, side in both))
 
 
-def _candidate(was: Column, now: Column, std: Column, n: Column, low: bool, name: str, s: DivergenceSettings) -> Column:
-    span, dp, dv, v, v1 = now["i"] - was["i"], F.try_divide(now["p"] - was["p"], F.when(was["p"] != 0, was["p"])), now["v"] - was["v"], now["v"], was["v"]
-    need = {
-        "RSI": F.lit(s.min_ind_move_rsi),
-        "MACD_HIST": s.min_ind_move_macd_std * (std + s.eps),
-        "ROC": s.min_ind_move_roc_std * (std + s.eps),
-    }[name]
-    rises, falls = (dp > 0) & (dv < 0), (dp < 0) & (dv > 0)
-    kind = F.when(falls, "regular_bull").when(rises, "hidden_bull") if low else F.when(rises, "regular_bear").when(falls, "hidden_bear")
-    sd = F.coalesce(std, F.lit(0.0))
+def _candidate(was: str, now: str, std: str, n: str, low: bool, name: str, s: DivergenceSettings) -> Column:
+    """A candidate from one matched pivot to the next, as an expression over columns of these names."""
+    number = lambda x: f"CAST({x!r} AS double)"
+    span, dv, dp = f"({now}.i - {was}.i)", f"({now}.v - {was}.v)", f"try_divide({now}.p - {was}.p, if({was}.p <> 0, {was}.p, NULL))"
+    sd, eps = f"coalesce({std}, CAST(0 AS double))", number(s.eps)
+    need = {"RSI": number(s.min_ind_move_rsi), "MACD_HIST": f"{number(s.min_ind_move_macd_std)} * ({std} + {eps})", "ROC": f"{number(s.min_ind_move_roc_std)} * ({std} + {eps})"}[name]
+    rises, falls = f"{dp} > 0 AND {dv} < 0", f"{dp} < 0 AND {dv} > 0"
+    regular, hidden = (falls, rises) if low else (rises, falls)
+    way = "bull" if low else "bear"
+    kind = f"CASE WHEN {regular} THEN 'regular_{way}' WHEN {hidden} THEN 'hidden_{way}' END"
     if name == "RSI":
-        zone = F.least(v, v1) < 30 if low else F.greatest(v, v1) > 70
+        zone = f"least({now}.v, {was}.v) < 30" if low else f"greatest({now}.v, {was}.v) > 70"
     else:
-        zone = (v * v1 < 0) | ((sd > 0) & (F.greatest(F.abs(v), F.abs(v1)) >= 1.5 * sd))
-    raw = s.wp * F.abs(dp) + s.wi * F.abs(dv) / (sd + s.eps) + s.wt * clamp(span / s.max_span, 0.0, 1.0) + s.wz * zone.cast("double")
-    near = (now["i"] >= F.greatest(F.lit(0), n - s.lookback_bars)) & (span > 0) & (span <= s.max_span) & (F.abs(dp) >= s.min_price_move) & (F.abs(dv) >= need)
-    return F.when(near & kind.isNotNull(), F.struct((100 * clamp(raw, 0.0, 1.0)).alias("score"), F.lit(1 if low else 0).alias("side"), (-now["i"]).alias("t2"), F.lit("bull" if low else "bear").alias("direction"), kind.alias("type")))
+        zone = f"({now}.v * {was}.v < 0 OR {sd} > 0 AND greatest(abs({now}.v), abs({was}.v)) >= 1.5 * {sd})"
+    within = lambda x: f"greatest(CAST(0 AS double), least(CAST(1 AS double), {x}))"
+    score = f"{number(s.wp)} * abs({dp}) + {number(s.wi)} * abs({dv}) / ({sd} + {eps}) + {number(s.wt)} * {within(f'{span} / {s.max_span}')} + {number(s.wz)} * CAST({zone} AS double)"
+    near = f"{now}.i >= greatest(0, {n} - {s.lookback_bars}) AND {span} > 0 AND {span} <= {s.max_span} AND abs({dp}) >= {number(s.min_price_move)} AND abs({dv}) >= {need}"
+    return F.expr(f"CASE WHEN {near} AND {kind} IS NOT NULL THEN struct(100 * {within(score)} AS score, {1 if low else 0} AS side, -{now}.i AS t2, '{way}' AS direction, {kind} AS type) END")
 
 
 def best_divergence(label: str) -> Column:

@@ -32,7 +32,7 @@ def places(c):
 
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles with PLACES places, halves away from zero. By way of decimals with two more: sums run in another order elsewhere, and a mean of prices that lies on a half must lie there for both."""
-    return df.select(*(places(F.col(f"`{n}`")).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes))
+    return df.selectExpr(*(f"coalesce(CAST(round(try_cast(`{n}` AS decimal(30,{PLACES + 2})), {PLACES}) AS double), `{n}`) AS `{n}`" if t == "double" else f"`{n}`" for n, t in df.dtypes))
 
 
 def significant(df: DataFrame, but: tuple[str, ...] = ()) -> DataFrame:
