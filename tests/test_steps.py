@@ -143,12 +143,12 @@ def test_problems_are_told(spark):
     docs = documents(
         spark, sound=strategy([rule], [rule]), no_enter=strategy([], [rule]), no_exit=strategy([rule], [rule | {"use": False}]), dates=strategy([rule | {"start_date": "2021-02-01", "end_date": "2021-01-01"}], [rule]),
         diverging=strategy([bull], [rule]), late=strategy([rule], [rule], global_start_date="2021-02-01", global_end_date="2021-01-01"), poor=strategy([rule], [rule], settings={"initial_deposit": 0}),
-        dear=strategy([rule], [rule], settings={"commission_pct": -1}), gone=strategy([rule], [rule]) | {"x": 1},
+        dear=strategy([rule], [rule], settings={"commission_pct": -1}), other=strategy([rule], [rule | {"condition": "bull divergence"}], settings={"divergence_lookback": 7}), gone=strategy([rule], [rule]) | {"x": 1},
     )
     moved = configured(docs).withColumn("instrument", F.when(F.col("strategy_id") == "gone", "Z").otherwise(F.col("instrument")))
     bars = spark.createDataFrame([("A", DAY, 1.0, 1.0)], "symbol string, date date, close double, x double")
     got = {r["strategy_id"]: r["problem"] for r in strategies.problems(moved, ["x"], bars).collect()}
-    assert got == dict(zip(("sound", "no_enter", "no_exit", "dates", "diverging", "late", "poor", "dear", "gone"), (None, *strategies.PROBLEMS), strict=True))
+    assert got == dict(zip(("sound", "no_enter", "no_exit", "dates", "diverging", "late", "poor", "dear", "other", "gone"), (None, *strategies.PROBLEMS), strict=True))
 
 
 def test_all_strategies_equal_one_by_one(spark):
@@ -164,11 +164,12 @@ def test_all_strategies_equal_one_by_one(spark):
     own = {
         "plain": (rule(">", 0.5), rule("<", -0.5), "A", None, None, {}),
         "diverging": (rule("bull divergence"), rule("bear divergence"), "B", None, None, {"initial_deposit": 500}),
+        "narrow": (rule("bull divergence"), rule("bear divergence"), "B", None, None, {"divergence_pivot_window": 2, "divergence_lookback": 20}),
         "cut": (rule("bull divergence"), rule("<=", -1.0), "A", "2020-02-10", "2020-08-01", {"commission_pct": 1.0, "slippage_pct": 0.5}),
         "gated": (rule(">=", 0.0, start_date="2020-03-01", end_date="2020-03-05"), rule("<", 0.0), "A", None, None, {}),
     }
     docs = documents(spark, **{n: strategy([e], [x], live_traded=i, global_start_date=a, global_end_date=b, settings=s) for n, (e, x, i, a, b, s) in own.items()})
-    got = strategies.run_all(configured(docs), bars, ["close", "x"], indicators=["x"])
+    got = strategies.run_all(configured(docs), bars, ["close", "x"], indicators=["x"], windows=[(3, 60), (2, 20)])
     found = {}
     for r in got.collect():
         found.setdefault(r["strategy_id"], []).append(tuple(r)[1:])
@@ -177,9 +178,9 @@ def test_all_strategies_equal_one_by_one(spark):
         condition = lambda r: rules.Condition(1, r["variable"], r["condition"], None if "divergence" in r["condition"] else r["input_value"], r.get("start_date"), r.get("end_date"))
         panel = bars.filter(F.col("symbol") == instrument).withColumn("strategy_id", F.lit(name))
         costs = backtest.Costs(s.get("initial_deposit", 10_000.0), s.get("commission_pct", 0.0), s.get("slippage_pct", 0.0))
-        alone = backtest.simulate(panel, backtest.Strategy("close", "close", [condition(e)], [condition(x)]), costs, a, b)
+        alone = backtest.simulate(panel, backtest.Strategy("close", "close", [condition(e)], [condition(x)]), costs, a, b, side=s.get("divergence_pivot_window", 3), lookback=s.get("divergence_lookback", 60))
         assert sorted(found[name], key=str) == sorted((tuple(r)[1:] for r in alone.collect()), key=str), name
-    assert any(r[2] for r in found["diverging"]) and any(r[-1] for r in found["plain"])
+    assert any(r[2] for r in found["diverging"]) and any(r[2] for r in found["narrow"]) and any(r[-1] for r in found["plain"])
 
 
 def test_no_strategies_or_bars(spark):
