@@ -325,3 +325,14 @@ def test_chart_numbers(spark):
     frame = screen.chart_frame(rows, numeric=["m", "gone"])
     assert sorted((r["Ticker"], r["Order"], r["m"]) for r in frame.collect()) == [("A", 0, 1.5), ("B", 1, None), ("C", 2, None), ("D", 0, None)]
     assert [(r["TickerAxis"], r["m"]) for r in screen.chart_bars(frame, "m").collect()] == [("A (s)", 1.5)]
+
+
+def test_a_saved_universe_is_read_back(spark, tmp_path):
+    from barloom.operators import universe
+
+    lists = {"Liste": {"Ä": {"one": ["AAA", "BBB"], "two": ["CCC"]}}, "other": {"g": {"s": []}}}
+    path = tmp_path / "lists.json"
+    universe.save(lists, str(path))
+    assert json.loads(path.read_text(encoding="utf-8")) == lists
+    got = universe.flattened(universe.from_mapping(spark, json.loads(path.read_text(encoding="utf-8")))).collect()
+    assert sorted((r["list"], r["group"], r["subgroup"], r["ticker"]) for r in got) == [("Liste", "Ä", "one", "AAA"), ("Liste", "Ä", "one", "BBB"), ("Liste", "Ä", "two", "CCC")]
