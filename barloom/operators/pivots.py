@@ -106,6 +106,12 @@ def _candidate(was: str, now: str, std: str, n: str, low: bool, name: str, s: Di
     return F.expr(f"CASE WHEN {near} AND {kind} IS NOT NULL THEN struct(100 * {within(score)} AS score, {1 if low else 0} AS side, -{now}.i AS t2, '{way}' AS direction, {kind} AS type) END")
 
 
+def parted(price_change: str, ind_change: str, least: float = 0.0) -> Column:
+    """Whether two changes of more than ``least`` go apart: named after the indicator's way, "bull" or "bear"; else "nothing". NULL if one is missing."""
+    apart = f"sign(`{price_change}`) = -sign(`{ind_change}`) AND least(abs(`{price_change}`), abs(`{ind_change}`)) > CAST({least!r} AS double)"
+    return F.expr(f"CASE WHEN `{price_change}` IS NULL OR `{ind_change}` IS NULL THEN NULL WHEN {apart} THEN if(`{ind_change}` > 0, 'bull', 'bear') ELSE 'nothing' END")
+
+
 def best_divergence(label: str) -> Column:
     """An aggregate over ``with_divergences``: the best candidate of both sides."""
     return F.greatest(F.max(f"{label}_low"), F.max(f"{label}_high"))

@@ -380,13 +380,15 @@ BODIES |= {
     "chart_bars": (("entries", "flows"), """SELECT CAST(ord_ AS INTEGER) AS "Order", ticker || ' (' || subgroup || ')' AS "TickerAxis", ticker AS "Ticker", "group" AS "Group", subgroup AS "Subgroup", flow3 AS "FundFlows_3M_%", flow1 AS "FundFlows_1M_%"
         FROM (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS ord_ FROM entries) JOIN flows USING (ticker) WHERE ord % 4 <> 1"""),
 }
+BODIES["parted_changes"] = (DIV, f"""SELECT symbol, ts, CASE WHEN roc12 < -1 AND d > 1 THEN 'bull' WHEN roc12 > 1 AND d < -1 THEN 'bear' WHEN roc12 IS NOT NULL AND d IS NOT NULL THEN 'nothing' END AS direction
+        FROM (SELECT symbol, ts, roc12, rsi_screen - lag(rsi_screen, 12) OVER ({BY}) AS d FROM ind)""")
 
 #: Columns that aren't doubles, and queries that have no others.
 KEYS = (
     "symbol", "ts", "kind", "row", "text", "Order", "TickerAxis", "label", "list", "group", "subgroup", "ticker", "ord", "List", "Group", "Subgroup", "Ticker", "SMA_Trend", "BB_Position", "GoldenCross_D1", "DeathCross_D1", "GoldenCross_W1", "DeathCross_W1",
     "Div_6M_vs_RSI", "Div_6M_vs_MACD", "Div_6M_vs_ROC", "Divergence_Bull_Count", "Divergence_Bear_Count", "up", "i", "t_ind", "direction", "type", "series", "date", "week", "year", "strategy_id", "signal_date", "action", "reason", "column", "key", "start", "macd_sign", "name", "divergence_pivot_window", "divergence_lookback",
 )
-WITHOUT_DOUBLES = ("top_flows_known_flag", "upload_counts", "strategies_problems", "strategies_trades", "universe_flattened", "universe_overlay", "universe_edited", "crossovers", "pivot_flags", "boolean_divergence", "screen_counts", "screen_options", "rule_signals", "warm_start", "upload_series", "records", "auto_start", "display_text", "top_flows", "top_flows_flag", "chart_frame", "ticker_subgroups", "kept_order", "saved_dates", "repeated_dates")
+WITHOUT_DOUBLES = ("parted_changes", "top_flows_known_flag", "upload_counts", "strategies_problems", "strategies_trades", "universe_flattened", "universe_overlay", "universe_edited", "crossovers", "pivot_flags", "boolean_divergence", "screen_counts", "screen_options", "rule_signals", "warm_start", "upload_series", "records", "auto_start", "display_text", "top_flows", "top_flows_flag", "chart_frame", "ticker_subgroups", "kept_order", "saved_dates", "repeated_dates")
 
 
 def _whole(name: str) -> str:

@@ -343,7 +343,15 @@ def chart_bars(spark, sf_dir) -> DataFrame:
     return screen.chart_bars(screen.chart_frame(shown, numeric=["FundFlows_3M_%", "not there"]), "FundFlows_3M_%", "FundFlows_1M_%")
 
 
+def parted_changes(spark, sf_dir) -> DataFrame:
+    """Whether price and RSI went apart over 12 bars, by more than one percent and one point."""
+    w = rolling.by_symbol()
+    rows = recursive.with_recursive(base(spark, sf_dir), ["rsi_screen"]).withColumns({"roc12": rolling.roc("close"), "rsi_change": F.col("rsi_screen") - F.lag("rsi_screen", 12).over(w)})
+    return rows.select("symbol", "ts", pivots.parted("roc12", "rsi_change", 1.0).alias("direction"))
+
+
 PLAIN = {
+    "parted_changes": parted_changes,
     "top_flows_known": lambda s, d: screen.top_by_flows(flow_rows(s, d))[0].select(*KEPT, "`FundFlows_3M_%`"),
     "top_flows_known_flag": lambda s, d: screen.top_by_flows(flow_rows(s, d))[1],
     "chart_bars": chart_bars,

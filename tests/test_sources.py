@@ -336,3 +336,11 @@ def test_a_saved_universe_is_read_back(spark, tmp_path):
     assert json.loads(path.read_text(encoding="utf-8")) == lists
     got = universe.flattened(universe.from_mapping(spark, json.loads(path.read_text(encoding="utf-8")))).collect()
     assert sorted((r["list"], r["group"], r["subgroup"], r["ticker"]) for r in got) == [("Liste", "Ä", "one", "AAA"), ("Liste", "Ä", "one", "BBB"), ("Liste", "Ä", "two", "CCC")]
+
+
+def test_parted_changes(spark):
+    from barloom.operators import pivots
+
+    rows = [(-2.0, 3.0, "bull"), (2.0, -3.0, "bear"), (2.0, 3.0, "nothing"), (-2.0, 0.5, "nothing"), (-1.0, 3.0, "nothing"), (0.0, 0.0, "nothing"), (None, 1.0, None), (1.0, None, None)]
+    got = spark.createDataFrame(rows, "p double, i double, want string").withColumn("got", pivots.parted("p", "i", 1.0))
+    assert got.filter("NOT got <=> want").count() == 0
