@@ -85,6 +85,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that are broadcast at most: some tens of MB, however wide the rows are that they choose.
+BROADCAST_KEYS = 1 << 20
+
+
+def chosen(rows: DataFrame, keys: DataFrame, column: str, how: str = "left_semi", most: int = BROADCAST_KEYS) -> DataFrame:
+    """``rows`` that have (``left_semi``) or lack (``left_anti``) one of ``keys``, a table of short rows that is read from files.
+
+    Where there are few keys they are broadcast, and rows that hold whole texts stay where they are read; where
+    there are more than ``most``, both sides are shuffled.
+    """
+    few = keys.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(keys) if few else keys, column, how)
+
+
 #: What a Python worker is sent at once: some MB of text, however long the texts are (one text at least).
 ARROW_BYTES = 4 << 20
 

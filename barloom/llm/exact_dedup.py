@@ -8,7 +8,8 @@ row is a hit: then the full bytes of every such row, fetched by locator, are com
 the row that stays. Rows that share a digest but not the bytes are grouped by the bytes themselves.
 
 Null text counts as empty; null identifiers come after all others; of rows with the same smallest
-identifier the first by locator stays; an empty table gives no rows; other columns are not read.
+identifier the first by locator stays; an empty table gives no rows; other columns are not read. A very
+long text is a row of the JVM, and so is its normalised copy; only its digest and length enter the state.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import normal, shared_path, table, written
+from barloom.llm.common import chosen, normal, shared_path, table, written
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: What the stream sets in the session while it runs. A store that preallocates files takes MB for each partition, however little it holds.
@@ -85,9 +86,15 @@ def run_stream(spark, source: str, trigger_bytes: int | None = None) -> DataFram
     return last.select("digest", "n_bytes", "x.first", "x.n")
 
 
+def spot() -> Column:
+    return F.xxhash64("file", "row")
+
+
 def compared(docs: DataFrame, members: DataFrame, text: str) -> DataFrame:
     """For rows of classes with hits: whether the full normalised bytes equal those of the row that stays."""
-    located = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(text).alias("_text"))
+    located = docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(text).alias("_text")).withColumn("spot", spot())
+    # by a hash of the locator first: only texts that it chooses are shuffled
+    located = chosen(located, members.select(spot().alias("spot")), "spot").drop("spot")
     held = members.withColumn("salts", F.ceil(F.col("n") / CLASS_ROWS).cast("int"))
     bodies = located.join(held, ["file", "row"]).withColumn("_text", normal(F.col("_text")))
     bodies = written(bodies, "dedup-hits")
@@ -125,9 +132,9 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha2
 
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = assign(docs, key, text, **options).filter("kept").select(F.col("file").alias("_b_file"), F.col("row").alias("_b_row"))
-    located = docs.select("*", F.col("_metadata.file_path").alias("_b_file"), F.col("_metadata.row_index").alias("_b_row"))
-    return located.join(kept, ["_b_file", "_b_row"], "left_semi").select(docs.columns)
+    gone = written(assign(docs, key, text, **options).filter("NOT kept").select(F.struct("file", "row").alias("_b_spot")), "dedup-gone")
+    located = docs.withColumn("_b_spot", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    return chosen(located, gone, "_b_spot", "left_anti").select(docs.columns)
 
 
 def op8_streaming_exact_dedup(spark, sf_dir) -> DataFrame:
