@@ -4,12 +4,14 @@
    text) says is a row of ``parts``: its distinct words, and for each position the word's number.
 2. The words are dealt out by their hash, all copies of a word to one bucket. A row holds what one
    part sends to one bucket, so a word costs a few bytes and a bucket is read as a stream. A
-   bucket encodes each of its distinct words once.
+   bucket encodes each of its distinct words once. Buckets grow in number with the text, so the words that a task
+   knows don't; a part sends a row to each bucket that it has words for, and never more rows than it has words.
 3. The ids go back to the part, which puts them together by position.
 4. Decoding looks every id up in the token-byte table, which is as large as the vocabulary.
 
 Null text is an empty one: no ids; null and repeated identifiers are documents like any other; an
-empty table gives no rows; other columns are not read.
+empty table gives no rows; other columns are not read. A text longer than a part is a part of its own, which its task holds
+whole, with four bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from barloom.llm.common import slim, table
 from barloom.llm.textblock import blocks, distinct_words, gather, text_bytes, tidied
 
 PART_BYTES = 24 << 20
+#: Text whose distinct words go to one bucket, where there is more than the shuffle partitions' buckets are for.
+BUCKET_BYTES = 256 << 20
 #: Buckets of a part's own rows.
 HEAD, ORDER = -1, -2
 PARTS = "part string, bucket int, ids array<long>, sizes binary, body binary"
@@ -182,10 +186,15 @@ def only_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pc.greater_equal(batch.column("bucket"), 0))
 
 
+def word_buckets(docs: DataFrame, text: str, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """So many that a bucket holds the distinct words of ``bucket_bytes`` of text at most, on average; lengths are read, no text leaves the JVM."""
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    return max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
+
+
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded`` of every document."""
-    spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = word_buckets(docs, text)
     cut = parts(docs, buckets, key, text, part_bytes).repartition("part")  # one exchange, read twice
     words = cut.mapInArrow(only_words, PARTS).repartition("bucket").sortWithinPartitions("bucket")
     return cut.groupBy("part").cogroup(encoded(words, path).groupBy("part")).applyInArrow(put_together(path), DOCS)
