@@ -8,7 +8,8 @@ first, which shrinks the instance; the remainder is packed best fit, longest fir
 for each length which of its pieces (by rank) go where, and is joined to the ranked pieces.
 
 Null text is an empty one, which is a document of one token, the end mark; null and repeated
-identifiers are documents like any other; an empty table gives no rows; other columns are not read.
+identifiers are documents like any other; an empty table gives no rows; other columns are not read. A very
+long text is encoded by one task, which holds it, its ids and a copy of these as pieces of 1024.
 """
 
 from __future__ import annotations

@@ -37,7 +37,8 @@ def assign(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, key: str
     """Shard, slot and the shard after one more has been added, for each row of ``docs``.
 
     Null text counts as no bytes, so the size is 1; a null key is one key like any other; repeated
-    rows each get a slot; an empty table gives no rows; other columns are not read.
+    rows each get a slot; an empty table gives no rows; other columns are not read. A very long text is
+    one row where it is read; only its length and checksum go on.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     placed = docs.select(

@@ -14,7 +14,8 @@ sums round from about 2**24 on (a sum of some 500 pieces, or any unknown charact
 worst score is -1e9), where its ties can differ from this exact rule.
 
 Null and empty texts have no tokens and score 0; null and repeated identifiers are counted like
-others; an empty table gives no rows; other columns are not read.
+others; an empty table gives no rows; other columns are not read. A very long text is one block of its task: its bytes, with
+some 24 bytes for each (hashes of ranges), and the places of its words; a single word without spaces is searched as a whole.
 """
 
 from __future__ import annotations

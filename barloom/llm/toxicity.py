@@ -13,7 +13,8 @@ which bounds the one task that fits it; all rows are scored, whole.
 Null text is an empty one; a text without words gets the score of the intercept; null and repeated
 identifiers are scored like others (a null one is never held out: nothing is learnt from it);
 repeated labels of an identifier count as the largest; without labels of both classes every score
-is the share of label 1 (0 without labels); an empty table gives no rows.
+is the share of label 1 (0 without labels); an empty table gives no rows. A very long text is one block
+of its task: its code points (4 bytes each), the places of its words, and the n-grams of its distinct words; the fit holds at most ``rows`` whole texts.
 """
 
 from __future__ import annotations

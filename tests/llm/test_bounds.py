@@ -11,7 +11,7 @@ import zlib
 
 import pytest
 
-from barloom.llm import media, token_counts, warc
+from barloom.llm import bpe, common, exact_dedup, media, token_counts, warc
 
 CRLF = "\r\n"
 
@@ -125,3 +125,36 @@ def test_pieces_that_cross_words_are_refused(monkeypatch):
         token_counts.vocabulary.__wrapped__("crossing")
     Model.pieces = Model.pieces[:-1]
     assert token_counts.vocabulary.__wrapped__("fine")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_rows_chosen_by_few_keys_stay_where_they_are(spark, tmp_path, how, most):
+    rows = spark.createDataFrame([(k if k % 7 else None, f"text {k}") for k in range(100)], "id long, text string")
+    keys = common.written(spark.createDataFrame([(k,) for k in range(0, 100, 3)], "id long"), "keys")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = common.chosen(rows, keys, "id", how, most)
+        assert ("Exchange hashpartitioning" in plan_of(got)) == (most == 0)
+        want = {k for k in range(100) if ((k % 7 != 0 and k % 3 == 0) == (how == "left_semi"))}
+        assert sorted(r["text"] for r in got.collect()) == sorted(f"text {k}" for k in want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_survivors_of_exact_dedup_do_not_shuffle_texts(spark, tmp_path):
+    spark.createDataFrame([(k, f"text {k % 40} " * 9, "x") for k in range(60)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/d.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/d.parquet")
+    got = exact_dedup.survivors(docs)
+    assert "Exchange hashpartitioning" not in plan_of(got)
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(40)) and got.columns == docs.columns
+
+
+def test_word_buckets_grow_with_the_text(spark):
+    docs = spark.createDataFrame([(1, "x" * 1000), (2, None), (3, "é" * 500)], "doc_id long, text string")
+    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert bpe.word_buckets(docs, "text") == least and bpe.word_buckets(docs, "text", 10) == max(least, 200) and bpe.word_buckets(docs.limit(0), "text") == least
