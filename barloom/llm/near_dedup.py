@@ -22,7 +22,8 @@ where they share one of their rarest shingles, which no pair at the threshold la
 
 Null or empty texts, and such without words, have no shingles and no links; null identifiers can't
 name a component: such rows have a null component and stay; rows that repeat an identifier are one
-document with several texts; an empty table gives no rows; other columns are not read.
+document with several texts; an empty table gives no rows; other columns are not read. A very long text is one block
+of its task, which holds its bytes with some 24 bytes for each (hashes of ranges) and 8 bytes for each shingle; its full set travels as one row.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import slim, table, written
+from barloom.llm.common import chosen, slim, table, written
 from barloom.llm.components import components
 from barloom.llm.textblock import blocks, mixed, range_hashes, text_bytes, tidied
 
@@ -245,8 +246,8 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     shared = written(spread.join(spread.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n > 1"), "band").select("band", "id", "least"), "shared-bands")
     # what can be, with another set, a pair whose smaller set has ``few`` shingles at most
     short = classes.filter((F.lit(True) if few is None else F.col("n") * percent <= few * 100) & (F.col("n") * 100 >= (F.col("n") + 1) * percent)).select(F.col("rep").alias("id"))
-    needed = shared.select("id").unionByName(short).distinct()
-    sets = written(full_sets(docs.join(needed.withColumnRenamed("id", key), key, "left_semi"), key, text), "shingle-sets")
+    needed = written(shared.select("id").unionByName(short).distinct().withColumnRenamed("id", key), "needed")
+    sets = written(full_sets(chosen(docs, needed, key), key, text), "shingle-sets")
 
     # first turn: the smallest member with which a document shares most bands
     first = shared.filter("least <> id").groupBy("id", "least").agg(F.count("*").alias("bands")).groupBy("id").agg(F.max_by("least", F.struct("bands", -F.col("least"))).alias("a"))
@@ -279,8 +280,8 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
 
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each component, with all their columns."""
-    gone = assign(docs, key, text, percent).filter("id <> component").select(F.col("id").alias(key)).distinct()
-    return docs.join(gone, key, "left_anti").select(docs.columns)
+    gone = written(assign(docs, key, text, percent).filter("id <> component").select(F.col("id").alias(key)).distinct(), "near-gone")
+    return chosen(docs, gone, key, "left_anti").select(docs.columns)
 
 
 def op4_hyperminhash_near_dedup(spark, sf_dir) -> DataFrame:
