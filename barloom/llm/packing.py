@@ -53,7 +53,7 @@ def tokenizer_words(path: str):
 
 @lru_cache(maxsize=1)
 def tokenizer_pool(path: str) -> WordPool:
-    """The pool of a Python worker; each task leaves it empty."""
+    """The pool of a Python worker; each task leaves it empty, and a task of another kind removes it."""
     return WordPool(tokenizer_words(path))
 
 
@@ -89,7 +89,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc
                         a, b, piece = b, b + capacity, piece + 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return slim(docs, key, text).mapInArrow(tidied(cut, lambda: tokenizer_pool(path)), PIECES)
+    return slim(docs, key, text).mapInArrow(tidied(cut, lambda: tokenizer_pool(path), lasting=[tokenizer_pool]), PIECES)
 
 
 @dataclass(frozen=True)

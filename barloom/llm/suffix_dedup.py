@@ -70,19 +70,23 @@ TEXTS, COVERED = -1, -2
 
 
 def packed(**arrays: np.ndarray) -> bytes:
-    """Arrays with their names, compressed."""
-    head, body = [], []
-    for name, x in arrays.items():
-        planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T if x.dtype.itemsize > 1 and len(x) else np.ascontiguousarray(x).view(np.uint8)
-        head.append(f"{name},{x.dtype.str},{len(x)}")
-        body.append(planes.tobytes())
-    return zstandard.compress(";".join(head).encode() + b"\n" + b"".join(body), 3)
+    """Arrays with their names, compressed one after another, so that no copy holds all of them."""
+    head = ";".join(f"{name},{x.dtype.str},{len(x)}" for name, x in arrays.items()).encode() + b"\n"
+    own = zstandard.ZstdCompressor(level=3).compressobj(size=len(head) + sum(x.nbytes for x in arrays.values()))
+    out = [own.compress(head)]
+    for x in arrays.values():
+        if len(x):
+            planes = np.ascontiguousarray(x).view(np.uint8)
+            out.append(own.compress(np.ascontiguousarray(planes.reshape(-1, x.dtype.itemsize).T) if x.dtype.itemsize > 1 else planes))
+    out.append(own.flush())
+    return b"".join(out)
 
 
 def unpacked(raw: bytes) -> dict[str, np.ndarray]:
-    head, _, body = zstandard.decompress(raw).partition(b"\n")
-    out, at = {}, 0
-    for item in head.decode().split(";"):
+    body = zstandard.decompress(raw)
+    at = body.index(b"\n") + 1
+    out = {}
+    for item in body[: at - 1].decode().split(";"):
         name, kind, n = item.split(",")
         kind, n = np.dtype(kind), int(n)
         if not n:
@@ -174,8 +178,8 @@ def parts(docs: DataFrame, key: str, text: str, part_bytes: int, whole: bool = F
 
     def flush(ids: list, bodies: list[np.ndarray], sizes: list[np.ndarray], others: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         body, at = np.concatenate(bodies), np.append(0, np.cumsum(np.concatenate(sizes)))
-        raw = body.tobytes()
-        digest = np.frombuffer(b"".join(hashlib.sha256(raw[a:b]).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), np.uint8)
+        bodies.clear()
+        digest = np.frombuffer(b"".join(hashlib.sha256(body[a:b]).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), np.uint8)
         place, low, high, known_low, known_high = anchors(body, at)
         doc = np.searchsorted(at, low, "right") - 1
         order = np.array([LAST if x is None else x for x in ids], np.int64)
@@ -280,7 +284,9 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Part, lis
     for part, bucket, body in _rows(batches):
         if part != at:
             if text is not None:
-                yield at, text, held
+                out, text, held = (at, text, held), None, []
+                yield out
+                del out
             at, text, held = part, None, []
         if bucket == TEXTS:
             text = Part(body)
@@ -547,12 +553,18 @@ def left_of(own: Part, back: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.nd
         base = 0 if bucket <= COVERED else own.at[x["doc"]]
         np.add.at(change, x["low"] + base, 1)
         np.add.at(change, x["high"] + base + LENGTH, -1)
-    gone = np.cumsum(change[:-1]) > 0
-    first = np.zeros(len(own.text) + 1, bool)
-    first[own.at] = True
-    begins = gone & (first[:-1] | ~np.append(False, gone[:-1]))
-    removed, spans = (np.diff(np.append(0, np.cumsum(x))[own.at]) for x in (gone, begins))
-    return ~gone, removed, spans
+    gone, depth = np.empty(len(own.text), bool), 0
+    for k in range(0, len(gone), CHUNK):
+        depths = np.cumsum(change[k : min(k + CHUNK, len(gone))]) + depth
+        gone[k : k + CHUNK], depth = depths > 0, depths[-1]
+    del change
+    begins = gone.copy()
+    begins[1:] &= ~gone[:-1]
+    first = own.at[:-1][np.diff(own.at) > 0]
+    begins[first] = gone[first]
+    edge = own.at.tolist()
+    removed, spans = (np.array([np.count_nonzero(x[a:b]) for a, b in zip(edge, edge[1:], strict=False)], np.int64) for x in (gone, begins))
+    return np.logical_not(gone, out=gone), removed, spans
 
 
 def kept_bytes(own: Part, stays: np.ndarray) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -577,6 +589,7 @@ def removed_from(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, kept in kept_bytes(own, stays):
             rows = [(None if own.null[k] else int(own.order[k]), int(size[k]), int(removed[k]), int(spans[k]), own.digest[k].tobytes().hex(), kept[k - a]) for k in range(a, b)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        del own, stays  # before the next part is unpacked
 
 
 def trimmed_rows(names: list[str], at: int):
@@ -592,6 +605,7 @@ def trimmed_rows(names: list[str], at: int):
                 texts = pa.array([None if n else x.decode(errors="ignore") for n, x in zip(null.to_pylist(), kept, strict=True)], pa.string())
                 columns.insert(at, texts)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            del own, stays, others  # before the next part is unpacked
 
     return run
 

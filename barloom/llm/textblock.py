@@ -108,18 +108,41 @@ def gather(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return pool[np.repeat(start - begin, length) + np.arange(total)]
 
 
-def tidied(run: Callable[[Iterator], Iterator], *pools) -> Callable[[Iterator], Iterator]:
-    """``run`` for an Arrow batch iterator. When its task ends, the pools' words go, and memory that isn't used goes back to the system: Python workers outlive their tasks."""
+def give_back() -> None:
+    """Memory that isn't used goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+#: Cached functions whose values this worker keeps from one task to the next of the same kind.
+_lasting: list = []
+
+
+def only_lasting(own: Sequence) -> None:
+    """What tasks of other kinds have left in this worker goes; what ``own`` caches may stay."""
+    others = [x for x in _lasting if x not in own]
+    _lasting[:] = own
+    for x in others:
+        x.cache_clear()
+    if others:
+        give_back()
+
+
+def tidied(run: Callable[[Iterator], Iterator], *pools, lasting: Sequence = ()) -> Callable[[Iterator], Iterator]:
+    """``run`` for an Arrow batch iterator. When its task ends, the pools' words go, and memory that isn't used goes back to the system: Python workers outlive their tasks.
+
+    Values of the cached functions ``lasting``, such as a tokenizer, stay until the worker gets a task of another kind.
+    """
 
     def own(batches: Iterator) -> Iterator:
+        only_lasting(lasting)
         try:
             yield from run(batches)
         finally:
             for pool in pools:
                 pool().clear()
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            give_back()
 
     return own
 

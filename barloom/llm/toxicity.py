@@ -36,6 +36,8 @@ from barloom.llm.textblock import blocks, gather, mixed, text_bytes, tidied
 
 #: Words whose windows are looked at at once.
 WORDS = 1 << 18
+#: Distinct words whose n-grams are worked on at once.
+WORDS_AT_ONCE = 20_000
 
 
 @dataclass(frozen=True)
@@ -144,32 +146,56 @@ def _best_windows(value: np.ndarray, edge: np.ndarray, size: int) -> tuple[np.nd
     return begin, best
 
 
-def dictionary(texts: pa.Array, s: Settings) -> tuple[np.ndarray, ...]:
-    """Each word of the texts as a number, how many words each text has, and the distinct words' n-grams: how many each word has, and their buckets, by word."""
-    body, at = text_bytes(texts)
+def in_blocks(texts: pa.Array | pa.ChunkedArray, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts in ``order``, as bytes of some texts and where each begins and the last ends. Only one block's bytes are copied at once."""
+    chunks = [text_bytes(x) for x in (texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts])]
+    first = np.cumsum([0, *(len(at) - 1 for _, at in chunks)])
+    chunk = np.searchsorted(first, order, "right") - 1
+    row = order - first[chunk]
+    length = np.concatenate([np.empty(0, np.int64), *(np.diff(at) for _, at in chunks)])[order]
+    edge = np.append(0, np.cumsum(length))
+    for i, j in blocks(edge):
+        some = [chunks[c][0][chunks[c][1][k] : chunks[c][1][k + 1]] for c, k in zip(chunk[i:j].tolist(), row[i:j].tolist(), strict=True)]
+        yield np.concatenate(some), edge[i : j + 1] - edge[i]
+
+
+def dictionary(texts: pa.Array | pa.ChunkedArray, order: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+    """Each word of the texts, taken in ``order``, as a number, how many words each text has, and the distinct words' n-grams: how many each word has, and their buckets, by word."""
     known: dict[bytes, int] = {}
     numbers, sizes, of, to = [np.empty(0, np.int32)], [], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-    for i, j in blocks(at):
-        point, begin, end, doc = words_of(body[at[i] : at[j]], at[i : j + 1] - at[i])
+    for body, at in in_blocks(texts, order):
+        point, begin, end, doc = words_of(body, at)
         first, number = distinct_ranges(point, begin, end)
         here = np.array([known.setdefault(point[a:b].tobytes(), len(known)) for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)], np.int32)
         numbers.append(here[number])
-        sizes.append(np.bincount(doc, minlength=j - i))
-    words = list(known)
-    for k in range(0, len(words), 20_000):
-        some = words[k : k + 20_000]
+        sizes.append(np.bincount(doc, minlength=len(at) - 1))
+    number, words = np.concatenate(numbers), list(known)
+    del numbers, known
+    while words:  # they go as their n-grams come
+        some, words = words[:WORDS_AT_ONCE], words[WORDS_AT_ONCE:]
         end = np.cumsum([len(w) // 4 for w in some])
         word, bucket = grams(np.frombuffer(b"".join(some), "<u4"), np.append(0, end[:-1]), end, s)
-        order = np.argsort(word, kind="stable")
+        by_word = np.argsort(word, kind="stable")
         of.append(np.bincount(word, minlength=len(some)))
-        to.append(bucket[order].astype(np.int32))
-    return np.concatenate(numbers), np.concatenate(sizes), np.concatenate(of), np.concatenate(to)
+        to.append(bucket[by_word].astype(np.int32))
+    return number, np.concatenate(sizes), np.concatenate(of), np.concatenate(to)
+
+
+def word_means(folded: np.ndarray, to: np.ndarray, place: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The mean of each word's n-grams (``count`` of them from ``place`` on in ``to``; at least one), some words at a time."""
+    out = np.empty(len(place))
+    for k in range(0, len(place), WORDS_AT_ONCE):
+        at, n = place[k : k + WORDS_AT_ONCE], count[k : k + WORDS_AT_ONCE]
+        out[k : k + WORDS_AT_ONCE] = np.add.reduceat(folded[to[at[0] : at[-1] + n[-1]]], at - at[0]) / n
+    return out
 
 
-def fit(texts: pa.Array, labels: np.ndarray, s: Settings = Settings()) -> tuple[np.ndarray, float]:
-    """The folded model: a number for each bucket, already times the gain, and the intercept."""
+def fit(texts: pa.Array | pa.ChunkedArray, labels: np.ndarray, s: Settings = Settings(), order: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """The folded model: a number for each bucket, already times the gain, and the intercept. ``order``: texts and labels are taken in it."""
     rng = np.random.default_rng(s.seed)
-    number, n, count, to = dictionary(texts, s)
+    order = np.arange(len(texts)) if order is None else order
+    labels = labels[order]
+    number, n, count, to = dictionary(texts, order, s)
     place, edge = np.cumsum(count) - count, np.append(0, np.cumsum(n))
     vectors = rng.normal(0, 0.1, (1 << s.buckets_log2, s.dim)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (s.dim, 2)), np.zeros(2)
@@ -180,7 +206,7 @@ def fit(texts: pa.Array, labels: np.ndarray, s: Settings = Settings()) -> tuple[
             window = edge[:-1] + (rng.random(len(n)) * (np.maximum(n - s.window, 0) + 1)).astype(np.int64)
         else:
             folded = vectors @ (layer[:, 1] - layer[:, 0])
-            window, _ = best_windows(np.add.reduceat(folded[to], place) / count, number, edge, s.window)  # every word has n-grams
+            window, _ = best_windows(word_means(folded, to, place, count), number, edge, s.window)  # every word has n-grams
         held = np.minimum(n, s.window)
         shuffled = rng.permutation(len(texts))
         for b in range(0, len(texts), s.batch):
@@ -231,13 +257,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     rows = slim(docs.filter(F.col(key).isNotNull()), key, text).withColumnsRenamed({key: "_id", text: "_text"}).join(F.broadcast(sample), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label"))
 
     def run(sample: pa.Table) -> pa.Table:
-        sample = sample.sort_by("_id")
+        order = pc.sort_indices(sample, [("_id", "ascending")]).to_numpy().astype(np.int64)  # no sorted copy of the texts
         y = sample["_label"].to_numpy().astype(np.int64)
         if len(set(y.tolist())) < 2:
             share = min(max(float(y.mean()), 1e-12), 1 - 1e-12)
             numbers, intercept = np.zeros(1 << s.buckets_log2, np.float32), float(np.log(share / (1 - share)))
         else:
-            numbers, intercept = fit(sample["_text"].cast(pa.large_string()), y, s)
+            numbers, intercept = fit(sample["_text"], y, s, order)
         return pa.table({"numbers": pa.array([numbers.tobytes()], pa.binary()), "intercept": [intercept]})
 
     return written(rows.groupBy().applyInArrow(run, "numbers binary, intercept double"), "toxicity-model")

@@ -8,10 +8,13 @@ import random
 import time
 import tracemalloc
 import zlib
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from barloom.llm import bpe, common, exact_dedup, media, token_counts, warc
+from barloom.llm import bpe, common, exact_dedup, media, suffix_dedup, textblock, token_counts, toxicity, warc
 
 CRLF = "\r\n"
 
@@ -158,3 +161,73 @@ def test_word_buckets_grow_with_the_text(spark):
     docs = spark.createDataFrame([(1, "x" * 1000), (2, None), (3, "é" * 500)], "doc_id long, text string")
     least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert bpe.word_buckets(docs, "text") == least and bpe.word_buckets(docs, "text", 10) == max(least, 200) and bpe.word_buckets(docs.limit(0), "text") == least
+
+
+def part_of(texts: list[bytes]) -> suffix_dedup.Part:
+    body, at = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(x) for x in texts])).astype(np.int64)
+    n, none = len(texts), np.empty(0, np.int64)
+    digest = np.frombuffer(b"".join(hashlib.sha256(x).digest() for x in texts), np.uint8)
+    return suffix_dedup.Part(suffix_dedup.packed(order=np.arange(n), null=np.zeros(n, np.uint8), digest=digest, size=np.diff(at), text=body, back=none.astype(np.uint8), windows=none.astype(np.uint8), low=none.astype(np.int32), doc=none.astype(np.int32), known_low=none, known_high=none, others=np.empty(0, np.uint8)))
+
+
+def test_what_windows_leave_of_a_part_takes_few_bytes_for_each_of_its():
+    """tracemalloc sees numpy's arrays; with 8-byte sums over all bytes this was 23 bytes for each."""
+    rng = random.Random(5)
+    texts = [rng.randbytes(rng.choice([0, 0, 1, 99, 100, 101, 5000, 200_000])) for _ in range(300)]
+    windows = [(k, a, min(a + rng.randrange(300), len(x) - 100)) for k, x in enumerate(texts) if len(x) >= 100 for a in (0, len(x) - 100, *(rng.randrange(len(x) - 99) for _ in range(20)))]
+    doc, low, high = (np.array(x) for x in zip(*windows, strict=True))
+    own = part_of(texts)
+    half = len(doc) // 2
+    back = [(3, suffix_dedup.packed(doc=doc[:half].astype(np.int32), low=low[:half], high=high[:half])), (suffix_dedup.COVERED, suffix_dedup.packed(doc=doc[half:].astype(np.int32), low=low[half:] + own.at[doc[half:]], high=high[half:] + own.at[doc[half:]]))]
+    tracemalloc.start()
+    stays, removed, spans = suffix_dedup.left_of(own, back)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(own.text)
+    gone = [bytearray(len(x)) for x in texts]
+    for k, a, b in windows:
+        gone[k][a : b + 100] = b"\x01" * (b + 100 - a)
+    assert stays.tobytes() == bytes(1 - x for g in gone for x in g)
+    assert removed.tolist() == [sum(g) for g in gone] and spans.tolist() == [len([x for x in bytes(g).split(b"\x00") if x]) for g in gone]
+    assert [x.tolist() for x in suffix_dedup.left_of(part_of([b"", b""]), [])] == [[], [0, 0], [0, 0]]
+
+
+def test_a_part_is_packed_without_a_copy_of_all():
+    text = np.frombuffer(random.Random(6).randbytes(1 << 20) * 8, np.uint8)
+    arrays = {"text": text, "none": np.empty(0, np.int64), "low": np.arange(-5, 5), "again": np.array([1, 2], "<u8")}
+    tracemalloc.start()
+    raw = suffix_dedup.packed(**arrays)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(text)
+    got = suffix_dedup.unpacked(raw)
+    assert list(got) == list(arrays) and all(np.array_equal(got[k], x) and got[k].dtype == x.dtype for k, x in arrays.items())
+
+
+def test_tasks_of_another_kind_remove_what_is_kept():
+    made = []
+    keeps = lru_cache(maxsize=1)(lambda path: made.append(path) or path)
+    one = textblock.tidied(lambda batches: (keeps("x") for _ in batches), lasting=[keeps])
+    other = textblock.tidied(lambda batches: batches)
+    assert list(one(iter([1, 2]))) == list(one(iter([1, 2]))) == ["x", "x"] and made == ["x"]
+    assert list(other(iter([1]))) == [1] and keeps.cache_info().currsize == 0
+    assert list(one(iter([1]))) == ["x"] and made == ["x", "x"]
+
+
+def test_fit_takes_texts_in_an_order_without_copies_of_them():
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=4000)) for _ in range(600)] + ["", "\u00e4\u00f6 x"]
+    labels = np.array([int("abc" in x[:200]) for x in texts])
+    order = np.array(rng.sample(range(len(texts)), len(texts)))
+    given = pa.chunked_array([texts[:100], [], texts[100:101], texts[101:]], pa.string())
+    s = toxicity.Settings(epochs=5, buckets_log2=12)
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    number, n, count, to = toxicity.dictionary(given, order, s)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pa.total_allocated_bytes() == before and peak < 2 * given.nbytes + (60 << 20) and n.tolist() == [len(texts[k].split()) for k in order]
+    numbers, intercept = toxicity.fit(given, labels, s, order)
+    sorted_, same = toxicity.fit(pa.array([texts[k] for k in order], pa.large_string()), labels[order], s)
+    assert np.array_equal(numbers, sorted_) and intercept == same
